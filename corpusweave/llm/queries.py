@@ -30,3 +30,63 @@ def op7_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return pieces.digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decode=True))
+
+
+@query
+def op1_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import naming
+
+    return naming.exact_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_block_naming"] = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import shards
+
+    return shards.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+ORACLES["op5_extendible_shards"] = f"""
+WITH d AS (
+  SELECT doc_id, ('0x' || substr(md5(cast(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS size FROM documents
+), e AS (
+  SELECT doc_id, h, size, depth::INT AS depth, (h >> (60 - depth)::INT) AS prefix FROM d, range(0, 31) r(depth)
+), s AS (
+  SELECT depth, prefix, sum(size)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM e GROUP BY ALL
+), fits AS (
+  SELECT e.doc_id, s.*, row_number() OVER (PARTITION BY e.doc_id ORDER BY depth) AS k
+  FROM e JOIN s USING (depth, prefix) WHERE s.shard_bytes <= {SHARD_BYTES}
+)
+SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, depth, shard_bytes, shard_docs, false AS oversized
+FROM fits WHERE k = 1
+"""
+
+
+@query
+def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import chat
+
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op10_chat_snapshots"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, row_number() OVER w AS pos, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, '')))
+), p AS (
+  SELECT conv_id, pos, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos) AS pre, count(*) OVER (PARTITION BY conv_id) AS n FROM t
+), f AS (SELECT n, pre, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY n, pre),
+k AS (SELECT conv_id, n FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = f.n AND p.n > f.n AND p.pre = f.pre))
+SELECT conv_id, (turn // 1024)::BIGINT AS part, n AS n_turns, string_agg(line, '' ORDER BY pos) AS rendered
+FROM t JOIN k USING (conv_id) GROUP BY conv_id, (turn // 1024), n
+"""
