@@ -90,3 +90,24 @@ k AS (SELECT conv_id, n FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = f
 SELECT conv_id, (turn // 1024)::BIGINT AS part, n AS n_turns, string_agg(line, '' ORDER BY pos) AS rendered
 FROM t JOIN k USING (conv_id) GROUP BY conv_id, (turn // 1024), n
 """
+
+
+@query
+def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import languages
+
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import licences
+
+    return licences.scan(table(spark, sf_dir, "documents"))
