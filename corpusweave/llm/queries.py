@@ -111,3 +111,13 @@ def op9_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm import licences
 
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from corpusweave.llm import simhash
+
+    rows = simhash.components(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
