@@ -121,3 +121,26 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = simhash.components(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import passages
+
+    return passages.dedup_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLES["op6_fm_index"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS seq FROM d, unnest(range(1, greatest(len(w) - 33, 1))) u(i)
+), r AS (SELECT doc_id, i FROM s WHERE seq IN (SELECT seq FROM s GROUP BY seq HAVING count(*) > 1)
+), c AS (SELECT DISTINCT doc_id, i + k AS p FROM r, range(0, 35) t(k)
+), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d
+), k AS (
+  SELECT p.doc_id, count(*) - count(c.p) AS kept, string_agg(w[p.p], ' ' ORDER BY p.p) FILTER (WHERE c.p IS NULL) AS t
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.p = p.p GROUP BY p.doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
