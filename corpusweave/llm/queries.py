@@ -144,3 +144,10 @@ WITH d AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import leaks
+
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
