@@ -65,6 +65,29 @@ def training_rows(docs: DataFrame, *, key: str = "doc_id", lang: str = "lang", m
     return rows.join(F.broadcast(shares), F.col(lang) == F.col("__lang")).filter(picked).select(docs.columns)
 
 
+class Ranks:
+    """The profiles as a matrix of places, one row per n-gram and a last one for those in none."""
+
+    def __init__(self, learned: DataFrame, size: int = PROFILE):
+        table = learned.select("lang", "gram", "rank").toPandas()  # size rows per language
+        self.size, self.names = size, sorted(table["lang"].unique())
+        self.codes = np.unique(table["gram"].to_numpy(np.int64))
+        self.places = np.full((len(self.codes) + 1, max(1, len(self.names))), size, np.int32)
+        self.places[np.searchsorted(self.codes, table["gram"]), [self.names.index(x) for x in table["lang"]]] = table["rank"]
+
+    def predict(self, text: str) -> tuple[str, float]:
+        found, counts = grams(text)
+        if not self.names or not len(found):
+            return UNKNOWN, 0.0
+        top = found[np.argsort(-counts, kind="stable")[: self.size]]
+        at = np.searchsorted(self.codes, top)
+        at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != top)] = len(self.codes)
+        there = self.places[at]
+        far = np.where(there == self.size, self.size, np.abs(there - np.arange(len(top))[:, None])).sum(0)
+        best = int(far.argmin())
+        return self.names[best], 1 - float(far[best]) / (self.size * len(top))
+
+
 def predict(docs: DataFrame, learned: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = PROFILE) -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score.
 
@@ -74,29 +97,13 @@ def predict(docs: DataFrame, learned: DataFrame, *, key: str = "doc_id", text: s
     rows; other columns are ignored; an empty table gives an empty one. The profiles (size rows per
     language) are sent to the tasks.
     """
-    table = learned.select("lang", "gram", "rank").toPandas()
-    names = sorted(table["lang"].unique())
-    codes = np.unique(table["gram"].to_numpy(np.int64))
-    places = np.full((len(codes) + 1, max(1, len(names))), size, np.int32)  # the last row: in no profile
-    places[np.searchsorted(codes, table["gram"]), [names.index(x) for x in table["lang"]]] = table["rank"]
+    ranks = Ranks(learned, size)
     given = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([given.schema[0]]).add("lang_pred", "string").add("score", "double")
 
-    def one(t: str) -> tuple[str, float]:
-        found, counts = grams(t)
-        if not names or not len(found) or not found[-1]:
-            return UNKNOWN, 0.0
-        top = found[np.argsort(-counts, kind="stable")[:size]]
-        at = np.searchsorted(codes, top)
-        at[(at == len(codes)) | (codes[np.minimum(at, len(codes) - 1)] != top)] = len(codes)
-        there = places[at]
-        far = np.where(there == size, size, np.abs(there - np.arange(len(top))[:, None])).sum(0)
-        best = int(far.argmin())
-        return names[best], 1 - float(far[best]) / (size * len(top))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            got = [one(t) for t in texts_of(part)]
+            got = [ranks.predict(t) for t in texts_of(part)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema.names)
 
     return given.mapInArrow(run, schema)
@@ -106,3 +113,19 @@ def identify(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     """Learns from the rows of docs that aren't held out and predicts all: doc_id, held_out, lang_pred, score."""
     learned = profiles(training_rows(docs, key=key, lang=lang), text=text, lang=lang)
     return predict(docs, learned, key=key, text=text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, least: float, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of docs whose text has letters and a score of least or more, with all their columns.
+
+    With no language learned, every text with a letter stays.
+    """
+    ranks = Ranks(profiles(training_rows(docs, key=key, lang=lang), text=text, lang=lang))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = texts_of(part, text)
+            stays = [ranks.predict(t)[1] >= least if ranks.names else len(grams(t)[0]) > 0 for t in texts]
+            yield part.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
