@@ -5,6 +5,8 @@ White space is Unicode white space, lines end at \\n only, lengths are in code p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ CUT_MARKS = "[：:，,。；;（）()【】\\[\\]《》<>]"
 KEY_MARKS = "[\\s\\-_/（）()【】\\[\\]《》,，.。:：;；]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is worked out once per row however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def squish(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -89,16 +96,22 @@ def truncate_middle(c: Column, limit: int = 6000, gap: str = "\n\n...（中间
 def excerpt(content: Column, name: Column, definition: Column, limit: int) -> Column:
     """limit characters of the squished content from a third of limit before the name, or else
     before the definition's first 20 characters; from the start if neither is there."""
-    source = squish(F.coalesce(content, definition, F.lit("")))
-    at = F.position(name, source)
-    second = F.position(F.substring(F.coalesce(definition, F.lit("")), 1, 20), source)
-    found = F.when((at > 0) & (F.length(name) > 0), at).when((second > 0) & (F.length(definition) > 0), second)
-    start = F.greatest(F.lit(1), found - limit // 3)
-    return F.when(F.length(source) == 0, F.substring(F.coalesce(definition, F.lit("")), 1, limit)).otherwise(F.substring(source, F.coalesce(start, F.lit(1)), F.lit(limit)))
+    words = F.coalesce(definition, F.lit(""))
+
+    def cut(source: Column) -> Column:
+        at, second = F.position(name, source), F.position(F.substring(words, 1, 20), source)
+        found = F.when((at > 0) & (F.length(name) > 0), at).when((second > 0) & (F.length(words) > 0), second)
+        start = F.coalesce(F.greatest(F.lit(1), found - limit // 3), F.lit(1))
+        return F.when(F.length(source) == 0, F.substring(words, 1, limit)).otherwise(F.substring(source, start, F.lit(limit)))
+
+    return let(squish(F.coalesce(content, definition, F.lit(""))), cut)
 
 
 def snippet(content: Column, name: Column, before: int = 650, size: int = 2200, fallback: int = 1800) -> Column:
     """size characters from `before` characters ahead of the name; the first `fallback` if it isn't there."""
-    source = squish(content)
-    at = F.position(name, source)
-    return F.when(at > 0, F.substring(source, F.greatest(F.lit(1), at - before), F.lit(size))).otherwise(F.substring(source, 1, fallback))
+
+    def cut(source: Column) -> Column:
+        at = F.position(name, source)
+        return F.when(at > 0, F.substring(source, F.greatest(F.lit(1), at - before), F.lit(size))).otherwise(F.substring(source, 1, fallback))
+
+    return let(squish(content), cut)

@@ -43,15 +43,14 @@ def decision_lookup(messages: DataFrame, listing: DataFrame, prefer: str | None
 
     listing has decision_id, action, position and haystack (reason and references). An explicit id
     that stands in a decision's id comes first; then the first term, in order, that stands in a
-    haystack, with the first such decision; else the first decision. Words of haystacks meet terms
-    by an equi-join on the term's own occurrences, so no message is compared to every decision.
+    haystack, with the first such decision; else the first decision. Terms meet haystacks by an
+    equi-join on the haystacks' own runs, so no message is compared to every decision.
     """
     ds = listing.filter(F.col("action") == prefer) if prefer else listing
     need = messages.select("session_id", "id", "content", F.regexp_extract("content", EXPLICIT, 1).alias("needle"))
-    distinct_needles = need.filter("needle <> ''").select("needle").distinct()
-    named = distinct_needles.join(ds.select("decision_id", "position"), F.expr("decision_id LIKE concat('%', replace(needle, '_', '\\\\_'), '%')")).groupBy("needle").agg(F.min_by("decision_id", "position").alias("by_id"))
+    needles = need.filter("needle <> ''").select(F.col("needle").alias("term")).distinct()
+    named = _first_with(needles, ds.select("decision_id", "position", F.col("decision_id").alias("haystack"))).select(F.col("term").alias("needle"), F.col("decision_id").alias("by_id"))
     terms = message_terms(messages)
-    # a term of 2 to 12 characters stands in a haystack where one of the haystack's substrings equals it
     spots = ds.select("decision_id", "position", "haystack")
     meant = _first_with(terms.select("term").distinct(), spots)
     best = terms.join(meant, "term").groupBy("session_id", "id").agg(F.min_by("decision_id", "at").alias("by_term"))

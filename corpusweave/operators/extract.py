@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.functions.text import NUMERALS, TERM_MARKS, clean_term, is_valid_term, node_id, squish, strip, truncate_middle
+from corpusweave.functions.text import NUMERALS, TERM_MARKS, clean_term, is_valid_term, let, node_id, strip, truncate_middle
 
 RELATIONS = ("prerequisite", "parallel", "contains", "applies_to")
 CORE, BY_RULE = "核心概念", "启发式概念"
@@ -64,30 +64,36 @@ def candidate_terms(title: Column, content: Column, dictionary: Sequence[str], h
     """Ordered distinct terms of a chapter: its title, dictionary terms it contains (at most a few
     hundred are meant), headings, subjects of definitions; the short title if there are none."""
     bare = strip(F.regexp_replace(title, rf"(?U)^第\s*[{NUMERALS}\d]+\s*章\s*", ""))
-    heads = F.regexp_extract_all(F.substring(content, 1, heading_scan), F.lit(rf"(?dmU)^\s*#{{1,4}}\s*([{NUMERALS}\d、.\s]*[一-龥A-Za-z]{{2,24}})\s*$"), F.lit(1))
-    subjects = F.regexp_extract_all(F.substring(content, 1, definition_scan), F.lit(r"([一-龥A-Za-z0-9]{2,12})(?:是指|是|指|为|包括|可分为|称为)"), F.lit(1))
+    none = F.array().cast("array<string>")
+    heading = F.lit(rf"(?dmU)^\s*#{{1,4}}\s*([{NUMERALS}\d、.\s]*[一-龥A-Za-z]{{2,24}})\s*$")
+    definition = F.lit(r"([一-龥A-Za-z0-9]{2,12})(?:是指|是|指|为|包括|可分为|称为)")
+    # most texts have no such mark at all, which is cheaper to see than to search
+    heads = F.when(content.contains("#"), F.regexp_extract_all(F.substring(content, 1, heading_scan), heading, F.lit(1))).otherwise(none)
+    subjects = F.when(content.rlike("[是指为]|包括"), F.regexp_extract_all(F.substring(content, 1, definition_scan), definition, F.lit(1))).otherwise(none)
     found = F.transform(F.concat(heads, subjects), clean_term)
     known = F.filter(F.array(*map(F.lit, dictionary)), lambda t: F.contains(content, t)) if dictionary else F.array().cast("array<string>")
     terms = F.concat(F.filter(F.array(bare), is_valid_term), known, F.filter(found, is_valid_term))
     keyed = F.transform(terms, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, r"(?U)\s+", "").alias("k")))
     # array_position gives the first place of a key
     first = lambda a: F.filter(a, lambda x, i: (F.array_position(F.transform(a, lambda y: y["k"]), x["k"]) == i + 1) & (F.length(x["k"]) > 0))
-    kept = F.transform(first(keyed), lambda x: x["t"])
     short = F.coalesce(F.nullif(F.substring(title, 1, 12), F.lit("")), F.lit(CORE))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(short))
-
-
-def evidence_sentence(content: Column, term: Column) -> Column:
-    """The sentence around the term's first place, 260 characters at most; a fixed one if it isn't there."""
-    text = squish_inner(content)
-    at = F.position(term, text)
-    before = F.substring(text, F.lit(1), at - 1)
-    start = F.when(before.contains("。"), F.length(before) - F.position(F.lit("。"), F.reverse(before)) + 1).otherwise(0)
-    stop = F.position(F.lit("。"), text, at)
-    end = F.when(stop > 0, stop).otherwise(F.least(F.length(text), at - 1 + 180) + 1)
-    sentence = F.substring(strip(F.substring(text, start + 1, end - start)), 1, 260)
+    kept = let(keyed, lambda a: F.transform(first(a), lambda x: x["t"]))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(short)))
+
+
+def evidence_sentence(text: Column, term: Column) -> Column:
+    """The sentence around the term's first place in text (white space squished), 260 characters at
+    most; a fixed one if it isn't there."""
+
+    def around(at: Column) -> Column:
+        before = F.substring(text, F.lit(1), at - 1)
+        start = F.when(before.contains("。"), F.length(before) - F.position(F.lit("。"), F.reverse(before)) + 1).otherwise(0)
+        stop = F.position(F.lit("。"), text, at)
+        end = F.when(stop > 0, stop).otherwise(F.least(F.length(text), at - 1 + 180) + 1)
+        return F.substring(strip(F.substring(text, start + 1, end - start)), 1, 260)
+
     fixed = F.concat(term, F.lit(" 是本章教材文本中识别出的核心知识点。"))
-    return F.when((at > 0) & (F.length(sentence) > 0), sentence).otherwise(fixed)
+    return let(F.position(term, text), lambda at: F.coalesce(F.when(at > 0, F.nullif(around(at), F.lit(""))), fixed))
 
 
 def squish_inner(c: Column) -> Column:
@@ -98,9 +104,11 @@ def squish_inner(c: Column) -> Column:
 def rule_nodes(chapters: DataFrame, dictionary: Sequence[str], most: int = NODES_PER_CHAPTER) -> DataFrame:
     """The first candidate terms of each chapter as nodes, with their rank and evidence."""
     rows = chapters.filter(F.length(strip(F.col("content"))) > 0).withColumn("terms", candidate_terms(F.col("title"), F.col("content"), dictionary))
-    each = rows.select(*CHAPTER, "title", "page_start", "content", F.posexplode(F.slice("terms", 1, most)).alias("at", "name"))
+    # evidence is found before the rows multiply, so that contents don't
+    told = let(squish_inner(F.col("content")), lambda text: F.transform(F.slice("terms", 1, most), lambda t: F.struct(t.alias("name"), evidence_sentence(text, t).alias("definition"))))
+    each = rows.select(*CHAPTER, "title", "page_start", F.posexplode(told).alias("at", "n"))
     return each.select(
-        node_id(F.col("textbook_id"), F.col("chapter_id"), F.col("name")).alias("id"), *CHAPTER, F.col("title").alias("chapter_title"), "name", evidence_sentence(F.col("content"), F.col("name")).alias("definition"),
+        node_id(F.col("textbook_id"), F.col("chapter_id"), F.col("n.name")).alias("id"), *CHAPTER, F.col("title").alias("chapter_title"), "n.name", "n.definition",
         F.lit(BY_RULE).alias("category"), F.col("page_start").alias("page"), (F.col("at") + 1).alias("rank"),
     )
 
@@ -118,8 +126,8 @@ def rule_edges(nodes: DataFrame) -> DataFrame:
 def content_reuse(chapters: DataFrame) -> DataFrame:
     """Each distinct content once: (content_key, n_chapters, first id) joined back to chapters as processed_by."""
     keyed = chapters.withColumn("content_key", F.md5("content"))
-    firsts = keyed.groupBy("content_key").agg(F.count("*").alias("n_chapters"), F.min(F.struct(*CHAPTER)).alias("f"))
-    return keyed.join(firsts, "content_key").select(*CHAPTER, "content_key", "n_chapters", F.concat_ws(":", "f.textbook_id", "f.chapter_id").alias("processed_by"))
+    firsts = keyed.groupBy("content_key").agg(F.count("*").alias("n_chapters"), F.min(F.concat_ws(":", *CHAPTER)).alias("processed_by"))
+    return keyed.join(firsts, "content_key").select(*CHAPTER, "content_key", "n_chapters", "processed_by")
 
 
 def extraction_progress(chapters: DataFrame, nodes: DataFrame) -> DataFrame:
