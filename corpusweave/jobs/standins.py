@@ -15,7 +15,7 @@ from corpusweave.operators import extract, segment
 TERMS = ("the", "and", "with", "nicht", "und", "keit", "para", "como", "que", "avec", "dans", "pour")
 RUN = "run1"
 #: Small, so that the budget overflows on the given tables.
-RATIO = 0.02
+RATIO = 0.012
 CANDIDATE, MERGE = 0.40, 0.45
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.text import strip
@@ -68,7 +68,12 @@ def _first_with(terms: DataFrame, spots: DataFrame) -> DataFrame:
     if not lengths:
         return terms.select("term", F.lit(None).cast("string").alias("decision_id"))
     h = F.col("haystack")
-    runs = F.array_distinct(F.flatten(F.array(*(F.when(F.length(h) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) - n + 1, F.lit(1))), lambda i, n=n: F.substring(h, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths))))
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(h) - n + 1, F.lit(1)))
+        return F.when(F.length(h) >= n, F.transform(starts, lambda i: F.substring(h, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    runs = F.array_distinct(F.flatten(F.array(*map(of_length, lengths))))
     return spots.select("decision_id", "position", F.explode(runs).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.min_by("decision_id", "position").alias("decision_id"))
 
 
