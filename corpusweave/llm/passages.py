@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from corpusweave.llm.common import slices, texts_of, written
 
-WINDOW, GRAM = 35, 12
+WINDOW, GRAM = 35, 8
 SHARD_SEGMENTS = 4096
 
 _BASE = 0x9E3779B97F4A7C15
@@ -80,7 +80,7 @@ def segments(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nda
 
 
 class WaveletTree:
-    """Rank of symbols in a sequence, as one bit row per bit of the symbols with counts per word of 64."""
+    """Rank of symbols in a sequence that has all of them, as one bit row per bit with counts per word of 64."""
 
     def __init__(self, seq: np.ndarray, symbols: int):
         self.bits, self.before, self.zeros = [], [], []
@@ -195,11 +195,11 @@ _ARROW_INTERVALS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64(
 
 def _search(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (shard, anchor, digest, segment, n) of the shard that may go on
+        held: list[tuple] = []  # (shard, anchor, hash, segment, n) of the shard that may go on
 
         def ended(rows: list[tuple]) -> pa.RecordBatch:
             spans = repeated_windows([(r[1], r[3], r[4]) for r in rows], window)
-            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array(spans, _ARROW_INTERVALS)], ["anchor", "digest", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(spans, _ARROW_INTERVALS)], ["anchor", "segment_hash", "spans"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -298,25 +298,25 @@ class Repeats:
         shared = written(runs.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
         marked = runs.join(shared, "anchor", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "anchor", "n")).alias("shared"))
         self.texts = written(given.join(marked, _same_row(given, marked)).select(given["doc_id"], given["digest"], "text", "shared"))
-        cut = _segment_rows(self.texts, window).withColumn("segment_digest", F.md5("segment"))
-        distinct = written(cut.groupBy("anchor", "segment_digest", "segment").agg(F.count("*").alias("n")))
+        cut = _segment_rows(self.texts, window).withColumn("segment_hash", F.xxhash64("segment"))
+        distinct = written(cut.groupBy("anchor", "segment_hash", "segment").agg(F.count("*").alias("n")))
         total, everywhere = distinct.count(), written(distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > shard_segments).select("anchor"))
         shards = max(1, -(-total // shard_segments))
-        dealt = distinct.join(everywhere, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "segment_digest", "segment", "n")
-        indexed = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window), f"anchor bigint, digest string, spans {INTERVALS}").filter(F.size("spans") > 0)
-        found = written(indexed.select("anchor", F.col("digest").alias("segment_digest"), F.explode("spans").alias("s")).unionByName(self._counted(distinct.join(everywhere, "anchor", "left_semi"))))
+        dealt = distinct.join(everywhere, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "segment_hash", "segment", "n")
+        indexed = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window), f"anchor bigint, segment_hash bigint, spans {INTERVALS}").filter(F.size("spans") > 0)
+        found = written(indexed.select("anchor", "segment_hash", F.explode("spans").alias("s")).unionByName(self._counted(distinct.join(everywhere, "anchor", "left_semi"))))
         # every place of a segment has the segment's repeated windows
-        places = cut.select("doc_id", "digest", "start", "anchor", "segment_digest").join(found, ["anchor", "segment_digest"])
+        places = cut.select("doc_id", "digest", "start", "anchor", "segment_hash").join(found, ["anchor", "segment_hash"])
         self.spans = places.groupBy("doc_id", "digest").agg(F.collect_set(F.struct((F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.col("s.last")).alias("last"))).alias("spans"))
 
     def _counted(self, rows: DataFrame) -> DataFrame:
         """The repeated windows of segments, each window counted by content."""
         words, size = F.split("segment", " "), F.lit(self.window)
         windows = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " "))
-        each = rows.withColumn("words", words).select("anchor", "segment_digest", "n", F.posexplode(windows).alias("at", "w"))
+        each = rows.withColumn("words", words).select("anchor", "segment_hash", "n", F.posexplode(windows).alias("at", "w"))
         often = each.groupBy("w").agg(F.sum("n").alias("times")).filter("times > 1").select("w")
         at = F.col("at").cast("long")
-        return each.join(often, "w", "left_semi").select("anchor", "segment_digest", F.struct(at.alias("first"), at.alias("last")).alias("s"))
+        return each.join(often, "w", "left_semi").select("anchor", "segment_hash", F.struct(at.alias("first"), at.alias("last")).alias("s"))
 
 
 def dedup_passages(docs: DataFrame, **options) -> DataFrame:
