@@ -20,20 +20,24 @@ from corpusweave.llm.common import held_out, slices, texts_of
 PROFILE = 300
 TRAIN_ROWS = 20_000
 UNKNOWN = "und"
+#: Not 0, or a word's first letter with the space before it would be the letter alone.
+SPACE = 1
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of the 1- to 3-grams of the lower-cased words; 21 bits per character, space is 0."""
+    """(codes, counts) of the 1- to 3-grams of the lower-cased words; 21 bits per character, SPACE between words."""
     chars = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _LETTER[np.minimum(chars, 0xFFFF)]
     if (high := chars > 0xFFFF).any():
         letter[high] = [chr(c).isalpha() for c in chars[high]]
-    c = np.zeros(len(chars) + 2, np.int64)
-    c[1:-1] = np.where(letter, chars, 0)
-    c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]  # one space between words
-    two, mid = (c[:-1] << 21) | c[1:], c[1:-1] != 0
-    return np.unique(np.concatenate((c[c != 0], two, ((two[:-1] << 21) | c[2:])[mid])), return_counts=True)
+    c = np.full(len(chars) + 2, SPACE, np.int64)
+    c[1:-1] = np.where(letter, chars, SPACE)
+    c = c[np.concatenate(([True], (c[1:] != SPACE) | (c[:-1] != SPACE)))]  # one space between words
+    two, inner = (c[:-1] << 21) | c[1:], c[1:-1] != SPACE
+    if len(c) < 2:  # no letter at all
+        two = two[:0]
+    return np.unique(np.concatenate((c[c != SPACE], two, ((two[:-1] << 21) | c[2:])[inner])), return_counts=True)
 
 
 def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:

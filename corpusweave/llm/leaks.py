@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -145,9 +146,8 @@ def latent_space(spark: SparkSession, items: Items, rank: int = RANK, seed: int
                         for term, value in zip(t.tolist(), x):
                             got[term] = got.get(term, 0) + value * y
                 terms, rows = list(got), list(got.values())
-            import pandas as pd
-
-            yield pd.DataFrame({"term": np.asarray(terms, np.int64), "v": [r.tolist() for r in rows]})
+            if len(terms):
+                yield pd.DataFrame({"term": np.asarray(terms, np.int64), "v": [r.tolist() for r in rows]})
 
         return run
 
