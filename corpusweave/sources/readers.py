@@ -12,7 +12,7 @@ OUTLINE = "doc_id string, pos int, level int, title string, page int"
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, filename, title, content): each file is a document, titled by its stem."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+    rows = spark.read.text(path, wholetext=True).select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("filename"), F.col("value").alias("content"))
     return rows.select(F.concat(F.lit("tb_"), F.substring(F.md5("filename"), 1, 8)).alias("doc_id"), "filename", F.regexp_replace("filename", r"\.[^.]*\z", "").alias("title"), "content")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -45,12 +46,12 @@ def from_json_list(c: Column) -> Column:
     return F.from_json(F.coalesce(c, F.lit("[]")), "array<string>")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to a vector; null stays null."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def vector_to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
