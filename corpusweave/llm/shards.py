@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusweave.llm.common import written
 
 HASH_BITS = 60
-STEP_BITS = 10
+STEP_BITS = 6
 
 
 def key_hash(key: Column) -> Column:
