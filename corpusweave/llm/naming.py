@@ -32,7 +32,8 @@ def _block_names(blocks: DataFrame) -> DataFrame:
     where no two distinct blocks share that digest. Any others are looked up by their content.
     """
     names = written(_named(blocks.select("block", "digest").distinct(), "block").select("digest", "name"))
-    shared = names.groupBy("digest").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    # a table of its own, so that a hot digest's rows can be split in the join
+    shared = written(names.groupBy("digest").agg(F.count("*").alias("n"), F.min("name").alias("name")))
     found = blocks.join(shared.filter("n = 1").select("digest", "name"), "digest")
     twins = shared.filter("n > 1").select("digest")
     if not twins.isEmpty():
