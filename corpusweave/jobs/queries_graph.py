@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.functions.shared import written
 from corpusweave.functions.text import truncate_middle
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CHAPTERS, EDGES, NODES, books, chapters, edges, nodes, table
@@ -279,7 +280,7 @@ def graph_dedupe_all(spark, sf_dir):
 
 
 def deduped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = nodes(spark, sf_dir)
+    n = written(nodes(spark, sf_dir))
     kept, mapping = graph.dedupe_nodes(n)
     return kept, graph.rewrite_edges(extract.rule_edges(n), kept, mapping)
 

@@ -9,7 +9,7 @@ from corpusweave.functions.ranking import numbered
 from corpusweave.functions.shared import written
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CANDIDATE, EDGES, MERGE, NODES, RATIO, RUN, books, chapters, edges, nodes, vectors
-from corpusweave.operators import align, graph, integrate
+from corpusweave.operators import align, extract, graph, integrate
 
 _KEY = "lower(regexp_replace(name, '[\\s\\-_/（）()【】\\[\\]《》,，.。:：;；]', '', 'g'))"
 
@@ -119,7 +119,7 @@ def node_links(spark: SparkSession, sf_dir: str, n: DataFrame) -> DataFrame:
 
 @query(f"{_COMBINED_SQL} SELECT * FROM combined")
 def combined_clusters(spark, sf_dir):
-    n = nodes(spark, sf_dir)
+    n = written(nodes(spark, sf_dir))
     return align.combined_clusters(n, node_links(spark, sf_dir, n))
 
 
@@ -139,8 +139,8 @@ WEIGHTED_SQL = f"""{EDGES}, deg AS (SELECT id, count(*) AS degree FROM (SELECT s
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
-    return integrate.weighted(n, edges(spark, sf_dir))
+    n = written(nodes(spark, sf_dir))
+    return integrate.weighted(n, extract.rule_edges(n))
 
 
 @query(f"WITH {WEIGHTED_SQL} SELECT id, degree, importance FROM weighted")

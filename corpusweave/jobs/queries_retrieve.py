@@ -123,8 +123,7 @@ FUSED_SQL = f"""{WORDS_SQL}, ctok AS (SELECT chunk_id, unnest({_TOK.format('text
 
 
 def search(c: DataFrame, asked: DataFrame, leg: str = "fused") -> DataFrame:
-    """Five best chunks of c for each question: both legs fused, or the vector leg alone."""
-    c = written(c)
+    """Five best chunks of c, a written table, for each question: both legs fused, or the vector leg alone."""
     vectors = retrieve.vector_top(encode.encode(c, "text"), encode.encode(asked, "question"))
     if leg == "vector":
         return retrieve.fuse(vectors, vectors.select("question_id", "chunk_id", F.lit(0.0).alias("bm25"), F.lit(None).cast("int").alias("bm25_rank")).limit(0))
@@ -139,7 +138,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT * FROM fused")
 def rrf_top(spark, sf_dir):
-    return search(chunks(spark, sf_dir), questions(spark, sf_dir))
+    return search(written(chunks(spark, sf_dir)), questions(spark, sf_dir))
 
 
 _CONTEXT = "'[' || rank || '] 来源：' || textbook_title || '，' || chapter_title || '，第' || page_start || '页' || chr(10) || substr(text, 1, 1100)"
