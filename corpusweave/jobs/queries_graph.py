@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.shared import written
 from corpusweave.functions.text import truncate_middle
+from corpusweave.jobs import pipelines
 from corpusweave.jobs.registry import query
-from corpusweave.jobs.standins import BOOKS, CHAPTERS, EDGES, NODES, books, chapters, edges, nodes, table
+from corpusweave.jobs.standins import BOOKS, CHAPTERS, EDGES, NODES, TERMS, books, chapters, edges, nodes, table
 from corpusweave.operators import extract, graph, segment
 
 # Pages of one host are a document; its outline has one row per page. Every fifth title says
@@ -226,6 +227,19 @@ def extraction_routes(spark, sf_dir):
     return extract.response_route(r.drop("response", "json"), answered).select("textbook_id", "chapter_id", "route")
 
 
+_ROUTED_SQL = f"""WITH {NODES}, wd AS{_NODES_SQL.split(", wd AS", 1)[1]}, routed AS (SELECT *, substr(chapter_id, 4)::INT AS n FROM chapters)"""
+
+
+@query(f"""{_ROUTED_SQL}
+SELECT id, textbook_id, chapter_id, name, category FROM mnodes WHERE substr(chapter_id, 4)::INT % 3 <> 1
+UNION ALL SELECT id, textbook_id, chapter_id, name, category FROM nodes WHERE substr(chapter_id, 4)::INT % 3 = 1 OR substr(chapter_id, 4)::INT % 10 = 0""")
+def extracted_graph(spark, sf_dir):
+    """Nodes by the route of each chapter; every third chapter has no answer."""
+    r = written(responses(spark, sf_dir))
+    answered = r.filter(F.expr("cast(substring(chapter_id, 4) as int) % 3 <> 1")).select("textbook_id", "chapter_id", "response")
+    return pipelines.extract_graph(r.drop("response", "json"), answered, TERMS)[0].select("id", "textbook_id", "chapter_id", "name", "category")
+
+
 @query(f"WITH {NODES} SELECT textbook_id, chapter_id, name, rank::INT AS rank FROM nth WHERE rank <= 10")
 def candidate_terms(spark, sf_dir):
     return nodes(spark, sf_dir).select("textbook_id", "chapter_id", "name", "rank")
