@@ -82,7 +82,8 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
     compared whole; other columns are ignored; an empty table gives an empty one.
     """
     rows = identities(docs, **options)
-    groups = rows.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # a table of its own, so that a hot group's rows can be split in the join
+    groups = written(rows.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     joined = rows.join(groups, ["n_blocks", "name"])
     return joined.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256")
