@@ -7,36 +7,65 @@ goes. What is left is rendered with role tags.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.functions.ranking import numbered
 from corpusweave.llm.common import written
 
 TURNS_PER_PART = 1024
 
 
+def _same(x: DataFrame, y: DataFrame, *cols: str) -> Column:
+    return reduce(lambda a, b: a & b, (x[c].eqNullSafe(y[c]) for c in cols))
+
+
+def _keyed(turns: DataFrame, part: int) -> DataFrame:
+    """turns with their run of `part` turn numbers, and sha, the digest of the text."""
+    return turns.withColumns({"role": F.coalesce("role", F.lit("")), "sha": F.sha2(F.coalesce("text", F.lit("")), 256), "run": F.floor(F.coalesce(F.col("turn"), F.lit(0)) / part)})
+
+
+def _by_crowd(rows: DataFrame, part: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of runs with `part` rows or fewer, rows of the other runs with their place in the run, from 1).
+
+    Places in a crowded run are ordinals of a range-partitioned table, so no task holds the run.
+    """
+    crowded = written(rows.groupBy("conv_id", "run").agg(F.count("*").alias("m")).filter(F.col("m") > part).select("conv_id", "run"))
+    if crowded.isEmpty():
+        return rows, None
+    same = _same(rows, crowded, "conv_id", "run")
+    ordered = numbered(rows.join(crowded, same, "left_semi"), "g", *map(F.col, ("conv_id", "run", "turn", "role", "sha")))
+    first = written(ordered.groupBy("conv_id", "run").agg(F.min("g").alias("g0")))
+    placed = ordered.join(first, _same(ordered, first, "conv_id", "run")).select(*(ordered[c] for c in rows.columns), (F.col("g") - F.col("g0") + 1).alias("place"))
+    return rows.join(crowded, same, "left_anti"), placed
+
+
 def prefix_hashes(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
     """(conv_id, pos, n, a, b): two 64-bit hashes of the first pos of n turns, from 1.
 
-    Ranks and hashes are carried within runs of `part` turn numbers and then over the runs'
-    sums, so that a conversation of any length is no single task's work.
+    Ranks and hashes are carried within pieces of at most `part` rows of a run of `part` turn
+    numbers, and then over the pieces' sums, so that neither a conversation of any length nor a
+    turn number that repeats is a single task's work.
     """
-    rows = turns.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.floor(F.coalesce(F.col("turn"), F.lit(0)) / part).alias("run")
-    )
-    run = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "sha")
-    ranked = rows.withColumn("place", F.row_number().over(run))
+    rows = _keyed(turns, part).select("conv_id", "turn", "role", "sha", "run")
+    usual, crowded = _by_crowd(rows, part)
+    ranked = usual.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn", "role", "sha")))
+    if crowded is not None:
+        ranked = ranked.unionByName(crowded)
     conv = Window.partitionBy("conv_id")
     before = conv.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("conv_id", "run").agg(F.count("*").alias("m")).select("conv_id", "run", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skip"), F.sum("m").over(conv).alias("n"))
-    same = lambda x, y: x["conv_id"].eqNullSafe(y["conv_id"]) & (x["run"] == y["run"])
-    at = ranked.join(counts, same(ranked, counts)).select(ranked["conv_id"], ranked["run"], (F.col("place") + F.col("skip")).alias("pos"), "n", "role", "sha")
-    hashed = written(at.select("conv_id", "run", "pos", "n", F.xxhash64(F.lit("a"), "pos", "role", "sha").alias("a"), F.xxhash64(F.lit("b"), "pos", "role", "sha").alias("b")))
-    sums = hashed.groupBy("conv_id", "run").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    carried = sums.select("conv_id", "run", *(F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ab"))
-    within = Window.partitionBy("conv_id", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rolled = hashed.select("conv_id", "run", "pos", "n", *(F.bit_xor(c).over(within).alias(c) for c in "ab"))
-    return rolled.join(carried, same(rolled, carried)).select(rolled["conv_id"], "pos", "n", F.col("a").bitwiseXOR(F.col("a0")).alias("a"), F.col("b").bitwiseXOR(F.col("b0")).alias("b"))
+    at = ranked.join(counts, _same(ranked, counts, "conv_id", "run")).select(ranked["conv_id"], ranked["run"], F.floor((F.col("place") - 1) / part).alias("piece"), (F.col("place") + F.col("skip")).alias("pos"), "n", "role", "sha")
+    cell = ["conv_id", "run", "piece"]
+    hashed = written(at.select(*cell, "pos", "n", F.xxhash64(F.lit("a"), "pos", "role", "sha").alias("a"), F.xxhash64(F.lit("b"), "pos", "role", "sha").alias("b")))
+    sums = hashed.groupBy(*cell).agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    earlier = conv.orderBy("run", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*cell, *(F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "ab"))
+    within = Window.partitionBy(*cell).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rolled = hashed.select(*cell, "pos", "n", *(F.bit_xor(c).over(within).alias(c) for c in "ab"))
+    return rolled.join(carried, _same(rolled, carried, *cell)).select(rolled["conv_id"], "pos", "n", F.col("a").bitwiseXOR(F.col("a0")).alias("a"), F.col("b").bitwiseXOR(F.col("b0")).alias("b"))
 
 
 def maximal(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
@@ -48,17 +77,23 @@ def maximal(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
 
 
 def render(turns: DataFrame, *, start: str = "<|im_start|>", end: str = "<|im_end|>", part: int = TURNS_PER_PART) -> DataFrame:
-    """(conv_id, part, n_turns, rendered): the maximal conversations with role tags.
+    """(conv_id, part, piece, n_turns, rendered): the maximal conversations with role tags.
 
     turns has conv_id, turn, role and text. Turns are ordered by turn (null first), role and the
     digest of the text; null role or text is empty; a repeated row is a repeated turn; a null
     conv_id is a conversation like others, and goes before none of its equals. A conversation of
-    more than `part` turn numbers comes in numbered parts, so no row or task gathers all of one.
-    Other columns are ignored; an empty table gives an empty one.
+    more than `part` turn numbers comes in numbered parts, and a part of more than `part` rows
+    (turn numbers that repeat) in numbered pieces, so no row or task gathers all of one; read in
+    order of part and piece they are the whole. Other columns are ignored; an empty table gives
+    an empty one.
     """
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    kept = maximal(rows, part).withColumnRenamed("conv_id", "kept_id")
-    stays = rows.join(kept, rows["conv_id"].eqNullSafe(kept["kept_id"])).drop("kept_id")
-    line = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end + "\n"))
-    tagged = stays.select("conv_id", "n", F.floor(F.coalesce(F.col("turn"), F.lit(0)) / part).alias("part"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), line.alias("line")).alias("t"))
-    return tagged.groupBy("conv_id", "part").agg(F.max("n").alias("n_turns"), F.sort_array(F.collect_list("t")).alias("ts")).select("conv_id", "part", "n_turns", F.array_join(F.col("ts.line"), "").alias("rendered"))
+    kept = written(maximal(rows, part).withColumnRenamed("conv_id", "kept_id"))
+    usual, crowded = _by_crowd(_keyed(rows, part), part)
+    pieces = usual.withColumn("piece", F.lit(0).cast("long"))
+    if crowded is not None:
+        pieces = pieces.unionByName(crowded.withColumn("piece", F.floor((F.col("place") - 1) / part)).drop("place"))
+    stays = pieces.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    line = F.concat(F.lit(start), "role", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end + "\n"))
+    tagged = stays.select("conv_id", "n", F.col("run").alias("part"), "piece", F.struct("turn", "role", "sha", line.alias("line")).alias("t"))
+    return tagged.groupBy("conv_id", "part", "piece").agg(F.max("n").alias("n_turns"), F.sort_array(F.collect_list("t")).alias("ts")).select("conv_id", "part", "piece", "n_turns", F.array_join(F.col("ts.line"), "").alias("rendered"))

@@ -98,6 +98,21 @@ def test_snapshots_against_brute_force_in_any_parts(spark, part):
     assert whole == {c: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in lists[c]) for c in want}
 
 
+@pytest.mark.parametrize("part", [1, 2, 5])
+def test_turn_numbers_that_repeat_come_in_pieces(spark, part):
+    rnd = random.Random(part)
+    convs = [(i if i else None, [(t // 7, rnd.choice(["u", "a"]), rnd.choice(["x", "y"])) for t in range(rnd.randrange(1, 24))]) for i in range(20)]
+    convs += [(50, convs[3][1] + [(9, "u", "x")] * 12), (51, convs[3][1])]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    lists = {c: [(r, x) for _, r, x in sorted(rows, key=lambda q: (q[0], q[1], sha(q[2])))] for c, rows in convs}
+    order = lambda c: -1 if c is None else c
+    want = {c for c, a in lists.items() if not any((len(b) > len(a) and b[: len(a)] == a) or (b == a and c is not None and order(d) < order(c) and d is not None) for d, b in lists.items())}
+    got = chat.render(turns(spark, convs), part=part).collect()
+    assert max(r["rendered"].count("<|im_start|>") for r in got) <= part and 51 not in want
+    whole = {c: "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == c), key=lambda r: (r["part"], r["piece"]))) for c in {r["conv_id"] for r in got}}
+    assert whole == {c: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in lists[c]) for c in want}
+
+
 def test_chat_ties_repeats_nulls_and_nothing(spark):
     convs = [(1, [(0, "user", "b"), (0, "user", "b"), (None, "user", "a")]), (None, [(0, "user", "z")])]
     got = {r["conv_id"]: r["rendered"] for r in chat.render(turns(spark, convs)).collect()}
