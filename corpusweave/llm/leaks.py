@@ -29,9 +29,9 @@ from corpusweave.llm.licences import words_of
 RANK, OVERSAMPLE, SEED = 64, 16, 7
 BLOCK_WORDS = 100_000
 MIN_WORDS = 8
-#: A window is folded in when so much of its squared IDF weight lies on benchmark words.
-MASS = 0.2
 COSINE = 0.5
+#: So many windows of a document are folded in at once.
+WINDOWS = 32
 SIMILAR, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS = 4
 
@@ -72,7 +72,22 @@ class Items:
         sizes = [max(8, 1 << (len(ws) - 1).bit_length()) for ws in self.words]
         for size in sorted(set(sizes)):
             self.by_window[size] = np.array([i for i, s in enumerate(sizes) if s == size])
-        self.idf = self.space = self.vectors = None
+        self.longs = np.array([len(ws) for ws in self.words], np.int64)
+        self.postings = {size: self.posted(members) for size, members in self.by_window.items()}
+        self.idf = self.space = self.vectors = self.weighted = None
+
+    def posted(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts by word, places in members, counts): which of the passages have a word, and how often."""
+        rows = sorted((self.vocab[w], k, m.bit_count()) for k, i in enumerate(members.tolist()) for w, m in self.places[i].items())
+        terms, at, n = np.array(rows, np.int64).reshape(-1, 3).T
+        return np.searchsorted(terms, np.arange(len(self.vocab) + 1)), at, n
+
+    def covered(self, size: int, terms: np.ndarray) -> np.ndarray:
+        """How many of its words each passage of a window size has among different terms: no common subsequence is longer."""
+        starts, at, n = self.postings[size]
+        lengths = starts[terms + 1] - starts[terms]
+        picked = np.repeat(starts[terms] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(at[picked], n[picked], len(self.by_window[size]))
 
     def row(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their TF-IDF weights, of length 1."""
@@ -86,6 +101,11 @@ class Items:
         v = np.array([x @ self.space[t] for t, x in rows], np.float32).reshape(len(rows), -1)
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
+    def weigh(self) -> None:
+        """What each word adds to a window; the last row is a word of no passage."""
+        rows = self.space * self.idf[:, None].astype(np.float32)
+        self.weighted = np.vstack((rows, np.zeros((1, rows.shape[1]), np.float32)))
+
 
 def document_frequencies(docs: DataFrame, items: Broadcast, text: str) -> tuple[np.ndarray, int]:
     """(documents that have each word of the block, all documents)."""
@@ -161,36 +181,43 @@ def latent_space(spark: SparkSession, items: Items, rank: int = RANK, seed: int
     return (basis @ vectors[:, top]).astype(np.float32)
 
 
-def search(words: list[bytes], block: Items, cosine: float = COSINE, mass: float = MASS) -> dict[int, tuple[float, float, int, int]]:
+def search(words: list[bytes], block: Items, cosine: float = COSINE) -> dict[int, tuple[float, float, int, int]]:
     """Item's place in the block -> (similarity, cosine, first, last word) of its best place in words."""
     n, rest = len(words), len(block.vocab)
     get = block.vocab.get
     ids = np.array([get(w, rest) for w in words], np.int64)
-    weight = np.cumsum(np.concatenate(([0], block.idf2[ids])))
-    inside = np.cumsum(np.concatenate(([0], np.where(ids < rest, block.idf2[ids], 0))))
     best: dict[int, tuple[float, float, int, int]] = {}
     for size, members in block.by_window.items():
-        starts = np.arange(0, max(1, n - size // 2), size // 4)
-        ends = np.minimum(starts + size, n)
-        share = (inside[ends] - inside[starts]) / np.maximum(weight[ends] - weight[starts], 1e-12)
-        for s in starts[share >= mass].tolist():
-            part = ids[s : s + size]
-            part = part[part < rest]
-            v = (block.space[part] * block.idf[part, None]).sum(0)
-            near = block.vectors[members] @ (v / max(float(np.linalg.norm(v)), 1e-12))
-            for k in np.flatnonzero(near >= cosine).tolist():
-                i = int(members[k])
+        step = size // 4
+        count = len(range(0, max(1, n - size // 2), step))
+        for at in range(0, count, WINDOWS):
+            windows = min(WINDOWS, count - at)
+            around = np.unique(ids[max(0, at * step - size // 2) : (at + windows - 1) * step + size + size // 2])
+            likely = members[block.covered(size, around[around < rest]) / block.longs[members] >= PARAPHRASE]
+            if not len(likely):
+                continue
+            part = ids[at * step : (at + windows + 3) * step]
+            part = np.append(part, np.full((windows + 3) * step - len(part), rest))
+            # a window is four steps, so the sums of steps serve four windows each
+            sums = block.weighted[part].reshape(windows + 3, step, -1).sum(1)
+            v = sums[:-3] + sums[1:-2] + sums[2:-1] + sums[3:]
+            near = (v @ block.vectors[likely].T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            for w, k in np.argwhere(near >= cosine).tolist():
+                i, s = int(likely[k]), (at + w) * step
                 if i in best and best[i][0] == 1:
                     continue
                 low = max(0, s - size // 2)
                 region = words[low : s + size + size // 2]
                 long = len(block.words[i])
-                length, first, last = common_subsequence(block.places[i], long, region)
+                places = block.places[i]
+                if sum(places[x].bit_count() for x in places.keys() & region) / long < PARAPHRASE:
+                    continue
+                length, first, last = common_subsequence(places, long, region)
                 similar = length / long
                 if last - first + 1 > 2 * long:
                     continue
                 if similar >= SIMILAR or (similar >= PARAPHRASE and len(block.answers[i]) >= ANSWER_WORDS and stands_in(block.answers[i], region)):
-                    found = (similar, float(near[k]), low + first, low + last)
+                    found = (similar, float(near[w, k]), low + first, low + last)
                     if i not in best or found[:2] > best[i][:2]:
                         best[i] = found
     return best
@@ -201,7 +228,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> int:
     return max(1, math.ceil(words / block_words))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, cosine: float = COSINE, mass: float = MASS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, cosine: float = COSINE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, similarity, cosine, first_word, last_word): documents with benchmark passages.
 
     One row per row of docs and passage that it holds. similarity is the share of the passage's
@@ -224,16 +251,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", te
         if not items.ids:
             continue
         df, total = document_frequencies(given, spark.sparkContext.broadcast(items), "text")
-        items.idf = np.append(np.log((1 + total) / (1 + df)) + 1, math.log(1 + total) + 1)  # the last: a word of no passage
-        items.idf2 = items.idf**2
+        items.idf = np.log((1 + total) / (1 + df)) + 1
         items.space = latent_space(spark, items)
         items.fold()
-        items.space = np.vstack((items.space, np.zeros((1, items.space.shape[1]), np.float32)))
-        out = out.unionByName(given.mapInArrow(_searcher(spark.sparkContext.broadcast(items), schema, cosine, mass), schema))
+        items.weigh()
+        out = out.unionByName(given.mapInArrow(_searcher(spark.sparkContext.broadcast(items), schema, cosine), schema))
     return out
 
 
-def _searcher(shared: Broadcast, schema: T.StructType, cosine: float, mass: float):
+def _searcher(shared: Broadcast, schema: T.StructType, cosine: float):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kinds = to_arrow_schema(schema)
@@ -244,7 +270,7 @@ def _searcher(shared: Broadcast, schema: T.StructType, cosine: float, mass: floa
             rows = []
             ids = part.column(0).to_pylist()
             for doc_id, t in zip(ids, texts_of(part)):
-                for i, found in search(words_of(t), block, cosine, mass).items():
+                for i, found in search(words_of(t), block, cosine).items():
                     rows.append((doc_id, block.ids[i], *found))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)

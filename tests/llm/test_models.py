@@ -148,6 +148,22 @@ def test_paraphrase_needs_the_answer(spark):
     assert [r["doc_id"] for r in leaks.find_leaks(docs, bench).collect()] == [1]
 
 
+def test_leaks_do_not_depend_on_the_corpus_size(spark, monkeypatch):
+    rnd = random.Random(5)
+    items = [[rnd.choice(EN) if j % 2 else f"p{i}x{j}" for j in range(17)] for i in range(20)]
+    docs = []
+    for i, words in enumerate(items):
+        other = [f"o{rnd.randrange(500)}" for _ in range(80)]
+        at = rnd.randrange(80)
+        docs.append((i, " ".join(other[:at] + words + other[at:])))
+    docs = spark.createDataFrame(docs + [(100, " ".join(rnd.choice(EN) for _ in range(200)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    counted = leaks.document_frequencies
+    for scale in (1, 1500, 1_000_000):
+        monkeypatch.setattr(leaks, "document_frequencies", lambda *a: tuple(scale * x for x in counted(*a)))
+        assert {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, bench).collect()} == {(i, i) for i in range(20)}
+
+
 def test_leaks_edges(odd, none, leaky):
     _, bench, _ = leaky
     assert leaks.find_leaks(none, bench).count() == leaks.find_leaks(odd, bench.limit(0)).count() == 0
