@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm import languages, leaks, naming, pieces, simhash
+from corpusweave.llm import languages, leaks, naming, pieces, shingles
 from corpusweave.llm.common import written
 
 #: Shares of the largest out-of-place distance below which a text is like no language learned.
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """Keeps the smallest doc_id of each component of texts with five-word Jaccard similarity 0.8 or more."""
+    return shingles.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
 
-#: Fingerprint components and latent retrieval are beyond SQL.
+#: Near-duplicate components and latent retrieval are beyond SQL.
 ORACLE_SQL = None
 
 
