@@ -2,18 +2,22 @@
 
 A passage of `window` words that stands at two places is found without comparing documents:
 
-1. Every window names an anchor, the least of the hashes of its runs of `gram` words. Equal
-   windows name equal anchors. Neighbouring windows mostly name the same one, so a document falls
-   into segments, and only segments whose anchor some other segment shares go on.
-2. Equal segments are counted and kept once. Shards gather whole anchors, so all equal windows lie
-   in one shard. Each shard's segments are indexed (suffix order, its last-column transform in a
-   wavelet tree) and streamed through it by backward search: a window whose interval holds two
-   rows or more stands elsewhere too. The index reads words `stride` at a time, in each phase,
-   so a window takes window / stride steps.
-3. An anchor with very many different segments (a phrase that is everywhere) has its windows
-   counted one by one, exactly, by content, instead of being indexed in one task.
-
-Hashes only choose what meets; what is removed was compared word by word.
+1. Every window has an anchor, the least of the hashes of its runs of `gram` words, and more words
+   on one side of it than on the other. The anchor with half of the window's other words, taken on
+   the longer side, is the window's key. Equal windows have equal keys, and neighbouring windows
+   mostly share one, so a document falls into segments; only segments whose key stands at two
+   places go on.
+2. Equal segments are one entry with a weight, how often it stands. Shards gather whole keys, so all
+   equal windows lie in one shard. Each shard's segments are indexed (suffix order, its last-column
+   transform in a wavelet tree) and streamed through it by backward search: the words matched before
+   the interval's weight falls under two are the matching statistic of a place, and places that
+   reach `window` are reported as intervals. The index reads words `stride` at a time, in each
+   phase, so a window takes window / stride steps.
+3. A key with very many different segments (words that are everywhere) has each window as a segment
+   of its own, so that it is dealt out over the shards by the windows' words.
+
+Keys and digests choose what meets: segments are equal when their 64-bit key and the 64-bit BLAKE2b
+digest of their words both are; within a shard windows are compared word by word.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from pyspark.sql import types as T
 
 from corpusweave.llm.common import slices, texts_of, written
 
-WINDOW, GRAM = 35, 8
+WINDOW, GRAM = 35, 4
 SHARD_SEGMENTS = 4096
+#: Texts that aren't needed are left out by so many hashes before the others are shuffled.
+FILTER = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -65,18 +71,24 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _hashes(a.astype(np.uint64) + np.uint64(1), turns[::2], turns[1::2])
 
 
-def segments(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, windows) of each segment of a text."""
+def segments(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, windows, places of the anchor) of each segment of a text."""
     words = word_hashes(raw)
     n, reach = len(words) - window + 1, window - gram + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     at = np.arange(len(words) - gram + 1)
     grams = _hashes(words, at, at + gram)
     view = np.lib.stride_tricks.sliding_window_view(grams, reach)
-    least = np.concatenate([view[i : i + (1 << 16)].argmin(1) for i in range(0, n, 1 << 16)]) + np.arange(n)
-    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    return grams[least[starts]], starts, np.diff(np.append(starts, n))
+    before = np.concatenate([view[i : i + (1 << 16)].argmin(1) for i in range(0, n, 1 << 16)])
+    anchor, half = before + np.arange(n), (window - gram + 1) // 2
+    left = 2 * before >= window - gram
+    first = anchor - half * left
+    keys = _mixed(_hashes(words, first, first + gram + half) + left.astype(np.uint64))
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    moved = new | np.concatenate(([True], anchor[1:] != anchor[:-1]))
+    starts = np.flatnonzero(new)
+    return keys[starts], starts, np.diff(np.append(starts, n)), np.add.reduceat(moved, starts, dtype=np.int64)
 
 
 class WaveletTree:
@@ -112,9 +124,9 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of texts (lists of word numbers from 1), read `stride` words at a time in each phase."""
+    """Index of texts (lists of word numbers from 1) with weights, read `stride` words at a time in each phase."""
 
-    def __init__(self, texts: list[np.ndarray], window: int):
+    def __init__(self, texts: list[np.ndarray], window: int, weights: list[int] | None = None):
         self.window = window
         self.stride = max(d for d in range(1, 8) if window % d == 0)
         self.steps = window // self.stride
@@ -142,51 +154,41 @@ class FMIndex:
         self.less = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
         self.tree = WaveletTree(text[suffixes - 1], symbols)
         self.size = len(text)
+        heavy = np.repeat(np.ones(len(texts), np.int64) if weights is None else np.array(weights, np.int64), sizes + self.stride)
+        ordered = np.concatenate([np.append(heavy[p :: self.stride], 0) for p in range(self.stride)])[suffixes]
+        self.weight = np.concatenate(([0], np.cumsum(ordered)))
 
-    def repeated(self, places: np.ndarray) -> np.ndarray:
-        """For each place in the joined texts: does the window from there stand twice or more?"""
+    def matched(self, places: np.ndarray) -> np.ndarray:
+        """For each place in the joined texts, how many words back from the end of its window stand twice or more (in strides, the window at most)."""
         low, high = np.zeros(len(places), np.int64), np.full(len(places), self.size, np.int64)
+        out = np.zeros(len(places), np.int64)
         live = np.arange(len(places))
         for step in range(self.steps - 1, -1, -1):
             c = self.run[places[live] + step * self.stride]
             both = self.tree.rank(np.concatenate((c, c)), np.concatenate((low[live], high[live])))
             low[live], high[live] = self.less[c] + both[: len(c)], self.less[c] + both[len(c) :]
-            live = live[high[live] - low[live] > 1]
-        out = np.zeros(len(places), bool)
-        out[live] = True
+            live = live[self.weight[high[live]] - self.weight[low[live]] > 1]
+            out[live] += self.stride
         return out
 
+    def repeated(self, places: np.ndarray) -> np.ndarray:
+        """For each place in the joined texts: does the window from there stand twice or more?"""
+        return self.matched(places) == self.window
+
 
 def _intervals(flags: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
     return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def repeated_windows(rows: list[tuple[int, str, int]], window: int) -> list[list[dict]]:
-    """rows: (anchor, segment, how often it stands) of one shard. Runs of repeated windows of each."""
-    found: list[list[dict]] = [[] for _ in rows]
+def repeated_windows(rows: list[tuple[str, int]], window: int) -> list[list[dict]]:
+    """rows: (segment, how often it stands) of one shard. Runs of repeated windows of each."""
     numbers: dict[str, int] = {}
-    by_anchor: dict[int, int] = {}
-    for anchor, _, _ in rows:
-        by_anchor[anchor] = by_anchor.get(anchor, 0) + 1
-    texts, of = [], []
-    for i, (anchor, segment, n) in enumerate(rows):
-        words = segment.split(" ")
-        if n > 1:
-            found[i] = [{"first": 0, "last": len(words) - window}]
-        if by_anchor[anchor] > 1:
-            texts.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.int64))
-            of.append(i)
-    single = [k for k, i in enumerate(of) if rows[i][2] == 1]
-    if not single:
-        return found
-    index = FMIndex(texts, window)
-    counts = [len(texts[k]) - window + 1 for k in single]
-    places = np.concatenate([index.starts[k] + np.arange(c) for k, c in zip(single, counts)])
-    hits = index.repeated(places)
-    for k, part in zip(single, np.split(hits, np.cumsum(counts)[:-1])):
-        found[of[k]] = _intervals(part)
-    return found
+    texts = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in segment.split(" ")], np.int64) for segment, _ in rows]
+    index = FMIndex(texts, window, [n for _, n in rows])
+    counts = [len(t) - window + 1 for t in texts]
+    hits = index.repeated(np.concatenate([start + np.arange(c) for start, c in zip(index.starts, counts)]))
+    return [_intervals(part) for part in np.split(hits, np.cumsum(counts)[:-1])]
 
 
 INTERVALS = "array<struct<first:bigint,last:bigint>>"
@@ -195,11 +197,11 @@ _ARROW_INTERVALS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64(
 
 def _search(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # (shard, anchor, hash, segment, n) of the shard that may go on
+        held: list[tuple] = []  # (shard, anchor, digest, segment, n) of the shard that may go on
 
         def ended(rows: list[tuple]) -> pa.RecordBatch:
-            spans = repeated_windows([(r[1], r[3], r[4]) for r in rows], window)
-            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(spans, _ARROW_INTERVALS)], ["anchor", "segment_hash", "spans"])
+            spans = repeated_windows([(r[3], r[4]) for r in rows], window)
+            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(spans, _ARROW_INTERVALS)], ["anchor", "segment", "spans"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -223,50 +225,57 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _outline(given: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, digest, n_words, whole, anchors, starts, counts): per row, without its text."""
+    """(doc_id, digest, n_words, whole, anchors, segments, starts, counts, places, row): per row, without its text."""
+    ints = {"anchors": np.int64, "segments": np.int64, "starts": np.int32, "counts": np.int32, "places": np.int32}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            raws = [t.encode() for t in texts_of(part)]
-            words = [r.split() for r in raws]
-            cut = [segments(r, window, gram) for r in raws]
-            ends = np.cumsum([0, *(len(c[0]) for c in cut)]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([c[i] for c in cut]).astype(np.uint64 if not i else np.int32).view(np.int32 if i else np.int64))) for i in range(3)]
-            cols = [part.column(0), part.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()), *lists]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "n_words", "whole", "anchors", "starts", "counts"])
-
-    tail = T.StructType.fromDDL("n_words bigint, whole string, anchors array<bigint>, starts array<int>, counts array<int>")
-    return given.mapInArrow(run, T.StructType([*given.schema[:2], *tail]))
+            sizes, wholes, found, size = [], [], [], []
+            for t in texts_of(part):
+                words = t.encode().split()
+                plain = b" ".join(words)
+                sizes.append(len(words))
+                wholes.append(hashlib.sha256(plain).hexdigest())
+                keys, starts, counts, places = segments(plain, window, gram)
+                ends = np.cumsum([len(w) + 1 for w in words])
+                first = (ends[starts] - [len(words[i]) + 1 for i in starts.tolist()]).tolist()
+                last = (ends[starts + counts + window - 2] - 1).tolist()
+                digests = b"".join(hashlib.blake2b(plain[a:b], digest_size=8).digest() for a, b in zip(first, last))
+                found.append((keys.view(np.int64), np.frombuffer(digests, "<i8"), starts, counts, places))
+                size.append(len(keys))
+            ends = np.cumsum([0, *size]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[i] for f in found]).astype(kind))) for i, kind in enumerate(ints.values())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(wholes, pa.string()), *lists], ["doc_id", "digest", "n_words", "whole", *ints])
+
+    tail = T.StructType.fromDDL("n_words bigint, whole string, anchors array<bigint>, segments array<bigint>, starts array<int>, counts array<int>, places array<int>")
+    return given.mapInArrow(run, T.StructType([*given.schema[:2], *tail])).withColumn("row", F.monotonically_increasing_id())
 
 
 def _segment_rows(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, digest, start, anchor, segment) from documents with their shared segments."""
+    """(anchor, segment, text, n) from texts with the segments that they stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
-            ids, digests, texts, shared = (part.column(i) for i in range(4))
-            at, start, anchor, segment = [], [], [], []
-            for i, (t, runs) in enumerate(zip(texts.to_pylist(), shared.to_pylist())):
+            anchor, digest, text, n = [], [], [], []
+            for t, entries in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 words = t.encode().split()
-                for r in runs:
-                    at.append(i)
-                    start.append(r["start"])
-                    anchor.append(r["anchor"])
-                    segment.append(b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1]).decode())
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([ids.take(at), digests.take(at), pa.array(start, pa.int64()), pa.array(anchor, pa.int64()), pa.array(segment, pa.string())], ["doc_id", "digest", "start", "anchor", "segment"])
+                for e in entries:
+                    anchor.append(e["anchor"])
+                    digest.append(e["segment"])
+                    text.append(b" ".join(words[e["start"] : e["start"] + e["count"] + window - 1]).decode())
+                    n.append(e["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(text, pa.string()), pa.array(n, pa.int64())], ["anchor", "segment", "text", "n"])
 
-    tail = T.StructType.fromDDL("start bigint, anchor bigint, segment string")
-    return rows.mapInArrow(run, T.StructType([*rows.schema[:2], *tail]))
+    return rows.mapInArrow(run, "anchor bigint, segment bigint, text string, n bigint")
 
 
 def _without(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, digest, n_removed, kept): what is left when covered words go."""
+    """(row, n_removed, sha, kept): what is left when covered words go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 64):
             removed, kept = [], []
-            for t, spans in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+            for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 words = t.encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for s in spans:
@@ -274,49 +283,75 @@ def _without(rows: DataFrame, window: int) -> DataFrame:
                     edge[s["last"] + window] -= 1
                 stays = np.cumsum(edge[:-1]) == 0
                 removed.append(len(words) - int(stays.sum()))
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)]).decode())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
+                kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)]))
+            shas = [hashlib.sha256(k).hexdigest() for k in kept]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array([k.decode() for k in kept], pa.string())], ["row", "n_removed", "sha", "kept"])
+
+    return rows.mapInArrow(run, "row bigint, n_removed bigint, sha string, kept string")
+
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema[:2], *T.StructType.fromDDL("n_removed bigint, kept string")]))
+def _with_texts(given: DataFrame, marked: DataFrame, *cols: str) -> DataFrame:
+    """marked (doc_id, digest, ...) with its rows' text; few other texts are shuffled."""
+    bucket = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(FILTER))
+    some = F.broadcast(marked.select(bucket.alias("bucket")).distinct())  # FILTER rows at most
+    texts = given.withColumn("bucket", bucket).join(some, "bucket", "left_semi").drop("bucket")
+    return marked.join(texts, _same_row(marked, texts)).select(*cols)
 
 
 class Repeats:
     """The tables of one search for repeated passages.
 
-    outline: a row per row of docs (doc_id, digest, n_words, whole: sha256 of its words).
-    spans:   (doc_id, digest, spans): the runs of window starts that stand elsewhere too.
-    texts:   (doc_id, digest, text) of documents with shared anchors.
+    given:   (doc_id, digest, text).
+    outline: a row per row of docs (row, doc_id, digest, n_words, whole: sha256 of its words).
+    spans:   (row, spans): the runs of window starts that stand elsewhere too.
     """
 
     def __init__(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS):
         if not 1 <= gram <= window:
             raise ValueError("gram must lie between 1 and window")
         self.window = window
-        given = _keyed(docs, key, text)
-        self.outline = written(_outline(given, window, gram))
-        runs = self.outline.select("doc_id", "digest", F.explode(F.arrays_zip("anchors", "starts", "counts")).alias("r")).select("doc_id", "digest", F.col("r.anchors").alias("anchor"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"))
-        shared = written(runs.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor"))
-        marked = runs.join(shared, "anchor", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set(F.struct("start", "anchor", "n")).alias("shared"))
-        self.texts = written(given.join(marked, _same_row(given, marked)).select(given["doc_id"], given["digest"], "text", "shared"))
-        cut = _segment_rows(self.texts, window).withColumn("segment_hash", F.xxhash64("segment"))
-        distinct = written(cut.groupBy("anchor", "segment_hash", "segment").agg(F.count("*").alias("n")))
-        total, everywhere = distinct.count(), written(distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > shard_segments).select("anchor"))
-        shards = max(1, -(-total // shard_segments))
-        dealt = distinct.join(everywhere, "anchor", "left_anti").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "segment_hash", "segment", "n")
-        indexed = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window), f"anchor bigint, segment_hash bigint, spans {INTERVALS}").filter(F.size("spans") > 0)
-        found = written(indexed.select("anchor", "segment_hash", F.explode("spans").alias("s")).unionByName(self._counted(distinct.join(everywhere, "anchor", "left_semi"))))
+        self.given = _keyed(docs, key, text)
+        self.outline = written(_outline(self.given, window, gram))
+        cols = ["anchors", "segments", "starts", "counts", "places"]
+        runs = self.outline.select("row", F.explode(F.arrays_zip(*cols)).alias("r")).select("row", *(F.col(f"r.{c}").alias(c[:-1]) for c in cols))
+        shared = written(runs.groupBy("anchor").agg(F.sum("place").alias("times")).filter("times > 1").select("anchor"))
+        live = written(runs.join(shared, "anchor", "left_semi").select("row", "anchor", "segment", "start", "count"))
+        groups = written(live.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "count")).alias("first")))
+        kinds = written(groups.groupBy("anchor").agg(F.count("*").alias("m"), F.max("n").alias("most")))
+        # a segment alone under its key stands whole elsewhere, or repeats within itself
+        whole = groups.join(kinds.filter("m = 1 AND most > 1"), "anchor").select("anchor", "segment", F.struct(F.lit(0).cast("long").alias("first"), (F.col("first.count") - 1).cast("long").alias("last")).alias("s"))
+        mixed = groups.join(kinds.filter("m > 1 OR most = 1"), "anchor").select("first.row", F.struct("anchor", "segment", "first.start", "first.count", "n").alias("e"))
+        lists = mixed.groupBy("row").agg(F.collect_list("e").alias("entries"))
+        ids = self.outline.select("row", "doc_id", "digest")
+        wanted = written(lists.join(ids, "row").select("doc_id", "digest", "entries"))
+        cut = written(_segment_rows(_with_texts(self.given, wanted, "text", "entries"), window))
+        crowded = kinds.filter(F.col("m") > shard_segments).select("anchor")
+        found = written(whole.unionByName(self._indexed(cut, crowded, shard_segments)))
         # every place of a segment has the segment's repeated windows
-        places = cut.select("doc_id", "digest", "start", "anchor", "segment_hash").join(found, ["anchor", "segment_hash"])
-        self.spans = places.groupBy("doc_id", "digest").agg(F.collect_set(F.struct((F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.col("s.last")).alias("last"))).alias("spans"))
-
-    def _counted(self, rows: DataFrame) -> DataFrame:
-        """The repeated windows of segments, each window counted by content."""
-        words, size = F.split("segment", " "), F.lit(self.window)
-        windows = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " "))
-        each = rows.withColumn("words", words).select("anchor", "segment_hash", "n", F.posexplode(windows).alias("at", "w"))
-        often = each.groupBy("w").agg(F.sum("n").alias("times")).filter("times > 1").select("w")
+        places = live.join(found, ["anchor", "segment"]).select("row", F.struct((F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.col("s.last")).alias("last")).alias("span"))
+        self.spans = places.groupBy("row").agg(F.collect_list("span").alias("spans"))
+
+    def _indexed(self, cut: DataFrame, crowded: DataFrame, shard_segments: int) -> DataFrame:
+        """(anchor, segment, s): the repeated windows of segments, by the index of their shard."""
+        dealt = cut if crowded.isEmpty() else cut.join(crowded, "anchor", "left_anti")
+        each = None
+        if dealt is not cut:
+            words, size = F.split("text", " "), F.lit(self.window)
+            windows = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " "))
+            hot = cut.join(crowded, "anchor", "left_semi").withColumn("words", words)
+            each = hot.select("anchor", "segment", "n", F.posexplode(windows).alias("at", "w")).withColumns({"a": F.xxhash64("w"), "b": F.xxhash64(F.lit("window"), "w")})
+            alone = written(each.groupBy(F.col("a").alias("anchor"), F.col("b").alias("segment"), F.col("w").alias("text")).agg(F.sum("n").alias("n")))
+            dealt = dealt.unionByName(alone)
+        shards = max(1, -(-dealt.count() // shard_segments))
+        routed = dealt.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "segment", "text", "n")
+        searched = routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(self.window), f"anchor bigint, segment bigint, spans {INTERVALS}")
+        found = searched.select("anchor", "segment", F.explode("spans").alias("s"))
+        if each is None:
+            return found
+        found = written(found)
         at = F.col("at").cast("long")
-        return each.join(often, "w", "left_semi").select("anchor", "segment_hash", F.struct(at.alias("first"), at.alias("last")).alias("s"))
+        own = found.select(F.col("anchor").alias("a"), F.col("segment").alias("b"))
+        return found.unionByName(each.join(own, ["a", "b"], "left_semi").select("anchor", "segment", F.struct(at.alias("first"), at.alias("last")).alias("s")))
 
 
 def dedup_passages(docs: DataFrame, **options) -> DataFrame:
@@ -329,11 +364,11 @@ def dedup_passages(docs: DataFrame, **options) -> DataFrame:
     columns are ignored; an empty table gives an empty one.
     """
     r = Repeats(docs, **options)
-    held = r.texts.select("doc_id", "digest", "text").join(r.spans, _same_row(r.texts, r.spans)).select(r.texts["doc_id"], r.texts["digest"], "text", "spans")
-    less = _without(held, r.window).dropDuplicates(["doc_id", "digest"]) if _repeats_rows(r.outline) else _without(held, r.window)
-    return r.outline.join(less, _same_row(r.outline, less), "left").select(
-        r.outline["doc_id"], "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce(F.sha2("kept", 256), "whole").alias("kept_sha256"), "kept"
-    )
+    marked = written(r.spans.join(r.outline.select("row", "doc_id", "digest"), "row"))
+    less = _without(_with_texts(r.given, marked, "row", "text", "spans"), r.window)
+    if _repeats_rows(r.outline):
+        less = less.dropDuplicates(["row"])
+    return r.outline.join(less, "row", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"), "kept")
 
 
 def _repeats_rows(outline: DataFrame) -> bool:

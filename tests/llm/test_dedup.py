@@ -194,6 +194,35 @@ def test_fm_index_counts_windows():
         places = [(k, i) for k, t in enumerate(texts) for i in range(len(t) - window + 1)]
         hits = index.repeated(np.array([index.starts[k] + i for k, i in places]))
         assert hits.tolist() == [often[tuple(texts[k][i : i + window])] > 1 for k, i in places]
+        weights = rnd.integers(1, 3, len(texts)).tolist()
+        heavy = Counter()
+        for t, n in zip(texts, weights):
+            heavy.update({w: n * c for w, c in Counter(tuple(t[i : i + window]) for i in range(len(t) - window + 1)).items()})
+        index = passages.FMIndex(texts, window, weights)
+        at = np.array([index.starts[k] + i for k, i in places])
+        assert index.repeated(at).tolist() == [heavy[tuple(texts[k][i : i + window])] > 1 for k, i in places]
+        # the statistic: the longest end of the window, in strides, that stands twice
+        for (k, i), got in zip(places, index.matched(at).tolist()):
+            end, best = i + window, 0
+            for size in range(index.stride, window + 1, index.stride):
+                run = texts[k][end - size : end].tolist()
+                if sum(n * sum(t[j : j + size].tolist() == run for j in range(len(t) - size + 1)) for t, n in zip(texts, weights)) < 2:
+                    break
+                best = size
+            assert got == best
+
+
+def test_windows_of_one_anchor_are_one_segment():
+    keys, starts, counts, places = passages.segments(b"x " * 100)
+    assert len(keys) <= 2 and counts.sum() == 66 and places.sum() == 66
+    rnd = random.Random(2)
+    words = [str(rnd.randrange(50)).encode() for _ in range(500)]
+    by_window = {}
+    keys, starts, counts, _ = passages.segments(b" ".join(words + words[100:300]))
+    for k, s, n in zip(keys, starts, counts):
+        for w in range(s, s + n):
+            by_window.setdefault(tuple((words + words[100:300])[w : w + 35]), set()).add(int(k))
+    assert all(len(k) == 1 for k in by_window.values())
 
 
 def test_wavelet_ranks():
