@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages are TF-IDF rows (document frequencies counted over all documents). A
-randomised SVD of these rows, its sums taken over tasks, gives a latent space. Windows of every
+Benchmark passages are TF-IDF rows (document frequencies counted over all documents, in one pass).
+A randomised SVD of these rows, its sums taken over tasks, gives a latent space. Windows of every
 document are folded into it and compared by cosine to the passages of their length; candidates
 are verified by the longest common subsequence of words. Where that is too short for a copy, a
-paraphrase is told by the passage's answer standing word for word in the same place.
+paraphrase is told by the passage's answer standing word for word in the same place. Passages too
+short to be told from chance that way are searched for word by word.
 
 Benchmarks are searched in blocks of bounded size, each against all documents.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -27,26 +29,56 @@ from corpusweave.llm.common import slices, texts_of, written
 from corpusweave.llm.licences import words_of
 
 RANK, OVERSAMPLE, SEED = 64, 16, 7
-BLOCK_WORDS = 100_000
+BLOCK_WORDS = 250_000
+#: Shorter passages count where they stand word for word.
 MIN_WORDS = 8
 COSINE = 0.5
-#: So many windows of a document are folded in at once.
-WINDOWS = 32
+#: Words of a document that are searched at once, at least.
+STRETCH = 512
+#: Words that a task counts before it hands its counts on.
+COUNTED = 200_000
 SIMILAR, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS = 4
 
 
-def common_subsequence(item: dict[bytes, int], size: int, words: list[bytes]) -> tuple[int, int, int]:
-    """(length, first, last) of the longest common subsequence of a passage and words; item maps a
-    word to the bit set of its places. first and last are the words' places where its length begins and stops to grow."""
-    rows, mask, length, first, last = (1 << size) - 1, (1 << size) - 1, 0, -1, -1
+def common_subsequence(item: dict[bytes, int], size: int, words: list[bytes]) -> tuple[int, int]:
+    """(length, last) of the longest common subsequence of a passage and words; item maps a word to
+    the bit set of its places. last is the place where the length is first reached, -1 for none."""
+    rows, mask, length, last = (1 << size) - 1, (1 << size) - 1, 0, -1
     for at, w in enumerate(words):
         if m := item.get(w, 0):
             x = rows & m
             rows = ((rows + x) | (rows - x)) & mask
             if (now := size - rows.bit_count()) > length:
-                first, last, length = at if first < 0 else first, at, now
-    return length, first, last
+                last, length = at, now
+    return length, last
+
+
+def backwards(item: dict[bytes, int], size: int) -> dict[bytes, int]:
+    """The bit sets of a passage read from its end."""
+    return {w: int(f"{m:0{size}b}"[::-1], 2) for w, m in item.items()}
+
+
+def closest(item: dict[bytes, int], size: int, words: list[bytes]) -> tuple[int, int, int]:
+    """(length, first, last) of the longest common subsequence within a stretch of twice the passage's size.
+
+    The whole of words comes first. Only where what it finds spreads wider, stretches that begin
+    every eighth of the passage are looked at one by one; of equals the first counts.
+    """
+    turned = backwards(item, size)
+
+    def within(low: int, high: int) -> tuple[int, int, int]:
+        length, last = common_subsequence(item, size, words[low:high])
+        if not length:
+            return 0, low, low
+        back = common_subsequence(turned, size, words[low : low + last + 1][::-1])[1]
+        return length, low + last - back, low + last
+
+    best = within(0, len(words))
+    if best[2] - best[1] < 2 * size:
+        return best
+    stretches = (within(low, low + 2 * size) for low in range(0, len(words), max(1, size // 8)))
+    return max(stretches, key=lambda s: (s[0], -s[1]))
 
 
 def stands_in(short: list[bytes], long: list[bytes]) -> bool:
@@ -54,13 +86,20 @@ def stands_in(short: list[bytes], long: list[bytes]) -> bool:
 
 
 class Items:
-    """A block of the benchmark with its vocabulary, weights and latent space."""
+    """A block of the benchmark with its vocabulary, weights and latent space; rows are (id, text, answer)."""
 
     def __init__(self, rows: list[tuple]):
-        self.ids = [r[0] for r in rows]
-        self.words = [words_of(r[1]) for r in rows]
+        cut = [(r, words_of(r[1])) for r in rows]
+        #: first word -> (id, words) of the passages that are too short
+        self.short: dict[bytes, list[tuple]] = {}
+        for r, ws in cut:
+            if 0 < len(ws) < MIN_WORDS:
+                self.short.setdefault(ws[0], []).append((r[0], ws))
+        cut = [(r, ws) for r, ws in cut if len(ws) >= MIN_WORDS]
+        self.ids = [r[0] for r, _ in cut]
+        self.words = [ws for _, ws in cut]
         # without an answer of its own a passage's last sentence serves
-        self.answers = [words_of(r[2]) if r[2] is not None else words_of(r[1].rstrip(" .!?\n").replace("!", ".").replace("?", ".").rpartition(".")[2]) for r in rows]
+        self.answers = [words_of(r[2]) if r[2] is not None else words_of(r[1].rstrip(" .!?\n").replace("!", ".").replace("?", ".").rpartition(".")[2]) for r, _ in cut]
         self.vocab = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.places = []
         for ws in self.words:
@@ -68,26 +107,20 @@ class Items:
             for i, w in enumerate(ws):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.places.append(masks)
-        self.by_window: dict[int, np.ndarray] = {}
-        sizes = [max(8, 1 << (len(ws) - 1).bit_length()) for ws in self.words]
-        for size in sorted(set(sizes)):
-            self.by_window[size] = np.array([i for i, s in enumerate(sizes) if s == size])
         self.longs = np.array([len(ws) for ws in self.words], np.int64)
-        self.postings = {size: self.posted(members) for size, members in self.by_window.items()}
+        self.sizes = np.array([max(8, 1 << (len(ws) - 1).bit_length()) for ws in self.words], np.int64)
+        # postings: for each word the passages that have it, and how often
+        rows = sorted((self.vocab[w], i, m.bit_count()) for i, masks in enumerate(self.places) for w, m in masks.items())
+        terms, self.having, self.times = np.array(rows, np.int64).reshape(-1, 3).T
+        self.starts = np.searchsorted(terms, np.arange(len(self.vocab) + 1))
         self.idf = self.space = self.vectors = self.weighted = None
 
-    def posted(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(starts by word, places in members, counts): which of the passages have a word, and how often."""
-        rows = sorted((self.vocab[w], k, m.bit_count()) for k, i in enumerate(members.tolist()) for w, m in self.places[i].items())
-        terms, at, n = np.array(rows, np.int64).reshape(-1, 3).T
-        return np.searchsorted(terms, np.arange(len(self.vocab) + 1)), at, n
-
-    def covered(self, size: int, terms: np.ndarray) -> np.ndarray:
-        """How many of its words each passage of a window size has among different terms: no common subsequence is longer."""
-        starts, at, n = self.postings[size]
-        lengths = starts[terms + 1] - starts[terms]
-        picked = np.repeat(starts[terms] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        return np.bincount(at[picked], n[picked], len(self.by_window[size]))
+    def covered(self, terms: np.ndarray) -> np.ndarray:
+        """How many of its words each passage has among different terms: no common subsequence is longer."""
+        starts, ends = self.starts[terms], self.starts[terms + 1]
+        lengths = ends - starts
+        picked = np.repeat(ends - np.cumsum(lengths), lengths) + np.arange(lengths.sum())
+        return np.bincount(self.having[picked], self.times[picked], len(self.ids))
 
     def row(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and their TF-IDF weights, of length 1."""
@@ -107,27 +140,37 @@ class Items:
         self.weighted = np.vstack((rows, np.zeros((1, rows.shape[1]), np.float32)))
 
 
-def document_frequencies(docs: DataFrame, items: Broadcast, text: str) -> tuple[np.ndarray, int]:
-    """(documents that have each word of the block, all documents)."""
+def document_frequencies(docs: DataFrame, words: DataFrame, text: str) -> DataFrame:
+    """(word, n): how many documents have each of the words; the word "" stands for all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, n, found = items.value.vocab, 0, Counter()
-        words = frozenset(vocab)
+        found, n = Counter(), 0
         for part in slices(batches):
             n += part.num_rows
             for t in texts_of(part):
-                found.update(words.intersection(words_of(t)))
-        terms = [-1, *(vocab[w] for w in found)]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array([n, *found.values()], pa.int64())], ["term", "n"])
+                found.update(set(words_of(t)))
+            if len(found) >= COUNTED:
+                yield _counts(found)
+                found = Counter()
+        found[b""] = n
+        yield _counts(found)
+
+    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counts.join(words.unionByName(words.sparkSession.createDataFrame([("",)], "word string")).distinct(), "word", "left_semi")
 
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row per word of the block
-    df, total = np.zeros(len(items.value.vocab)), 0
-    for r in counts:
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return df, total
+
+def _counts(found: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+
+def _vocabulary(bench: DataFrame) -> DataFrame:
+    """(word): the different words of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in {w for t in texts_of(part) for w in words_of(t)}], pa.string())], ["word"])
+
+    return bench.select("text").mapInArrow(run, "word string").distinct()
 
 
 def _summed(rows: DataFrame, key: str, width: int, size: int) -> np.ndarray:
@@ -141,86 +184,91 @@ def _summed(rows: DataFrame, key: str, width: int, size: int) -> np.ndarray:
 def latent_space(spark: SparkSession, items: Items, rank: int = RANK, seed: int = SEED) -> np.ndarray:
     """The first right singular vectors of the block's TF-IDF rows, by a randomised SVD: the range of
     two multiplications by A'A of a random matrix, and the eigenvectors of A on that range."""
-    width = min(rank + OVERSAMPLE, max(1, len(items.vocab)), max(1, len(items.ids)))
-    table = spark.createDataFrame([(i,) for i in range(len(items.ids))], "i int").repartition(8)
-    basis = np.random.default_rng(seed).standard_normal((len(items.vocab), width))
     size = len(items.vocab)
+    width = min(rank + OVERSAMPLE, size, len(items.ids))
+    rows = [(t.tolist(), x.tolist()) for t, x in map(items.row, items.words)]
+    table = spark.createDataFrame(rows, "terms array<bigint>, weights array<double>").repartition(8)
+    basis = np.random.default_rng(seed).standard_normal((size, width))
 
     def product(shared: Broadcast, gram: bool):
         def run(batches):
-            block, q = shared.value
-            if gram:
-                total = np.zeros((width, width))
-                for b in batches:
-                    for i in b["i"]:
-                        t, x = block.row(block.words[i])
-                        y = x @ q[t]
+            q, total, got = shared.value, np.zeros((width, width)), {}
+            for b in batches:
+                for t, x in zip(b["terms"], b["weights"]):
+                    y = x @ q[t]
+                    if gram:
                         total += np.outer(y, y)
-                terms, rows = np.arange(width), total
-            else:
-                got: dict[int, np.ndarray] = {}
-                for b in batches:
-                    for i in b["i"]:
-                        t, x = block.row(block.words[i])
-                        y = x @ q[t]
-                        for term, value in zip(t.tolist(), x):
-                            got[term] = got.get(term, 0) + value * y
-                terms, rows = list(got), list(got.values())
+                        continue
+                    for term, value in zip(t.tolist(), x):
+                        got[term] = got.get(term, 0) + value * y
+            terms, sums = (np.arange(width), total) if gram else (list(got), list(got.values()))
             if len(terms):
-                yield pd.DataFrame({"term": np.asarray(terms, np.int64), "v": [r.tolist() for r in rows]})
+                yield pd.DataFrame({"term": np.asarray(terms, np.int64), "v": [r.tolist() for r in sums]})
 
         return run
 
+    def multiplied(gram: bool) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(basis)
+        out = _summed(table.mapInPandas(product(shared, gram), "term bigint, v array<double>"), "term", width, width if gram else size)
+        shared.destroy()
+        return out
+
     for _ in range(2):
-        shared = spark.sparkContext.broadcast((items, basis))
-        basis, _ = np.linalg.qr(_summed(table.mapInPandas(product(shared, False), "term bigint, v array<double>"), "term", width, size))
-    shared = spark.sparkContext.broadcast((items, basis))
-    gram = _summed(table.mapInPandas(product(shared, True), "term bigint, v array<double>"), "term", width, width)
-    values, vectors = np.linalg.eigh(gram)
+        basis, _ = np.linalg.qr(multiplied(False))
+    values, vectors = np.linalg.eigh(multiplied(True))
     top = [j for j in np.argsort(-values)[:rank] if values[j] > 1e-9]
     return (basis @ vectors[:, top]).astype(np.float32)
 
 
-def search(words: list[bytes], block: Items, cosine: float = COSINE) -> dict[int, tuple[float, float, int, int]]:
-    """Item's place in the block -> (similarity, cosine, first, last word) of its best place in words."""
+def search(words: list[bytes], block: Items, cosine: float = COSINE) -> list[tuple]:
+    """(item's id, similarity, cosine, first, last word) of each item's best place in words."""
     n, rest = len(words), len(block.vocab)
-    get = block.vocab.get
-    ids = np.array([get(w, rest) for w in words], np.int64)
     best: dict[int, tuple[float, float, int, int]] = {}
-    for size, members in block.by_window.items():
-        step = size // 4
-        count = len(range(0, max(1, n - size // 2), step))
-        for at in range(0, count, WINDOWS):
-            windows = min(WINDOWS, count - at)
-            around = np.unique(ids[max(0, at * step - size // 2) : (at + windows - 1) * step + size + size // 2])
-            likely = members[block.covered(size, around[around < rest]) / block.longs[members] >= PARAPHRASE]
-            if not len(likely):
-                continue
-            part = ids[at * step : (at + windows + 3) * step]
+    ids = np.fromiter(map(block.vocab.get, words, repeat(rest)), np.int64, n)
+    longest = int(block.sizes.max(initial=8))
+    stretch = max(STRETCH, 2 * longest)
+    for at in range(0, max(1, n) if block.ids else 0, stretch):
+        around = np.unique(ids[max(0, at - longest // 2) : at + stretch + 2 * longest])
+        likely = np.flatnonzero(block.covered(around[around < rest]) >= PARAPHRASE * block.longs)
+        for size in np.unique(block.sizes[likely]).tolist():
+            members = likely[block.sizes[likely] == size]
+            step = size // 4
+            # windows that begin in this stretch, but for the last half window of the text
+            windows = -(-(min(stretch, max(1, n - size // 2 - at))) // step)
+            part = ids[at : at + (windows + 3) * step]
             part = np.append(part, np.full((windows + 3) * step - len(part), rest))
             # a window is four steps, so the sums of steps serve four windows each
             sums = block.weighted[part].reshape(windows + 3, step, -1).sum(1)
             v = sums[:-3] + sums[1:-2] + sums[2:-1] + sums[3:]
-            near = (v @ block.vectors[likely].T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            near = (v @ block.vectors[members].T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
             for w, k in np.argwhere(near >= cosine).tolist():
-                i, s = int(likely[k]), (at + w) * step
+                i, s = int(members[k]), at + w * step
                 if i in best and best[i][0] == 1:
                     continue
                 low = max(0, s - size // 2)
                 region = words[low : s + size + size // 2]
-                long = len(block.words[i])
-                places = block.places[i]
-                if sum(places[x].bit_count() for x in places.keys() & region) / long < PARAPHRASE:
+                long, places = len(block.words[i]), block.places[i]
+                if sum(places[x].bit_count() for x in places.keys() & region) < PARAPHRASE * long:
                     continue
-                length, first, last = common_subsequence(places, long, region)
+                length, first, last = closest(places, long, region)
                 similar = length / long
-                if last - first + 1 > 2 * long:
-                    continue
                 if similar >= SIMILAR or (similar >= PARAPHRASE and len(block.answers[i]) >= ANSWER_WORDS and stands_in(block.answers[i], region)):
                     found = (similar, float(near[w, k]), low + first, low + last)
                     if i not in best or found[:2] > best[i][:2]:
                         best[i] = found
-    return best
+    out = [(block.ids[i], *found) for i, found in best.items()]
+    return out + whole_places(words, block) if block.short else out
+
+
+def whole_places(words: list[bytes], block: Items) -> list[tuple]:
+    """The first place of each short passage that stands word for word; its cosine is 1."""
+    out, seen = [], set()
+    for at, w in enumerate(words):
+        for name, ws in block.short.get(w, ()):
+            if (name, *ws) not in seen and words[at : at + len(ws)] == ws:
+                seen.add((name, *ws))
+                out.append((name, 1.0, 1.0, at, at + len(ws) - 1))
+    return out
 
 
 def _blocks(benchmark: DataFrame, block_words: int) -> int:
@@ -228,33 +276,45 @@ def _blocks(benchmark: DataFrame, block_words: int) -> int:
     return max(1, math.ceil(words / block_words))
 
 
+def _benchmark_blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, answer: str | None, block_words: int) -> Iterator[Items]:
+    """The benchmark's blocks, ready for search()."""
+    spark = docs.sparkSession
+    bench = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer")).filter("text IS NOT NULL")
+    blocks, frequencies = _blocks(bench, block_words), None
+    for b in range(blocks):
+        # a block has about block_words words: the bound of what is collected and broadcast
+        rows = bench.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).collect()
+        items = Items(sorted(rows, key=lambda r: (str(r["item_id"]), r["text"])))
+        if items.ids:
+            if frequencies is None:
+                frequencies = written(document_frequencies(docs, _vocabulary(bench), text))
+            asked = spark.createDataFrame([(w.decode(),) for w in [b"", *items.vocab]], "word string")
+            counts = {r["word"]: r["n"] for r in frequencies.join(asked, "word").collect()}  # one row per word of the block
+            items.idf = np.log((1 + counts.get("", 0)) / (1 + np.array([counts.get(w.decode(), 0) for w in items.vocab]))) + 1
+            items.space = latent_space(spark, items)
+            items.fold()
+            items.weigh()
+        if items.ids or items.short:
+            yield items
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, cosine: float = COSINE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, similarity, cosine, first_word, last_word): documents with benchmark passages.
 
     One row per row of docs and passage that it holds. similarity is the share of the passage's
-    words in the longest common subsequence: 0.8 or more, or 0.6 or more where the answer (a column
-    of the benchmark, else the passage's last sentence if it has 4 words) stands word for word.
-    Words are runs of letters and digits after lower-casing A-Z. Null texts have no words; passages
-    of fewer than 8 words can't be told from chance and are not searched; texts are read whole;
-    of equally good places the first counts; repeated rows give repeated rows; other columns are
-    ignored; empty tables give an empty result.
+    words in the longest common subsequence within a stretch of twice its length: 0.8 or more, or
+    0.6 or more where the answer (a column of the benchmark, else the passage's last sentence if it
+    has 4 words) stands word for word. Words are runs of letters and digits after lower-casing A-Z.
+    Passages of fewer than 8 words must stand whole. Null texts have no words, and passages without
+    words are never found; texts are read whole; of equally good places the first counts; repeated
+    rows give repeated rows; other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    bench = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).cast("string").alias("text"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
-    schema = T.StructType([given.schema[0], bench.schema[0], *T.StructType.fromDDL("similarity double, cosine double, first_word bigint, last_word bigint")])
-    blocks, out = _blocks(bench, block_words), spark.createDataFrame([], schema)
-    for b in range(blocks):
-        # a block has about block_words words: the bound of what is collected and broadcast
-        rows = bench.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b).filter("text IS NOT NULL").collect()
-        items = Items(sorted((r for r in rows if len(words_of(r["text"])) >= MIN_WORDS), key=lambda r: (str(r["item_id"]), r["text"])))
-        if not items.ids:
-            continue
-        df, total = document_frequencies(given, spark.sparkContext.broadcast(items), "text")
-        items.idf = np.log((1 + total) / (1 + df)) + 1
-        items.space = latent_space(spark, items)
-        items.fold()
-        items.weigh()
+    named = benchmark.select(F.col(item).alias("item_id")).schema[0]
+    schema = T.StructType([given.schema[0], named, *T.StructType.fromDDL("similarity double, cosine double, first_word bigint, last_word bigint")])
+    out = spark.createDataFrame([], schema)
+    for items in _benchmark_blocks(given, benchmark, "text", item, item_text, answer, block_words):
         out = out.unionByName(given.mapInArrow(_searcher(spark.sparkContext.broadcast(items), schema, cosine), schema))
     return out
 
@@ -265,24 +325,29 @@ def _searcher(shared: Broadcast, schema: T.StructType, cosine: float):
     kinds = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
         for part in slices(batches):
-            rows = []
             ids = part.column(0).to_pylist()
-            for doc_id, t in zip(ids, texts_of(part)):
-                for i, found in search(words_of(t), block, cosine).items():
-                    rows.append((doc_id, block.ids[i], *found))
+            rows = [(doc_id, *found) for doc_id, t in zip(ids, texts_of(part)) for found in search(words_of(t), shared.value, cosine)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
     return run
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no passage, with all their columns.
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", answer: str | None = None, cosine: float = COSINE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that hold no passage (see find_leaks), with all their columns.
 
-    Rows of a null key or a repeated one are told apart by their text.
+    Rows are judged where they stand, block after block, so none is shuffled; null and empty texts stay.
     """
-    tagged = docs.withColumn("__row", F.struct(F.col(key).alias("id"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("digest")))
-    leaks = written(find_leaks(tagged, benchmark, key="__row", text=text, **options).select(F.col("doc_id.id").alias("__id"), F.col("doc_id.digest").alias("__digest")).distinct())
-    return tagged.join(leaks, F.col("__row.id").eqNullSafe(F.col("__id")) & (F.col("__row.digest") == F.col("__digest")), "left_anti").select(docs.columns)
+    out, schema = docs, docs.schema
+    for items in _benchmark_blocks(docs, benchmark, text, item, item_text, answer, block_words):
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(items), text, cosine), schema)
+    return out
+
+
+def _clean(shared: Broadcast, text: str, cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield part.filter(pa.array([not search(words_of(t or ""), shared.value, cosine) for t in part.column(part.schema.get_field_index(text)).cast(pa.string()).to_pylist()], pa.bool_()))
+
+    return run

@@ -126,7 +126,7 @@ def leaky(spark):
             body[5:5] = p
             want.add((i, k))
         docs.append((i, " ".join(body).title()))
-    bench = [(k, ", ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, "too short"), (92, "")]
+    bench = [(k, ", ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, "not there"), (92, "")]
     return spark.createDataFrame([*docs, (500, None), (501, "")], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), want
 
 
@@ -160,7 +160,7 @@ def test_leaks_do_not_depend_on_the_corpus_size(spark, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     counted = leaks.document_frequencies
     for scale in (1, 1500, 1_000_000):
-        monkeypatch.setattr(leaks, "document_frequencies", lambda *a: tuple(scale * x for x in counted(*a)))
+        monkeypatch.setattr(leaks, "document_frequencies", lambda *a: counted(*a).withColumn("n", F.col("n") * scale))
         assert {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, bench).collect()} == {(i, i) for i in range(20)}
 
 
@@ -184,3 +184,50 @@ def test_common_subsequence():
         a, b = ([rnd.choice("abcd").encode() for _ in range(rnd.randrange(1, 15))] for _ in "ab")
         places = {w: sum(1 << i for i, x in enumerate(a) if x == w) for w in a}
         assert leaks.common_subsequence(places, len(a), b)[0] == plain(a, b)
+        best = max(plain(a, b[s : s + 2 * len(a)]) for s in range(len(b)))
+        length, first, last = leaks.closest(places, len(a), b)
+        assert length == plain(a, b[first : last + 1]) and last - first < 2 * len(a) and length == best
+
+
+@pytest.fixture(scope="module")
+def block(spark):
+    """60 passages of 8 to 75 words, most words frequent ones, with words drawn by Zipf's law."""
+    rnd = random.Random(21)
+    names = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst"]
+    weights = [1 / (i + 1) for i in range(len(names))]
+    draw = lambda n: rnd.choices(names, weights, k=n)
+    items = leaks.Items([(i, " ".join(draw(n)), None) for i, n in enumerate(list(range(12, 76)) * 1 + [12, 17, 33, 65])])
+    items.idf = leaks.np.array([1 + leaks.math.log(2000 / (1 + 1000 / (1 + names.index(w.decode())))) for w in items.vocab])
+    items.space = leaks.latent_space(spark, items)
+    items.fold()
+    items.weigh()
+    return rnd, draw, items
+
+
+def test_every_planted_passage_is_found_in_texts_of_frequent_words(block):
+    rnd, draw, items = block
+    for i, ws in enumerate(items.words):
+        for _ in range(6):
+            other = draw(rnd.randrange(400))
+            at = rnd.randrange(len(other) + 1)
+            text = [w.encode() for w in other[:at]] + ws + [w.encode() for w in other[at:]]
+            found = {f[0]: f for f in leaks.search(text, items)}
+            assert i in found and found[i][1] == 1 and found[i][4] - found[i][3] < 2 * len(ws)
+
+
+def test_found_passages_stand_there_and_others_do_not(block):
+    """Whatever is found has its share within a stretch of twice its length; of random text nothing is found that brute force does not find."""
+    rnd, draw, items = block
+    for _ in range(40):
+        text = [w.encode() for w in draw(rnd.randrange(300))]
+        for name, similar, _, first, last in leaks.search(text, items):
+            ws = items.words[name]
+            assert last - first < 2 * len(ws) and leaks.common_subsequence(items.places[name], len(ws), text[first : last + 1])[0] / len(ws) == similar >= 0.6
+
+
+def test_short_passages_must_stand_whole(spark):
+    docs = spark.createDataFrame([(1, "so it is: to be, or not TO BE then"), (2, "to be or to be"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "To be or not"), (2, "be"), (3, ""), (4, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["last_word"]) for r in leaks.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1, 3, 6), (1, 2, 4, 4), (2, 2, 1, 1)}
+    assert [r["doc_id"] for r in leaks.without_leaks(docs, bench).collect()] == [3]
