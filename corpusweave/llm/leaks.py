@@ -59,18 +59,21 @@ def backwards(item: dict[bytes, int], size: int) -> dict[bytes, int]:
     return {w: int(f"{m:0{size}b}"[::-1], 2) for w, m in item.items()}
 
 
-def closest(item: dict[bytes, int], size: int, words: list[bytes]) -> tuple[int, int, int]:
+def closest(item: dict[bytes, int], size: int, words: list[bytes], least: float = 0) -> tuple[int, int, int]:
     """(length, first, last) of the longest common subsequence within a stretch of twice the passage's size.
 
     The whole of words comes first. Only where what it finds spreads wider, stretches that begin
-    every eighth of the passage are looked at one by one; of equals the first counts.
+    every eighth of the passage are looked at one by one; of equals the first counts. Lengths
+    under `least` are none.
     """
-    turned = backwards(item, size)
+    turned: dict[bytes, int] = {}
 
     def within(low: int, high: int) -> tuple[int, int, int]:
         length, last = common_subsequence(item, size, words[low:high])
-        if not length:
+        if not length or length < least:
             return 0, low, low
+        if not turned:
+            turned.update(backwards(item, size))
         back = common_subsequence(turned, size, words[low : low + last + 1][::-1])[1]
         return length, low + last - back, low + last
 
@@ -107,6 +110,7 @@ class Items:
             for i, w in enumerate(ws):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.places.append(masks)
+        self.terms = [np.array([self.vocab[w] for w in masks], np.int64) for masks in self.places]
         self.longs = np.array([len(ws) for ws in self.words], np.int64)
         self.sizes = np.array([max(8, 1 << (len(ws) - 1).bit_length()) for ws in self.words], np.int64)
         # postings: for each word the passages that have it, and how often
@@ -227,35 +231,41 @@ def search(words: list[bytes], block: Items, cosine: float = COSINE) -> list[tup
     ids = np.fromiter(map(block.vocab.get, words, repeat(rest)), np.int64, n)
     longest = int(block.sizes.max(initial=8))
     stretch = max(STRETCH, 2 * longest)
+    mark = np.zeros(rest + 1, bool)
     for at in range(0, max(1, n) if block.ids else 0, stretch):
         around = np.unique(ids[max(0, at - longest // 2) : at + stretch + 2 * longest])
-        likely = np.flatnonzero(block.covered(around[around < rest]) >= PARAPHRASE * block.longs)
-        for size in np.unique(block.sizes[likely]).tolist():
-            members = likely[block.sizes[likely] == size]
+        for i in np.flatnonzero(block.covered(around[around < rest]) >= PARAPHRASE * block.longs).tolist():
+            if i in best and best[i][0] == 1:
+                continue
+            size, long, terms = int(block.sizes[i]), int(block.longs[i]), block.terms[i]
             step = size // 4
             # windows that begin in this stretch, but for the last half window of the text
-            windows = -(-(min(stretch, max(1, n - size // 2 - at))) // step)
-            part = ids[at : at + (windows + 3) * step]
-            part = np.append(part, np.full((windows + 3) * step - len(part), rest))
-            # a window is four steps, so the sums of steps serve four windows each
-            sums = block.weighted[part].reshape(windows + 3, step, -1).sum(1)
-            v = sums[:-3] + sums[1:-2] + sums[2:-1] + sums[3:]
-            near = (v @ block.vectors[members].T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            for w, k in np.argwhere(near >= cosine).tolist():
-                i, s = int(members[k]), at + w * step
-                if i in best and best[i][0] == 1:
-                    continue
-                low = max(0, s - size // 2)
-                region = words[low : s + size + size // 2]
-                long, places = len(block.words[i]), block.places[i]
-                if sum(places[x].bit_count() for x in places.keys() & region) < PARAPHRASE * long:
-                    continue
-                length, first, last = closest(places, long, region)
-                similar = length / long
-                if similar >= SIMILAR or (similar >= PARAPHRASE and len(block.answers[i]) >= ANSWER_WORDS and stands_in(block.answers[i], region)):
-                    found = (similar, float(near[w, k]), low + first, low + last)
-                    if i not in best or found[:2] > best[i][:2]:
-                        best[i] = found
+            starts = np.arange(at, min(at + stretch, max(at + 1, n - size // 2)), step)
+            lows, highs = np.maximum(0, starts - size // 2), np.minimum(n, starts + size + size // 2)
+            # how many words around a window the passage has: no common subsequence is longer
+            mark[terms] = True
+            before = np.concatenate(([0], np.cumsum(mark[ids[lows[0] : highs[-1]]])))
+            mark[terms] = False
+            full = before[highs - lows[0]] - before[lows - lows[0]] >= PARAPHRASE * long
+            if not full.any():
+                continue
+            starts, lows, highs = starts[full], lows[full], highs[full]
+            own = starts[:, None] + np.arange(size)
+            v = block.weighted[np.where(own < n, ids[np.minimum(own, n - 1)], rest)].sum(1)
+            near = (v @ block.vectors[i]) / np.maximum(np.linalg.norm(v, axis=1), 1e-12)
+            alike = np.flatnonzero(near >= cosine)
+            # up to four windows that follow each other are judged together
+            for group in np.split(alike, np.flatnonzero(np.diff(alike) > 1) + 1):
+                for k in range(0, len(group), 4):
+                    some = group[k : k + 4]
+                    low = int(lows[some[0]])
+                    region = words[low : int(highs[some[-1]])]
+                    length, first, last = closest(block.places[i], long, region, PARAPHRASE * long)
+                    similar = length / long
+                    if similar >= SIMILAR or (similar >= PARAPHRASE and len(block.answers[i]) >= ANSWER_WORDS and stands_in(block.answers[i], region)):
+                        found = (similar, float(near[some].max()), low + first, low + last)
+                        if i not in best or found[:2] > best[i][:2]:
+                            best[i] = found
     out = [(block.ids[i], *found) for i, found in best.items()]
     return out + whole_places(words, block) if block.short else out
 
