@@ -57,7 +57,8 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", size: i
 
     counts = given.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
+    # the row number itself in the filter lets Spark keep only the first rows of each task before the shuffle
+    return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def training_rows(docs: DataFrame, *, key: str = "doc_id", lang: str = "lang", most: int = TRAIN_ROWS) -> DataFrame:

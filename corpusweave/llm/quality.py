@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusweave.functions.ranking import numbered
 from corpusweave.llm.common import held_out, slices, texts_of, written
 
 CUT = 0.3
@@ -65,15 +66,18 @@ def featurize(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
 def pairs(train: DataFrame, better: int, worse: int, per_row: int = PAIRS_PER_ROW) -> DataFrame:
     """(label, diff): differences of features within preference pairs, both ways round.
 
-    Each row of the larger class draws per_row places among as many as the smaller class has
-    rows; rows that hash to one place meet. No place draws more than its share.
+    Both classes are numbered in the order of a hash. Each row of the larger class meets per_row
+    rows of the smaller one, by its number and shifts of it modulo their count, so every row has
+    its pairs and those of the smaller class have as many as each other, but for one a shift.
     """
     many, few = (1, 0) if better >= worse else (0, 1)
-    slots = F.lit(min(better, worse))
-    a = train.filter(F.col("y") == many).select(F.col("f").alias("fa"), "doc_id", F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("r")).select("fa", F.pmod(F.xxhash64("doc_id", "r"), slots).alias("slot"))
-    b = train.filter(F.col("y") == few).select(F.col("f").alias("fb"), F.pmod(F.xxhash64(F.lit("few"), "doc_id"), slots).alias("slot"))
+    size = min(better, worse)
+    shuffled = lambda y: numbered(train.filter(F.col("y") == y).select("f", F.xxhash64(F.lit("pair"), "doc_id").alias("h")), "place", F.col("h"), F.hash("f"))
+    shifts = F.explode(F.array(*(F.lit(k * max(1, size // per_row)) for k in range(per_row)))).alias("shift")
+    a = shuffled(many).select(F.col("f").alias("fa"), "place", shifts).select("fa", F.pmod(F.col("place") + F.col("shift"), F.lit(size)).alias("place"))
+    b = shuffled(few).select(F.col("f").alias("fb"), "place")
     sign = F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("sign")
-    met = a.join(b, "slot").select("fa", "fb", sign)
+    met = a.join(b, "place").select("fa", "fb", sign)
     diff = F.zip_with("fa", "fb", lambda x, y: ((x - y) * F.col("sign")).cast("double"))
     label = F.when(F.col("sign") > 0, float(many)).otherwise(float(few))
     return met.select(label.alias("label"), array_to_vector(diff).alias("diff"))
@@ -100,14 +104,15 @@ def _dot(weights: np.ndarray):
 def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", cut: float = CUT) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    Learns from labelled rows that aren't held out (labels 0 or 1; others and null are ignored).
+    Learns from labelled rows that aren't held out (labels 0 or 1; others and null are ignored; a
+    repeated label row counts once, and a document that has both labels is an example of each).
     score rises with the Bradley-Terry score and is `cut` at the threshold quantile; predicted is
     1 from there on. Null and empty texts have features like others. With one class only every
     score is 0.5. Repeated rows give repeated rows; other columns are ignored; an empty table
     gives an empty one.
     """
     rows = written(featurize(docs, key=key, text=text))
-    marked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
+    marked = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)").distinct()
     train = written(rows.join(marked, "doc_id").filter(~held_out(F.col("doc_id"))))
     weights, at, slope = fit(train)
     score = F.lit(0.5) if not slope else 1 / (1 + F.exp(-F.lit(slope) * (_dot(weights) - F.lit(at)) - F.lit(math.log(cut / (1 - cut)))))

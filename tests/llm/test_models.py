@@ -46,6 +46,29 @@ def test_out_of_place_distance_by_hand():
     assert {name(int(c)): int(n) for c, n in zip(codes, counts)} == {"a": 2, "b": 2, "é": 1, "_a": 2, "ab": 2, "b_": 2, "_é": 1, "é_": 1, "_ab": 2, "ab_": 2, "_é_": 1}
 
 
+def test_language_distance_matches_brute_force(mixed):
+    learned = languages.profiles(mixed.filter("lang IS NOT NULL"), size=40)
+    places = {}
+    for r in learned.collect():
+        places.setdefault(r["lang"], {})[r["gram"]] = r["rank"]
+    texts = {}
+    for r in mixed.filter("lang IS NOT NULL").collect():
+        codes, counts = languages.grams(r["text"] or "")
+        tally = texts.setdefault(r["lang"], {})
+        for c, n in zip(codes.tolist(), counts.tolist()):
+            tally[c] = tally.get(c, 0) + n
+    for lang, tally in texts.items():
+        assert places[lang] == {c: i for i, (c, _) in enumerate(sorted(tally.items(), key=lambda x: (-x[1], x[0]))[:40])}
+    got = {r["doc_id"]: r for r in languages.predict(mixed, learned, size=40).collect()}
+    for r in mixed.collect():
+        codes, counts = languages.grams(r["text"] or "")
+        top = [c for c, _ in sorted(zip(codes.tolist(), counts.tolist()), key=lambda x: (-x[1], x[0]))[:40]]
+        far = {lang: sum(abs(i - own[c]) if c in own else 40 for i, c in enumerate(top)) for lang, own in places.items()}
+        best = min(sorted(far), key=far.get) if top else "und"
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert abs(got[r["doc_id"]]["score"] - (1 - far[best] / (40 * len(top)) if top else 0)) < 1e-9
+
+
 def test_languages_without_training_rows_or_rows(spark, odd, none):
     assert {r["lang_pred"] for r in languages.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert languages.identify(none).count() == 0
@@ -78,6 +101,44 @@ def test_quality_edges(spark, odd, none):
     assert quality.classify(none, one).count() == 0
 
 
+@pytest.mark.parametrize("ones, zeros", [(1, 1), (2, 2), (1, 9), (40, 7), (7, 40)])
+def test_every_labelled_row_has_its_pairs(spark, ones, zeros):
+    rows = [(i, [float(i), float(i * i % 7)], int(i < ones)) for i in range(ones + zeros)]
+    train = spark.createDataFrame(rows, "doc_id long, f array<float>, y int")
+    got = [(r["label"], r["diff"].toArray().tolist()) for r in quality.pairs(train, ones, zeros).collect()]
+    few, many = sorted((ones, zeros))
+    assert len(got) == 2 * 3 * many
+    assert sorted(d for label, d in got if label == 1) == sorted([-x + 0.0 for x in d] for label, d in got if label == 0)
+    weights, cut, slope = quality.fit(train.withColumn("f", F.array_repeat(F.col("f")[0], quality.WIDTH)))
+    assert quality.np.isfinite(weights).all() and slope > 0
+
+
+def test_quality_weights_are_those_of_a_plain_fit(spark):
+    rnd = quality.np.random.default_rng(4)
+    x = rnd.normal(size=(90, 4)).astype("float32")
+    y = (x[:, 0] - 0.5 * x[:, 1] + rnd.normal(size=90) > 0.4).astype(int)
+    train = spark.createDataFrame([(i, f.tolist(), int(t)) for i, (f, t) in enumerate(zip(x, y))], "doc_id long, f array<float>, y int")
+    got, _, _ = quality.fit(train)
+    rows = quality.pairs(train, int(y.sum()), int((1 - y).sum())).collect()
+    d = quality.np.array([r["diff"].toArray() for r in rows])
+    t = quality.np.array([r["label"] for r in rows])
+    scale = d.std(0, ddof=1)  # the penalty is on weights of features of unit deviation
+    w = quality.np.zeros(4)
+    for _ in range(60):  # Newton's method on the mean logistic loss
+        z = d / scale
+        p = 1 / (1 + quality.np.exp(-z @ w))
+        w -= quality.np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z / len(t) + 1e-3 * quality.np.eye(4), z.T @ (p - t) / len(t) + 1e-3 * w)
+    assert quality.np.allclose(got, w / scale, atol=2e-2 * abs(w / scale).max())
+
+
+def test_quality_with_two_labels_of_each_kind(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "good " * i) for i in range(40)], "doc_id long, text string")
+    free = [i for i in range(40) if not held(i)][:4]
+    marks = spark.createDataFrame([(free[0], 1), (free[1], 1), (free[2], 0), (free[3], 0), (free[3], 0)], "doc_id long, quality int")
+    got = quality.classify(docs, marks).collect()
+    assert len(got) == 40 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def base_places(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
