@@ -4,16 +4,16 @@ A fingerprint's Hamming distances to reference fingerprints (pivots) are its coo
 triangle inequality two fingerprints within r bits differ by r at most in every coordinate, so a
 pair with a larger coordinate difference is discarded unseen; survivors are verified.
 
-Two kinds of pivots serve. The distances to the zero word and to the 64 one-bit words tell apart
-where two fingerprints differ: one that differs in r bits has the same offsets (distance to the
-one-bit word minus distance to zero) in all but r of 64 coordinates. Of four groups of 16 such
-coordinates one is therefore the same when r <= 3, and of four groups of the other 48 one more;
-the 16 choices make the keys by which candidates meet. Among those that meet, the distances to
-spread-out pivots discard pairs.
-
-Equal fingerprints are one class from the start. Within a key only a spanning forest of the
-verified links is given out, not all pairs, and a key of many classes is dealt out as pairs of
-blocks, so that no task holds more than two blocks.
+Two kinds of pivots serve. The zero word and the 64 one-bit words deal fingerprints into cells: two
+that differ in r bits have the same offsets (distance to the one-bit word minus distance to zero)
+in all but r of 64 coordinates, so of four groups of 16 such coordinates one is the same when
+r <= 3. In a cell the table of distances to spread-out pivots discards the pairs; a cell holds a
+65,536th of all fingerprints that are unlike each other, and hardly any of their pairs survive it.
+
+A cell of many classes is cut by a second group, of 12 of the other 48 coordinates, and what is
+still crowded is dealt out as pairs of blocks, so that no task holds more than two blocks. Equal
+fingerprints are one class from the start. Within a cell only a spanning forest of the verified
+links is given out, not all pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,10 @@ from corpusweave.operators.components import connected_components
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 3, 64
 BLOCK = 2048
+#: Cells of up to so many classes are paired together, many cells at once; larger ones by a forest each.
+SMALL = 32
+#: Pairs that are looked at once.
+PAIRS = 1 << 18
 #: Spread-out pivots: the first is zero, the others are hashes of their numbers.
 PIVOTS = np.array([0, *(xxhash.xxh64_intdigest(bytes([i]), SEED) for i in range(1, 16))], np.uint64)
 
@@ -61,27 +65,56 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return given.mapInArrow(run, T.StructType([*given.schema[:2], T.StructField("fp", T.LongType())]))
 
 
-def _keys():
-    """The 16 join keys of fp: one of four 16-bit groups, and one of four 12-bit groups of the rest."""
-    bits = lambda at, n: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1))
-    keys = []
-    for g in range(4):
-        # the rest, with the group cut out: what is below it stays, what is above moves down
+def _bits(word: Column, at: int, n: int) -> Column:
+    return F.shiftrightunsigned(word, at).bitwiseAND(F.lit((1 << n) - 1))
+
+
+def _keys() -> Column:
+    """The four first keys of fp: a group of 16 bits, and which."""
+    return F.array(*(F.shiftleft(_bits(F.col("fp"), 16 * g, 16), 4).bitwiseOR(F.lit(4 * g)).cast("long") for g in range(4)))
+
+
+def _second_keys() -> Column:
+    """The four second keys of (fp, key): a group of 12 of the bits that are not the key's, and which."""
+    group = F.shiftright(F.col("key"), 2).bitwiseAND(F.lit(3))
+
+    def rest(g: int) -> Column:
+        # the key's bits cut out: what is below them stays, what is above moves down
         low = F.col("fp").bitwiseAND(F.lit((1 << 16 * g) - 1))
-        high = F.shiftleft(F.shiftrightunsigned("fp", 16 * (g + 1)), 16 * g) if g < 3 else F.lit(0)
-        rest = low.bitwiseOR(high)
-        for h in range(4):
-            other = F.shiftrightunsigned(rest, 12 * h).bitwiseAND(F.lit(0xFFF))
-            keys.append(F.shiftleft(bits(16 * g, 16), 16).bitwiseOR(F.shiftleft(other, 4)).bitwiseOR(F.lit(4 * g + h)).cast("long"))
-    return F.array(*keys)
+        return low.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 16 * (g + 1)), 16 * g)) if g < 3 else low
+
+    others = F.when(group == 0, rest(0)).when(group == 1, rest(1)).when(group == 2, rest(2)).otherwise(rest(3))
+    return F.array(*(F.shiftleft(F.col("key"), 16).bitwiseOR(F.shiftleft(_bits(others, 12 * h, 12), 2)).bitwiseOR(F.lit(h)) for h in range(4)))
+
 
+def survivors(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Which pairs x[a], x[b] the pivot distance table leaves: no coordinate differs by more than radius."""
+    left = np.arange(len(a))
+    for pivot in PIVOTS:
+        far = np.bitwise_count(x ^ pivot).astype(np.int8)
+        left = left[np.abs(far[a[left]] - far[b[left]]) <= radius]
+    return left
 
-def forest(x: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+
+def small_links(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Verified links within small cells that follow each other in x, as pairs of places."""
+    out = [np.empty((0, 2), np.int64)]
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        i, j = np.triu_indices(size, 1)
+        own = starts[sizes == size]
+        for at in range(0, len(own), max(1, PAIRS // len(i))):
+            some = own[at : at + max(1, PAIRS // len(i)), None]
+            a, b = (some + i).ravel(), (some + j).ravel()
+            left = survivors(x, a, b, radius)
+            left = left[np.bitwise_count(x[a[left]] ^ x[b[left]]) <= radius]
+            out.append(np.stack((a[left], b[left]), 1))
+    return np.concatenate(out)
+
+
+def forest(x: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Verified links that join whatever is linked among x, as pairs of places."""
-    if len(x) == 2:
-        return [(0, 1)] if (int(x[0]) ^ int(x[1])).bit_count() <= radius else []
     table = np.bitwise_count(x[:, None] ^ PIVOTS).astype(np.int8)
-    todo, links = np.arange(len(x)), []
+    todo, links = np.arange(len(x)), [np.empty((0, 2), np.int64)]
     while len(todo) > 1:
         reached, todo = [int(todo[0])], todo[1:]
         while reached and len(todo):
@@ -90,11 +123,20 @@ def forest(x: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
             near = near[np.abs(table[todo[near]] - table[at]).max(1, initial=0) <= radius]
             near = near[np.bitwise_count(x[todo[near]] ^ x[at]) <= radius]
             if len(near):
-                found = todo[near].tolist()
-                links += [(at, f) for f in found]
-                reached += found
+                found = todo[near]
+                links.append(np.stack((np.full(len(found), at), found), 1))
+                reached += found.tolist()
                 todo = np.delete(todo, near)
-    return links
+    return np.concatenate(links)
+
+
+def cell_links(cells: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Verified links (pairs of fingerprints) that join what is linked within each run of rows of one cell."""
+    starts = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(1)))) if len(cells) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(cells)))
+    small = sizes <= SMALL
+    links = [small_links(x, starts[small], sizes[small]), *(s + forest(x[s : s + n]) for s, n in zip(starts[~small].tolist(), sizes[~small].tolist()))]
+    return x[np.concatenate(links)]
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,16 +144,8 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cells, fps = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
 
     def ended(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(1)))) if len(cells) else np.empty(0, int)
-        a, b = [], []
-        for s, e in zip(starts, [*starts[1:], len(cells)]):
-            if e - s > 1:
-                x = fps[s:e]
-                links = np.array(forest(x), np.int64).reshape(-1, 2)
-                a.append(x[links[:, 0]])
-                b.append(x[links[:, 1]])
-        both = [pa.array((np.concatenate(v) if v else np.empty(0, np.uint64)).view(np.int64)) for v in (a, b)]
-        return pa.RecordBatch.from_arrays(both, ["a", "b"])
+        links = cell_links(cells, fps).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     for batch in batches:
         new = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1).astype(np.int64)
@@ -125,13 +159,23 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield ended(cells, fps)
 
 
+def _sized(keyed: DataFrame) -> DataFrame:
+    """(key, n) of the keys of two classes or more."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links within 3 bits between the distinct fp of classes that join all that are linked."""
     keyed = written(classes.select("fp", F.explode(_keys()).alias("key")))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / block).alias("blocks"))
-    dealt = keyed.join(met, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
-    pairs = dealt.select("key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    met = written(_sized(keyed))
+    usual = keyed.join(met.filter(F.col("n") <= block).select("key"), "key").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "fp")
+    crowded = met.filter(F.col("n") > block).select("key")
+    cells = usual
+    if not crowded.isEmpty():
+        second = written(keyed.join(crowded, "key").select("fp", F.explode(_second_keys()).alias("key")))
+        dealt = second.join(_sized(second).select("key", F.ceil(F.col("n") / block).alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+        pairs = dealt.select("key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cells = usual.unionByName(pairs.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"))
     together = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return together.mapInArrow(_forests, "a bigint, b bigint").distinct()
 

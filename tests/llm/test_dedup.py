@@ -120,17 +120,34 @@ def test_links_join_what_brute_force_joins(spark, block):
     assert all((find(signed[i]) == find(signed[j])) == (want[i] == want[j]) for i in range(len(fps)) for j in range(i))
 
 
-def test_every_pair_within_three_bits_shares_a_key(spark):
+def test_every_pair_within_three_bits_shares_keys(spark):
     rnd = random.Random(9)
     rows = []
-    for _ in range(300):
+    for k in range(300):
         x = rnd.getrandbits(64)
         y = x ^ sum(1 << b for b in rnd.sample(range(64), 3))
-        rows.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
-    df = spark.createDataFrame(rows, "x long, y long")
-    both = df.select(F.transform(F.array("x", "y"), lambda v: v).alias("v")).select(F.posexplode("v").alias("i", "fp"), F.monotonically_increasing_id().alias("row"))
-    keys = both.select("row", "i", simhash._keys().alias("k")).groupBy("row").agg(F.max(F.when(F.col("i") == 0, F.col("k"))).alias("a"), F.max(F.when(F.col("i") == 1, F.col("k"))).alias("b"))
-    assert keys.filter(~F.arrays_overlap("a", "b")).count() == 0
+        rows += [(k, v - (1 << 64) if v >> 63 else v) for v in (x, y)]
+    first = spark.createDataFrame(rows, "pair long, fp long").select("pair", "fp", F.explode(simhash._keys()).alias("key"))
+    second = first.select("pair", "fp", F.explode(simhash._second_keys()).alias("key"))
+    for keyed in (first, second):
+        assert keyed.groupBy("pair", "key").count().filter("count > 1").select("pair").distinct().count() == 300
+
+
+def test_the_pivot_table_discards_the_pairs_of_a_cell():
+    rnd = np.random.default_rng(12)
+    x = rnd.integers(0, 1 << 63, 400, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFFF)  # one group of 16 bits in common
+    x[200:] = x[:200] ^ (np.uint64(1) << rnd.integers(0, 48, 200).astype(np.uint64))
+    a, b = np.triu_indices(400, 1)
+    left = simhash.survivors(x, a, b)
+    alike = np.bitwise_count(x[a] ^ x[b]) <= 3
+    assert set(np.flatnonzero(alike)) <= set(left.tolist()) and alike.sum() >= 200
+    discarded = len(a) - len(left)
+    assert discarded > 0.999 * (len(a) - alike.sum())  # by a coordinate difference alone
+    cells = np.repeat(np.arange(25), 16)[:, None].repeat(3, 1)
+    mixed = rnd.permutation(x)
+    small = {tuple(sorted(p)) for p in simhash.cell_links(cells, mixed).tolist()}
+    want = {tuple(sorted((int(mixed[i]), int(mixed[j])))) for c in range(25) for i in range(16 * c, 16 * c + 16) for j in range(16 * c, i) if int(mixed[i] ^ mixed[j]).bit_count() <= 3}
+    assert small == want
 
 
 def test_components_on_odd_rows(odd):
