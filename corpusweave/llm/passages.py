@@ -57,7 +57,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each values[start:end] that doesn't depend on where it lies."""
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * _powers(_BASE, len(values)), out=sums[1:])
@@ -68,7 +68,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
     a = np.frombuffer(raw, np.uint8)
     blank = np.concatenate(([True], (a == 32) | ((a >= 9) & (a <= 13)), [True]))
     turns = np.flatnonzero(blank[1:] != blank[:-1])
-    return _hashes(a.astype(np.uint64) + np.uint64(1), turns[::2], turns[1::2])
+    return run_hashes(a.astype(np.uint64) + np.uint64(1), turns[::2], turns[1::2])
 
 
 def segments(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,13 +78,13 @@ def segments(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nda
     if n <= 0:
         return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     at = np.arange(len(words) - gram + 1)
-    grams = _hashes(words, at, at + gram)
+    grams = run_hashes(words, at, at + gram)
     view = np.lib.stride_tricks.sliding_window_view(grams, reach)
     before = np.concatenate([view[i : i + (1 << 16)].argmin(1) for i in range(0, n, 1 << 16)])
     anchor, half = before + np.arange(n), (window - gram + 1) // 2
     left = 2 * before >= window - gram
     first = anchor - half * left
-    keys = _mixed(_hashes(words, first, first + gram + half) + left.astype(np.uint64))
+    keys = _mixed(run_hashes(words, first, first + gram + half) + left.astype(np.uint64))
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     moved = new | np.concatenate(([True], anchor[1:] != anchor[:-1]))
     starts = np.flatnonzero(new)

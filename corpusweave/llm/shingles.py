@@ -7,7 +7,7 @@ is compared, never what is found.
 
 Near copies in large groups are joined first, each with the least of its cell, and only documents
 of a cell that this has not joined are compared with each other. Sizes and counts of shingles by
-their last six bits discard pairs that can't be alike; all others are verified on the whole sets.
+their last six bits discard pairs that can't be alike; all others are verified on the whole texts.
 Equal sets are one class from the start.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.common import slices, texts_of, written
+from corpusweave.llm.passages import run_hashes, word_hashes
 from corpusweave.llm.simhash import BLOCK, SEED
 from corpusweave.operators.components import connected_components
 
@@ -35,11 +36,11 @@ FILTER = 1 << 20
 
 def shingles(text: str, n: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of the runs of n words, ascending; a shorter text is one run."""
-    words = text.encode().lower().split()  # bytes: lower() knows A-Z only, split() the six ASCII blanks
-    if not words:
+    words = word_hashes(text.encode().lower())  # bytes: lower() knows A-Z only
+    if not len(words):
         return np.empty(0, np.uint64)
-    runs = zip(*(words[i:] for i in range(n))) if len(words) >= n else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs), np.uint64))
+    starts = np.arange(max(1, len(words) - n + 1))
+    return np.unique(run_hashes(words, starts, np.minimum(starts + n, len(words))))
 
 
 def first_ones(x: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -134,36 +135,38 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _met(*kept)
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of (a, b, text, other) whose sets have Jaccard similarity 0.8 or more."""
+    for batch in batches:
+        for part in slices([batch], 64):
+            near = []
+            for t, u in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                x, y = shingles(t), shingles(u)
+                near.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
 def _verified(pairs: DataFrame, heads: DataFrame, given: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets with Jaccard similarity 0.8 or more, on the whole sets."""
+    """The pairs (a, b) of sets with Jaccard similarity 0.8 or more, on the whole texts."""
     pairs = written(pairs.distinct())
     needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = written(heads.join(needed, "sid").select("sid", F.col("first.doc_id").alias("id"), F.col("first.digest").alias("digest")).withColumn("bucket", F.pmod(F.xxhash64("id", "digest"), F.lit(FILTER))))
+    wanted = written(heads.join(needed, "sid").select("sid", F.col("first.doc_id").alias("id"), F.col("first.digest").alias("own")).withColumn("bucket", F.pmod(F.xxhash64("id", "own"), F.lit(FILTER))))
     some = F.broadcast(wanted.select("bucket").distinct())  # FILTER rows at most
     texts = given.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(FILTER))).join(some, "bucket", "left_semi")
-    texts = wanted.select("sid", "id", F.col("digest").alias("own")).join(texts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))).select("sid", "text").dropDuplicates(["sid"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [shingles(t).view(np.int64) for t in texts_of(part)]
-            codes = [np.unique(x.astype(np.int16)) for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int16()))], ["sid", "x", "code"])
-
-    sets = written(texts.mapInArrow(run, "sid bigint, x array<bigint>, code array<smallint>"))
-    # sets of the last 16 bits differ in no more places than the sets themselves, and are a quarter of their size
-    short = sets.select("sid", "code", F.size("x").alias("n"))
-    coded = pairs.join(short.select(F.col("sid").alias("a"), F.col("code").alias("c"), F.col("n").alias("m")), "a").join(short.withColumnRenamed("sid", "b"), "b")
-    apart = F.size("c") + F.size("code") - 2 * F.size(F.array_intersect("c", "code"))
-    likely = written(coded.filter(9 * apart <= F.col("m") + F.col("n")).select("a", "b"))
-    both = likely.join(sets.select(F.col("sid").alias("a"), "x"), "a").join(sets.select(F.col("sid").alias("b"), F.col("x").alias("y")), "b")
-    return written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    texts = wanted.join(texts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))).select("sid", "text")
+    # rows that repeat id and text give a set more than one text, all alike
+    texts = written(texts.dropDuplicates(["sid"]))
+    both = pairs.join(texts.withColumnRenamed("sid", "a"), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
+    return written(both.select("a", "b", "text", "other").mapInArrow(_alike, "a bigint, b bigint"))
 
 
 def links(rows: DataFrame, heads: DataFrame, given: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): verified links between the sets of heads that join all that are linked."""
     keyed = rows.select("sid", F.explode("tokens").alias("token"))
-    live = keyed.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("token", "low")
-    cells = written(keyed.join(live, "token").distinct())
+    common = written(keyed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"))
+    placed = written(keyed.join(common, "token", "left_semi").distinct())
+    live = placed.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("token", "low")
+    cells = written(placed.join(live, "token"))
     sketch = heads.select("sid", "size", "counts")
 
     # each with the least of its cells, the one it meets most often
@@ -204,5 +207,6 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block:
     smallest = named.groupBy("component").agg(F.min("first").alias("first"))
     kept = written(smallest.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__kept")))
     tagged = docs.withColumn("__digest", F.md5(body))
-    stays = tagged.join(kept, F.col("__digest").eqNullSafe(F.col("__kept")) & F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    return stays.dropDuplicates([key, "__digest"]).select(docs.columns)
+    stays = tagged.join(kept, (F.col("__digest") == F.col("__kept")) & F.col(key).eqNullSafe(F.col("__id")), "left_semi")
+    repeated = rows.groupBy("doc_id", "digest").count().filter("count > 1")
+    return (stays if repeated.isEmpty() else stays.dropDuplicates([key, "__digest"])).select(docs.columns)
