@@ -35,7 +35,7 @@ MIN_WORDS = 8
 COSINE = 0.5
 #: Words of a document that are searched at once, at least.
 STRETCH = 512
-#: Words that a task counts before it hands its counts on.
+#: Words that a task counts before it hands its counts on, and the most that are sent to the tasks beforehand.
 COUNTED = 200_000
 SIMILAR, PARAPHRASE = 0.8, 0.6
 ANSWER_WORDS = 4
@@ -145,14 +145,19 @@ class Items:
 
 
 def document_frequencies(docs: DataFrame, words: DataFrame, text: str) -> DataFrame:
-    """(word, n): how many documents have each of the words; the word "" stands for all documents."""
+    """(word, n): how many documents have each of the words; the word "" stands for all documents.
+
+    If the words are few enough to be sent to the tasks, these count no others; else all are counted.
+    """
+    asked = words.limit(COUNTED + 1).collect()
+    few = docs.sparkSession.sparkContext.broadcast(frozenset(r["word"].encode() for r in asked)) if len(asked) <= COUNTED else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = Counter(), 0
         for part in slices(batches):
             n += part.num_rows
             for t in texts_of(part):
-                found.update(set(words_of(t)))
+                found.update(few.value.intersection(words_of(t)) if few else set(words_of(t)))
             if len(found) >= COUNTED:
                 yield _counts(found)
                 found = Counter()
