@@ -2,7 +2,8 @@
 
 Logs often hold a conversation again each time it grows. A hash of the first k turns is kept
 for every k; a conversation whose last hash is an inner hash of another is a snapshot of it and
-goes. What is left is rendered with role tags.
+goes. What is left is rendered with role tags, a row a turn, so a conversation of any length is
+spread over rows and tasks; read in order the rows are its training text.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ def _same(x: DataFrame, y: DataFrame, *cols: str) -> Column:
 
 
 def _keyed(turns: DataFrame, part: int) -> DataFrame:
-    """turns with their run of `part` turn numbers, and sha, the digest of the text."""
-    return turns.withColumns({"role": F.coalesce("role", F.lit("")), "sha": F.sha2(F.coalesce("text", F.lit("")), 256), "run": F.floor(F.coalesce(F.col("turn"), F.lit(0)) / part)})
+    """turns with their run of `part` turn numbers (null: the first), and sha, the digest of the text."""
+    return turns.withColumns({"role": F.coalesce("role", F.lit("")), "sha": F.sha2(F.coalesce("text", F.lit("")), 256), "run": F.coalesce(F.floor(F.col("turn") / part), F.lit(-(1 << 62)))})
 
 
 def _by_crowd(rows: DataFrame, part: int) -> tuple[DataFrame, DataFrame | None]:
@@ -42,26 +43,31 @@ def _by_crowd(rows: DataFrame, part: int) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(crowded, same, "left_anti"), placed
 
 
-def prefix_hashes(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
-    """(conv_id, pos, n, a, b): two 64-bit hashes of the first pos of n turns, from 1.
+def _positions(rows: DataFrame, part: int) -> DataFrame:
+    """rows (see _keyed) with pos, their place in their conversation from 1, n, its turns, and piece.
 
-    Ranks and hashes are carried within pieces of at most `part` rows of a run of `part` turn
-    numbers, and then over the pieces' sums, so that neither a conversation of any length nor a
-    turn number that repeats is a single task's work.
+    Places are counted within pieces of at most `part` rows of a run of `part` turn numbers, and
+    over the runs' sums, so that neither a conversation of any length nor a turn number that
+    repeats is a single task's work.
     """
-    rows = _keyed(turns, part).select("conv_id", "turn", "role", "sha", "run")
     usual, crowded = _by_crowd(rows, part)
-    ranked = usual.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn", "role", "sha")))
+    ranked = usual.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "run").orderBy("turn", "role", "sha")).cast("long"))
     if crowded is not None:
         ranked = ranked.unionByName(crowded)
     conv = Window.partitionBy("conv_id")
     before = conv.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("conv_id", "run").agg(F.count("*").alias("m")).select("conv_id", "run", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skip"), F.sum("m").over(conv).alias("n"))
-    at = ranked.join(counts, _same(ranked, counts, "conv_id", "run")).select(ranked["conv_id"], ranked["run"], F.floor((F.col("place") - 1) / part).alias("piece"), (F.col("place") + F.col("skip")).alias("pos"), "n", "role", "sha")
+    placed = ranked.join(counts, _same(ranked, counts, "conv_id", "run"))
+    return placed.select(*(ranked[c] for c in rows.columns), F.floor((F.col("place") - 1) / part).alias("piece"), (F.col("place") + F.col("skip")).alias("pos"), "n")
+
+
+def prefix_hashes(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
+    """(conv_id, pos, n, a, b): two 64-bit hashes of the first pos of n turns, from 1, rolled within pieces and over their sums."""
+    at = _positions(_keyed(turns, part).select("conv_id", "turn", "role", "sha", "run"), part)
     cell = ["conv_id", "run", "piece"]
     hashed = written(at.select(*cell, "pos", "n", F.xxhash64(F.lit("a"), "pos", "role", "sha").alias("a"), F.xxhash64(F.lit("b"), "pos", "role", "sha").alias("b")))
     sums = hashed.groupBy(*cell).agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    earlier = conv.orderBy("run", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy("run", "piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*cell, *(F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "ab"))
     within = Window.partitionBy(*cell).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rolled = hashed.select(*cell, "pos", "n", *(F.bit_xor(c).over(within).alias(c) for c in "ab"))
@@ -69,7 +75,10 @@ def prefix_hashes(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
 
 
 def maximal(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
-    """(conv_id, n): the conversations that are no snapshot of another; of equal ones the smallest id."""
+    """(conv_id, n): the conversations that are no snapshot of another; of equal ones the smallest id.
+
+    Equality of prefixes is that of both 64-bit hashes and of the number of turns.
+    """
     prefixes = written(prefix_hashes(turns, part))
     whole = prefixes.filter("pos = n").groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id"))
     inner = prefixes.filter("pos < n").select(F.col("pos").alias("n"), "a", "b").distinct()
@@ -77,23 +86,15 @@ def maximal(turns: DataFrame, part: int = TURNS_PER_PART) -> DataFrame:
 
 
 def render(turns: DataFrame, *, start: str = "<|im_start|>", end: str = "<|im_end|>", part: int = TURNS_PER_PART) -> DataFrame:
-    """(conv_id, part, piece, n_turns, rendered): the maximal conversations with role tags.
+    """(conv_id, pos, n_turns, rendered): a row for each turn of the maximal conversations, with its role tags.
 
     turns has conv_id, turn, role and text. Turns are ordered by turn (null first), role and the
-    digest of the text; null role or text is empty; a repeated row is a repeated turn; a null
-    conv_id is a conversation like others, and goes before none of its equals. A conversation of
-    more than `part` turn numbers comes in numbered parts, and a part of more than `part` rows
-    (turn numbers that repeat) in numbered pieces, so no row or task gathers all of one; read in
-    order of part and piece they are the whole. Other columns are ignored; an empty table gives
-    an empty one.
+    digest of the text; pos counts them from 1; null role or text is empty; a repeated row is a
+    repeated turn; a null conv_id is a conversation like others, and goes before none of its
+    equals. Other columns are ignored; an empty table gives an empty one.
     """
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    kept = written(maximal(rows, part).withColumnRenamed("conv_id", "kept_id"))
-    usual, crowded = _by_crowd(_keyed(rows, part), part)
-    pieces = usual.withColumn("piece", F.lit(0).cast("long"))
-    if crowded is not None:
-        pieces = pieces.unionByName(crowded.withColumn("piece", F.floor((F.col("place") - 1) / part)).drop("place"))
-    stays = pieces.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    kept = written(maximal(rows, part).select(F.col("conv_id").alias("kept_id")))
+    stays = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
     line = F.concat(F.lit(start), "role", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end + "\n"))
-    tagged = stays.select("conv_id", "n", F.col("run").alias("part"), "piece", F.struct("turn", "role", "sha", line.alias("line")).alias("t"))
-    return tagged.groupBy("conv_id", "part", "piece").agg(F.max("n").alias("n_turns"), F.sort_array(F.collect_list("t")).alias("ts")).select("conv_id", "part", "piece", "n_turns", F.array_join(F.col("ts.line"), "").alias("rendered"))
+    return _positions(_keyed(stays, part), part).select("conv_id", "pos", F.col("n").alias("n_turns"), line.alias("rendered"))

@@ -87,8 +87,7 @@ WITH t AS (
   SELECT conv_id, pos, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos) AS pre, count(*) OVER (PARTITION BY conv_id) AS n FROM t
 ), f AS (SELECT n, pre, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY n, pre),
 k AS (SELECT conv_id, n FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = f.n AND p.n > f.n AND p.pre = f.pre))
-SELECT conv_id, (turn // 1024)::BIGINT AS part, ((place - 1) // 1024)::BIGINT AS piece, n AS n_turns, string_agg(line, '' ORDER BY pos) AS rendered
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn // 1024 ORDER BY pos) AS place FROM t) JOIN k USING (conv_id) GROUP BY conv_id, (turn // 1024), (place - 1) // 1024, n
+SELECT conv_id, pos, n AS n_turns, line AS rendered FROM t JOIN k USING (conv_id)
 """
 
 

@@ -77,13 +77,19 @@ def turns(spark, convs):
     return spark.createDataFrame([(c, t, r, x, "n", "p", "q") for c, rows in convs for t, r, x in rows], TURNS)
 
 
+def joined(rows):
+    return {c: "".join(r["rendered"] for r in sorted((r for r in rows if r["conv_id"] == c), key=lambda r: r["pos"])) for c in {r["conv_id"] for r in rows}}
+
+
 def test_snapshots_collapse_to_the_longest(spark):
     a = [(0, "user", "hi"), (1, "assistant", "yo"), (2, "user", "more")]
     convs = [(1, a[:1]), (2, a[:2]), (3, a), (4, a), (5, a[1:]), (6, [(0, "user", "hi"), (1, "assistant", "no")]), (7, [(0, None, None)]), (8, [(5, "user", "hi"), (9, "assistant", "yo")])]
-    got = {r["conv_id"]: r for r in chat.render(turns(spark, convs)).collect()}
+    rows = chat.render(turns(spark, convs)).collect()
+    got = joined(rows)
     assert set(got) == {3, 5, 6, 7}
-    assert got[3]["rendered"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n" and got[3]["n_turns"] == 3
-    assert got[7]["rendered"] == "<|im_start|>\n<|im_end|>\n"
+    assert got[3] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\nmore<|im_end|>\n"
+    assert got[7] == "<|im_start|>\n<|im_end|>\n"
+    assert sorted((r["pos"], r["n_turns"]) for r in rows if r["conv_id"] == 3) == [(1, 3), (2, 3), (3, 3)]
 
 
 @pytest.mark.parametrize("part", [2, 3, 1024])
@@ -94,12 +100,11 @@ def test_snapshots_against_brute_force_in_any_parts(spark, part):
     want = {c for c, a in lists.items() if not any((len(b) > len(a) and b[: len(a)] == a) or (b == a and d < c) for d, b in lists.items())}
     got = chat.render(turns(spark, convs), part=part).collect()
     assert {r["conv_id"] for r in got} == want
-    whole = {c: "".join(r["rendered"] for r in sorted(got, key=lambda r: r["part"]) if r["conv_id"] == c) for c in want}
-    assert whole == {c: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in lists[c]) for c in want}
+    assert joined(got) == {c: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in lists[c]) for c in want}
 
 
 @pytest.mark.parametrize("part", [1, 2, 5])
-def test_turn_numbers_that_repeat_come_in_pieces(spark, part):
+def test_turn_numbers_that_repeat_are_spread(spark, part):
     rnd = random.Random(part)
     convs = [(i if i else None, [(t // 7, rnd.choice(["u", "a"]), rnd.choice(["x", "y"])) for t in range(rnd.randrange(1, 24))]) for i in range(20)]
     convs += [(50, convs[3][1] + [(9, "u", "x")] * 12), (51, convs[3][1])]
@@ -108,14 +113,13 @@ def test_turn_numbers_that_repeat_come_in_pieces(spark, part):
     order = lambda c: -1 if c is None else c
     want = {c for c, a in lists.items() if not any((len(b) > len(a) and b[: len(a)] == a) or (b == a and c is not None and order(d) < order(c) and d is not None) for d, b in lists.items())}
     got = chat.render(turns(spark, convs), part=part).collect()
-    assert max(r["rendered"].count("<|im_start|>") for r in got) <= part and 51 not in want
-    whole = {c: "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == c), key=lambda r: (r["part"], r["piece"]))) for c in {r["conv_id"] for r in got}}
-    assert whole == {c: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in lists[c]) for c in want}
+    assert all(r["rendered"].count("<|im_start|>") == 1 for r in got) and 51 not in want
+    assert joined(got) == {c: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in lists[c]) for c in want}
 
 
 def test_chat_ties_repeats_nulls_and_nothing(spark):
-    convs = [(1, [(0, "user", "b"), (0, "user", "b"), (None, "user", "a")]), (None, [(0, "user", "z")])]
-    got = {r["conv_id"]: r["rendered"] for r in chat.render(turns(spark, convs)).collect()}
+    convs = [(1, [(0, "user", "b"), (-3, "user", "b"), (None, "user", "a")]), (None, [(0, "user", "z")])]
+    got = joined(chat.render(turns(spark, convs)).collect())
     assert re.findall(r"\n(.)<", got[1]) == ["a", "b", "b"] and "z" in got[None]
     assert chat.render(turns(spark, [])).count() == 0
 
