@@ -27,17 +27,28 @@ SHORT_NOTICES = (
     ("cc by", "cc"), ("creative commons attribution", "cc"), ("creative commons license", "cc"), ("all rights reserved", "proprietary"), ("mozilla public license", "mpl"), ("eclipse public license", "epl"), ("isc license", "isc"), ("bsd license", "bsd"),
     ("spdx license identifier mit", "mit"), ("spdx license identifier apache 2 0", "apache"), ("spdx license identifier gpl", "gpl"), ("spdx license identifier bsd", "bsd"), ("gnu gpl", "gpl"), ("gnu lesser general public license", "lgpl"),
 )
-# Wording of common public licence texts.
+WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+# Wording of common public licence texts and notices.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + WARRANTY),
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
 )
 
+#: The score of a text that names a licence without its wording.
+MENTIONED = 0.5
+
 #: A-Z to lower case, every other ASCII byte that is no letter or digit to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -56,10 +67,17 @@ class Automaton:
             for i, c in enumerate(tokens):
                 state = self._extend(state, c)
                 self.ends[state].append((t, i))
-        # an occurrence of a state's runs is one of its suffixes' too
-        for s in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            if self.link[s] > 0:
-                self.ends[self.link[s]] += self.ends[s]
+        self.longer: list[list[int]] = [[] for _ in self.len]
+        for s in range(1, len(self.len)):
+            self.longer[self.link[s]].append(s)
+
+    def places(self, state: int) -> Iterator[tuple[int, int]]:
+        """(text, last place) of each occurrence of a state's runs: they end its own runs and those that have them as suffixes."""
+        todo = [state]
+        while todo:
+            s = todo.pop()
+            yield from self.ends[s]
+            todo += self.longer[s]
 
     def _new(self, length: int, moves: dict, link: int) -> int:
         self.next.append(moves), self.link.append(link), self.len.append(length), self.ends.append([])
@@ -100,7 +118,12 @@ class Scanner:
         self.sam = Automaton(ids)
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
         # phrases that end where a state stands; whether its own length reaches them is tested on the way
-        self.phrases = [[t for t, i in e if t < self.n_phrases and i == self.sizes[t] - 1 < n] for n, e in zip(self.sam.len, self.sam.ends)]
+        self.phrases: list[list[int]] = [[] for _ in self.sam.len]
+        for t in range(self.n_phrases):
+            state = 0
+            for c in ids[t]:
+                state = self.sam.next[state][c]
+            self.phrases[state].append(t)
         for s in sorted(range(1, len(self.phrases)), key=self.sam.len.__getitem__):
             if (up := self.sam.link[s]) > 0:
                 self.phrases[s] = list({*self.phrases[s], *self.phrases[up]})
@@ -131,7 +154,7 @@ class Scanner:
         return found, self._chains(runs)
 
     def _report(self, runs: dict, state: int, size: int, at: int) -> None:
-        for t, end in self.sam.ends[state]:
+        for t, end in self.sam.places(state):
             if t >= self.n_phrases:
                 runs[t].append((at - size + 1, at, end - size + 1, end))
 
@@ -171,8 +194,8 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", base=BASE_
     Words are runs of letters and digits after lower-casing A-Z; all places of the base phrases
     count in n_base, and first_word and last_word are their smallest and largest start (null if
     none). labels adds those of short notices and of templates covered by min_cover at least;
-    score is the largest covered share of a template (1 where a phrase stands, 0 where nothing
-    is). spans lists chains as word intervals. Null text is empty; texts are read whole; repeated
+    score is the largest covered share of a template among the chains, and MENTIONED where only a
+    phrase stands or the chains cover less (0 where nothing is). spans lists chains as word intervals. Null text is empty; texts are read whole; repeated
     rows give repeated rows; other columns are ignored; an empty table gives an empty one.
     """
     args = (base, short, templates, min_match, max_gap, min_cover)
@@ -191,7 +214,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", base=BASE_
                 every = named | {scanner.labels[p] for p, _ in phrases} | {c[0] for c in chains}
                 rows.append((
                     len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(named)), ",".join(sorted(every)),
-                    1.0 if phrases else float(max((c[3] for c in chains), default=0.0)), [dict(zip(("label", "first", "last", "cover"), c)) for c in chains],
+                    max([MENTIONED if phrases else 0.0, *(float(c[3]) for c in chains)]), [dict(zip(("label", "first", "last", "cover"), c)) for c in chains],
                 ))
             cols = list(zip(*rows)) or [()] * 8
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("cover", pa.float64())]))]

@@ -62,8 +62,14 @@ def assign(docs: DataFrame, limit_bytes: int, *, key: str = "doc_id", text: str
         todo, base = written(placed.filter("split").select(todo.columns)), bits
 
 
-def write(docs: DataFrame, path: str, limit_bytes: int, *, key: str = "doc_id", text: str = "text", **options) -> None:
-    """Writes docs as one folder of Parquet files per shard."""
-    shards = assign(docs, limit_bytes, key=key, text=text, **options).select(F.col("doc_id").alias("__id"), F.concat(F.lit("p"), "shard").alias("shard")).distinct()
+def write(docs: DataFrame, path: str, limit_bytes: int, *, key: str = "doc_id", text: str = "text", name: str = "shard_folder", **options) -> None:
+    """Writes docs as one folder of Parquet files per shard, named by the column `name` of the written table.
+
+    All columns of docs are written, whatever their names; a column called `name` is refused. Rows
+    of a null key share the shard of the empty key. An empty table writes an empty folder.
+    """
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}: choose another name for the folders")
+    shards = assign(docs, limit_bytes, key=key, text=text, **options).select(F.col("doc_id").alias("__id"), F.concat(F.lit("p"), "shard").alias(name)).distinct()
     placed = docs.join(shards, docs[key].eqNullSafe(shards["__id"])).drop("__id")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    placed.repartition(name).write.partitionBy(name).parquet(path)

@@ -169,6 +169,62 @@ def test_licences_templates_through_changes(spark):
     assert got[3]["labels"] == "" and got[4]["labels"] == ""
 
 
+def plain_scan(words, base, short, templates, min_match, max_gap, min_cover):
+    """Spans, labels and score by trying every place of every template."""
+    phrases = [(licences.words_of(p), label) for p, label in (*base, *short)]
+    named = {label for p, label in phrases if any(words[i : i + len(p)] == p for i in range(len(words) - len(p) + 1))}
+    spans = set()
+    every = {tuple(t[x : y + 1]) for t in (licences.words_of(x) for x in [p for p, _ in (*base, *short)] + [x for _, x in templates]) for x in range(len(t)) for y in range(x, len(t))}
+    for label, text in templates:
+        t, runs = licences.words_of(text), []
+        for a in range(len(words)):
+            for b in range(a + min_match - 1, len(words)):
+                run = tuple(words[a : b + 1])
+                # a matching statistic: a longest run that any text of the automaton has, not begun earlier nor going on
+                if run not in every or (b + 1 < len(words) and tuple(words[a : b + 2]) in every) or (a and tuple(words[a - 1 : b + 1]) in every):
+                    continue
+                runs += [(a, b, x, x + b - a) for x in range(len(t)) if tuple(t[x : x + b - a + 1]) == run]
+        runs.sort()
+        best = []
+        for a, b, x, y in runs:
+            own = (y - x + 1, a)
+            for (_, end, _, last), (n, first) in zip(runs, best):
+                if end < a <= end + max_gap and last < x and n + y - x + 1 > own[0]:
+                    own = (n + y - x + 1, first)
+            best.append(own)
+        for first in {f for _, f in best}:
+            n = max(c for c, f in best if f == first)
+            last = next(b for (_, b, _, _), own in zip(runs, best) if own == (n, first))
+            if n >= min_cover * len(t):
+                spans.add((label, first, last, round(n / len(t), 9)))
+    score = max([licences.MENTIONED if named else 0.0, *(s[3] for s in spans)])
+    return spans, ",".join(sorted(named | {s[0] for s in spans})), score
+
+
+def test_licence_spans_labels_and_score_match_brute_force(spark):
+    rnd = random.Random(14)
+    alphabet = "abcde"
+    base, short = (("a b", "ab"), ("c", "c")), (("d e d", "ded"),)
+    templates = tuple((f"t{k}", " ".join(rnd.choice(alphabet) for _ in range(rnd.randrange(6, 14)))) for k in range(4))
+    args = (base, short, templates, 3, 4, 0.5)
+    rows = []
+    for i in range(150):
+        w = [rnd.choice(alphabet + "xy") for _ in range(rnd.randrange(8))]
+        for _ in range(rnd.randrange(3)):
+            t = rnd.choice(templates)[1].split()
+            if rnd.random() < 0.6:
+                t[rnd.randrange(len(t))] = "z"
+            w += t + [rnd.choice("xyz") for _ in range(rnd.randrange(3))]
+        rows.append((i, " ".join(w)))
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), base=base, short=short, templates=templates, min_match=3, max_gap=4, min_cover=0.5).collect()
+    texts = dict(rows)
+    for r in got:
+        spans, labels, score = plain_scan(licences.words_of(texts[r["doc_id"]]), *args)
+        assert {(s["label"], s["first"], s["last"], round(s["cover"], 9)) for s in r["spans"]} == spans
+        assert r["labels"] == labels and abs(r["score"] - score) < 1e-9
+    assert sum(bool(r["spans"]) for r in got) > 40
+
+
 @pytest.fixture(scope="module")
 def leaky(spark):
     rnd = random.Random(11)

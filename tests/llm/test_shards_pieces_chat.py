@@ -70,6 +70,16 @@ def test_a_full_chunk_table_starts_anew():
     assert len(table.ids) <= 12
 
 
+def test_shards_are_written_whole_whatever_their_columns(spark, odd, none, tmp_path):
+    docs = odd.withColumnRenamed("label", "shard")
+    shards.write(docs, str(tmp_path / "a"), 1000)
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(repr, back.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    with pytest.raises(ValueError):
+        shards.write(docs, str(tmp_path / "b"), 1000, name="shard")
+    shards.write(none, str(tmp_path / "c"), 1000)
+
+
 TURNS = "conv_id long, turn long, role string, text string, n string, part string, pos string"
 
 
