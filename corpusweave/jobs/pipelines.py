@@ -47,8 +47,10 @@ def integrate_books(run_id: str, textbooks: DataFrame, chapters: DataFrame, node
 def answer_questions(textbooks: DataFrame, chapters: DataFrame, questions: DataFrame, encoder=encode.hashing_encoder) -> tuple[DataFrame, DataFrame]:
     """(answers, hits) for a batch of questions (question_id, question): both legs fused, five hits each."""
     c = written(chunk.chunk_table(chapters, textbooks))
-    vectors = retrieve.vector_top(encode.encode(c, "text", encoder), encode.encode(questions, "question", encoder))
+    index = written(encode.encode(c.select("chunk_id", "text"), "text", encoder).select("chunk_id", "embedding"))
+    asked = written(encode.encode(questions, "question", encoder).select("question_id", "embedding"))
+    vectors = retrieve.vector_top(index, asked)
     scores = written(retrieve.bm25_scores(written(retrieve.chunk_words(c)), questions))
     lexical = retrieve.ranked(scores.filter(F.col("bm25") > 0), "bm25", "bm25_rank")
-    hits = written(retrieve.with_chunks(retrieve.fuse(vectors, lexical, scores), c))
+    hits = written(retrieve.with_chunks(retrieve.fuse(vectors, lexical, scores, index=index, questions=asked), c))
     return retrieve.answers(questions, hits), hits

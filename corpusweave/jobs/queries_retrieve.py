@@ -53,11 +53,12 @@ def chunk_table(spark, sf_dir):
     return chunks(spark, sf_dir)
 
 
-@query(f"WITH RECURSIVE {WINDOWS_SQL} SELECT count(*) AS chunks, count(*) FILTER (WHERE start % 2 = 0) AS embedded, count(DISTINCT textbook_id) AS textbooks, CASE WHEN count(*) > 0 THEN 'ready' ELSE 'empty' END AS status FROM chunks")
+@query(f"WITH RECURSIVE {WINDOWS_SQL} SELECT count(*) AS chunks, count(*) AS embedded, count(DISTINCT textbook_id) AS textbooks, CASE WHEN count(*) > 0 THEN 'ready' ELSE 'empty' END AS status, 512 AS width, 'hashing' AS encoder, NULL::VARCHAR AS error FROM chunks")
 def index_status(spark, sf_dir):
-    """Chunks at even starts have vectors."""
-    c = chunks(spark, sf_dir)
-    return chunk.index_status(chunk.build_index(c, encode.encode(c.filter("start % 2 = 0"), "text").select("chunk_id", "embedding")))
+    """The metadata of an index of all chunks, written and replaced once."""
+    c, path = written(chunks(spark, sf_dir)), _folder(spark)
+    chunk.write_index(c.limit(3), path)
+    return chunk.write_index(c, path, lambda rows: encode.encode(rows, "text"), "hashing").drop("built_at")
 
 
 # ---- lexical and vector retrieval ---------------------------------------------------------------
@@ -117,18 +118,20 @@ FUSED_SQL = f"""{WORDS_SQL}, ctok AS (SELECT chunk_id, unnest({_TOK.format('text
   SELECT coalesce(v.question_id, l.question_id) AS question_id, coalesce(v.chunk_id, l.chunk_id) AS chunk_id, vector, vector_rank, bm25_rank, round(coalesce(1 / (60 + vector_rank), 0) + coalesce(1 / (60 + bm25_rank), 0), 9) AS score
   FROM vec v FULL JOIN lex l ON v.question_id = l.question_id AND v.chunk_id = l.chunk_id
 ), fused AS (
-  SELECT b.question_id, b.chunk_id, row_number() OVER (PARTITION BY b.question_id ORDER BY score DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, b.chunk_id) AS rank, score, coalesce(vector, 0) AS vector, coalesce(s.bm25, 0) AS bm25
-  FROM both_legs b LEFT JOIN scores s ON s.question_id = b.question_id AND s.chunk_id = b.chunk_id AND s.bm25 <> 0 QUALIFY rank <= 5
+  SELECT b.question_id, b.chunk_id, row_number() OVER (PARTITION BY b.question_id ORDER BY score DESC, vector_rank NULLS LAST, bm25_rank NULLS LAST, b.chunk_id) AS rank, score, w.vector, coalesce(s.bm25, 0) AS bm25
+  FROM both_legs b JOIN vs w ON w.question_id = b.question_id AND w.chunk_id = b.chunk_id LEFT JOIN scores s ON s.question_id = b.question_id AND s.chunk_id = b.chunk_id AND s.bm25 <> 0 QUALIFY rank <= 5
 ), hits AS (SELECT f.*, textbook_title, chapter_title, page_start, text FROM fused f JOIN chunks USING (chunk_id))"""
 
 
 def search(c: DataFrame, asked: DataFrame, leg: str = "fused") -> DataFrame:
     """Five best chunks of c, a written table, for each question: both legs fused, or the vector leg alone."""
-    vectors = retrieve.vector_top(encode.encode(c, "text"), encode.encode(asked, "question"))
+    index = written(encode.encode(c.select("chunk_id", "text"), "text").select("chunk_id", "embedding"))
+    q = written(encode.encode(asked, "question").select("question_id", "embedding"))
+    vectors = retrieve.vector_top(index, q)
     if leg == "vector":
         return retrieve.fuse(vectors, vectors.select("question_id", "chunk_id", F.lit(0.0).alias("bm25"), F.lit(None).cast("int").alias("bm25_rank")).limit(0))
     scores = written(retrieve.bm25_scores(written(retrieve.chunk_words(c)), asked))
-    return retrieve.fuse(vectors, retrieve.ranked(scores.filter("bm25 > 0"), "bm25", "bm25_rank"), scores)
+    return retrieve.fuse(vectors, retrieve.ranked(scores.filter("bm25 > 0"), "bm25", "bm25_rank"), scores, index=index, questions=q)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,9 +336,9 @@ def replace_cascade(spark, sf_dir):
     return kept.select(F.lit("textbook").alias("kind"), F.col("textbook_id").alias("id"), "title").unionByName(kids.select(F.lit("chapter").alias("kind"), F.col("chapter_id").alias("id"), "title"))
 
 
-@query("SELECT doc_id, to_json(string_split(text, ' ')[1:5]) AS words_json, len(string_split(text, ' ')[1:5]) AS n_words FROM documents")
+@query("SELECT doc_id, to_json(string_split(text, ' ')) AS words_json, len(string_split(text, ' ')) AS n_words FROM documents")
 def json_lists(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tables.to_json_list(F.slice(F.split("text", " "), 1, 5)).alias("words_json"))
+    d = table(spark, sf_dir, "documents").select("doc_id", tables.to_json_list(F.split("text", " ")).alias("words_json"))
     return d.select("doc_id", "words_json", F.size(tables.from_json_list(F.col("words_json"))).cast("long").alias("n_words"))
 
 

@@ -100,10 +100,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("question"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
 QUESTIONS = """questions AS (
-  SELECT item_id AS question_id, array_to_string(string_split_regex(text, '\\s+')[1:12], ' ') AS question FROM benchmark
+  SELECT item_id AS question_id, text AS question FROM benchmark
 )"""

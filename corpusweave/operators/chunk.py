@@ -1,61 +1,98 @@
-"""Chapters to sections and overlapping windows, and the chunk index."""
+"""Chapters to sections and overlapping windows, and the chunk index.
+
+Sections are cut with column functions. Windows hang on one another, as each begins a little before
+the last one's end, but texts don't: all texts of a batch advance together, one window at a time,
+and look up the breaks near their windows' ends in sorted lists of places.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.functions.text import short_id
+from corpusweave.functions.text import short_id, strip
 
 SIZE, OVERLAP, LEAST = 700, 90, 80
 PREFIX_LEAST, TITLE_LENGTH = 100, 80
 BREAK_SHARE = 0.55
-# Where a window may end, best first.
+# Where a window may end, best first; a heading of level 2 to 4.
 BREAKS = ("\n##", "\n\n", "。", "；", "\n")
-SECTION = re.compile(r"^#{2,4}\s+(?P<title>.+?)\s*$", re.M)
-WINDOWS = "array<struct<section_title:string,start:int,text:string>>"
-
-
-def sections(content: str) -> Iterator[tuple[str, str]]:
-    """(title, text) by headings of level 2 to 4; what stands before the first counts if it is long."""
-    heads = list(SECTION.finditer(content))
-    if not heads:
-        yield "", content
-        return
-    lead = content[: heads[0].start()].strip()
-    if len(lead) > PREFIX_LEAST:
-        yield "", lead
-    for head, stop in zip(heads, [h.start() for h in heads[1:]] + [len(content)]):
-        yield " ".join(head["title"].split())[:TITLE_LENGTH], content[head.start() : stop].strip()
-
-
-def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple[int, str]]:
-    """(start, text) of windows that end at the best break in their last part."""
-    body = re.sub(r"\n{3,}", "\n\n", text).strip()
-    at, total = 0, len(body)
-    while True:
-        stop = min(total, at + size)
-        if stop < total:
-            ends = ((body.rfind(mark, at, stop) - at, len(mark)) for mark in BREAKS)
-            stop = next((at + p + n for p, n in ends if p >= size * BREAK_SHARE), stop)
-        piece = body[at:stop].strip()
-        if piece or total <= size:
-            yield at, piece
-        if stop >= total:
-            return
-        at = max(stop - overlap, at + 1)
+HEADING = r"(?mdU)^#{2,4}\s+."
+HEADING_TITLE = r"(?mdU)\A#{2,4}\s+(.+?)\s*$"
+#: Parts two texts of a batch; no break holds it.
+BETWEEN = "\0"
+
+
+def sections(content: Column) -> Column:
+    """Array of (title, text) by headings of level 2 to 4; what stands before the first counts if it is long, and is untitled."""
+    content = F.coalesce(content, F.lit(""))
+    pieces = F.split(content, HEADING.replace("^", "(?=^", 1) + ")")
+    title = lambda p: F.substring(F.regexp_replace(strip(F.regexp_extract(p, HEADING_TITLE, 1)), r"(?U)\s+", " "), 1, TITLE_LENGTH)
+    cut = F.transform(pieces, lambda p: F.struct(title(p).alias("title"), strip(p).alias("text"), p.rlike(r"(?U)\A#{2,4}\s+.").alias("headed")))
+    kept = F.filter(cut, lambda p: p["headed"] | (F.length(p["text"]) > PREFIX_LEAST))
+    whole = F.array(F.struct(F.lit("").alias("title"), content.alias("text")))
+    return F.when(content.rlike(HEADING), F.transform(kept, lambda p: F.struct(F.when(p["headed"], p["title"]).otherwise("").alias("title"), p["text"].alias("text")))).otherwise(whole)
+
+
+def _break_places(joined: str) -> list[np.ndarray]:
+    """Where each kind of break begins in the joined texts."""
+    return [np.array([m.start() for m in re.finditer(f"(?={re.escape(mark)})", joined)], np.int64) for mark in BREAKS]
+
+
+def window_spans(bodies: list[str], size: int = SIZE, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of every window of each body, in order; a window ends after the best break in its last part."""
+    lengths = np.array([len(b) for b in bodies], np.int64)
+    offsets = np.cumsum(lengths + len(BETWEEN)) - lengths - len(BETWEEN)
+    places = _break_places(BETWEEN.join(bodies))
+    early = size * BREAK_SHARE
+    live, at, out = np.arange(len(bodies)), np.zeros(len(bodies), np.int64), []
+    while len(live):
+        end = np.minimum(lengths[live], at + size)
+        open_ended = end < lengths[live]
+        chosen = ~open_ended
+        stop = end.copy()
+        for mark, found in zip(BREAKS, places):
+            if not len(found) or chosen.all():
+                continue
+            # the last break of this kind that lies in the window as a whole
+            last = np.searchsorted(found, offsets[live] + end - len(mark), side="right") - 1
+            place = found[np.maximum(last, 0)] - offsets[live]
+            fits = ~chosen & (last >= 0) & (place - at >= early)
+            stop = np.where(fits, place + len(mark), stop)
+            chosen |= fits
+        out.append((live, at, stop))
+        at = np.maximum(stop - overlap, at + 1)[open_ended | (stop < lengths[live])]
+        live = live[open_ended | (stop < lengths[live])]
+    if not out:
+        return (np.empty(0, np.int64),) * 3
+    text, start, stop = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((start, text))
+    return text[order], start[order], stop[order]
+
+
+def windows(texts: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[list[tuple[int, str]]]:
+    """[(start, text)] of each text's windows; blank ones are left out, unless they are all of a text."""
+    bodies = [re.sub(r"\n{3,}", "\n\n", t).strip() for t in texts]
+    out: list[list[tuple[int, str]]] = [[] for _ in bodies]
+    for k, a, b in zip(*(c.tolist() for c in window_spans(bodies, size, overlap))):
+        if (piece := bodies[k][a:b].strip()) or len(bodies[k]) <= size:
+            out[k].append((a, piece))
+    return out
 
 
 def window_udf(size: int = SIZE, overlap: int = OVERLAP):
-    """content -> array of (section_title, start, text). Each window's start hangs on the last one's end."""
+    """text -> array of (start, text)."""
 
-    @F.pandas_udf(WINDOWS)
-    def cut(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: [{"section_title": t, "start": s, "text": w} for t, x in sections(c or "") for s, w in windows(x, size, overlap)])
+    @F.pandas_udf("array<struct<start:int,text:string>>")
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            got = windows(batch.fillna("").tolist(), size, overlap)
+            yield pd.Series([[{"start": a, "text": w} for a, w in ws] for ws in got], index=batch.index, dtype=object)
 
     return cut
 
@@ -63,7 +100,8 @@ def window_udf(size: int = SIZE, overlap: int = OVERLAP):
 def chunk_windows(chapters: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """chapters with section_title, start and text in place of content."""
     rest = [c for c in chapters.columns if c != "content"]
-    return chapters.withColumn("w", window_udf(size, overlap)("content")).select(*rest, F.explode("w").alias("w")).select(*rest, "w.*")
+    each = chapters.select(*rest, F.explode(sections(F.col("content"))).alias("s")).select(*rest, F.col("s.title").alias("section_title"), window_udf(size, overlap)("s.text").alias("w"))
+    return each.select(*rest, "section_title", F.explode("w").alias("w")).select(*rest, "section_title", "w.*")
 
 
 def chunk_table(chapters: DataFrame, textbooks: DataFrame, wanted: list[str] | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -89,3 +127,24 @@ def index_status(index: DataFrame) -> DataFrame:
     """One row: chunks, embedded, textbooks, status."""
     n = index.agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"), F.countDistinct("textbook_id").alias("textbooks"))
     return n.withColumn("status", F.when(F.col("chunks") > 0, "ready").otherwise("empty"))
+
+
+def write_index(chunks: DataFrame, path: str, encoded: Callable[[DataFrame], DataFrame] | None = None, encoder: str = "") -> DataFrame:
+    """Replaces the index at path (index, meta) with chunks and their vectors, and gives its one row of metadata.
+
+    encoded turns chunks into chunks with an embedding. Where it is missing or fails, the index is
+    written without vectors and the reason goes into the metadata, so lexical search still works.
+    """
+    error = None
+    try:
+        if encoded is None:
+            raise ValueError("no encoder")
+        build_index(chunks, encoded(chunks)).write.mode("overwrite").parquet(f"{path}/index")
+    except Exception as e:  # noqa: BLE001  whatever an encoder raises
+        error = str(e).strip().splitlines()[0][:200] if str(e).strip() else type(e).__name__
+        build_index(chunks).write.mode("overwrite").parquet(f"{path}/index")
+    index = chunks.sparkSession.read.parquet(f"{path}/index")
+    width = F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")
+    meta = index_status(index).crossJoin(index.agg(width)).withColumns({"encoder": F.lit(encoder if error is None else ""), "error": F.lit(error).cast("string"), "built_at": F.current_timestamp()})  # one row each
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return chunks.sparkSession.read.parquet(f"{path}/meta")

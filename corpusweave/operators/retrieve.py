@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corpusweave.functions.shared import written
 
 DEPTH, CONSTANT, TOP = 30, 60, 5
 K1, B, FLOOR = 1.5, 0.75, 0.25
 CONTEXT_CHARS, SNIPPET_CHARS, SNIPPETS = 1100, 180, 3
+# Fixed value: what is said where nothing was found.
 REFUSAL = "当前知识库中未找到相关信息。"
 BLOCK = 4096
 
@@ -26,11 +34,6 @@ def chunk_words(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", tokens(F.concat_ws(" ", "textbook_title", "chapter_title", "section_title", "text")).alias("tokens"))
 
 
-def postings(words: DataFrame) -> DataFrame:
-    """(token, chunk_id, tf, dl)."""
-    return words.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-
-
 def corpus_size(words: DataFrame) -> DataFrame:
     """One row: n chunks and their average length."""
     return words.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
@@ -45,10 +48,17 @@ def bm25_statistics(words: DataFrame) -> DataFrame:
 
 
 def bm25_scores(words: DataFrame, questions: DataFrame) -> DataFrame:
-    """(question_id, chunk_id, bm25) of chunks that share a token with the question, rounded to 6 places; zero scores are left out."""
-    asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("times"))
-    terms = asked.join(bm25_statistics(words), "token")
-    hits = terms.join(postings(words), "token").crossJoin(corpus_size(words).select("avgdl"))  # one row
+    """(question_id, chunk_id, bm25) of chunks that share a token with the question, rounded to 6 places; zero scores are left out.
+
+    Only tokens that are asked for get postings; document frequencies of all tokens come from one
+    pass of their own.
+    """
+    asked = written(questions.select("question_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("times")))
+    some = asked.select("token").distinct()
+    each = words.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(some, "token", "left_semi")
+    found = each.groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    terms = asked.join(bm25_statistics(words).join(some, "token", "left_semi"), "token")
+    hits = terms.join(found, "token").crossJoin(corpus_size(words).select("avgdl"))  # one row
     tf, norm = F.col("tf"), K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     score = F.round(F.sum(F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + norm)), 6)
     return hits.groupBy("question_id", "chunk_id").agg(score.alias("bm25")).filter("bm25 <> 0")
@@ -64,46 +74,96 @@ def bm25_top(words: DataFrame, questions: DataFrame, depth: int = DEPTH) -> Data
     return ranked(bm25_scores(words, questions).filter("bm25 > 0"), "bm25", "bm25_rank", depth)
 
 
-def vector_top(index: DataFrame, questions: DataFrame, depth: int = DEPTH, block: int = BLOCK, id_name: str = "chunk_id") -> DataFrame:
-    """(question_id, chunk_id, vector, vector_rank): the nearest rows of index (chunk_id, embedding) to each question (question_id, embedding).
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
-    Exact: blocks of questions meet blocks of rows, each pair is one matrix product that gives out
-    its best `depth`, and these are ranked again. Rows without a vector are absent. Scores are
-    rounded to 6 places; ties by id.
-    """
-    rows = index.dropna(subset=["embedding"]).select(F.col(id_name).alias("chunk_id"), "embedding")
-    asked = questions.dropna(subset=["embedding"]).select("question_id", "embedding")
-    nq, nr = max(1, -(-asked.count() // block)), max(1, -(-rows.count() // block))
-    kinds = {c: t for c, t in rows.dtypes} | {c: t for c, t in asked.dtypes}
-    a = asked.select("question_id", F.lit(None).cast(kinds["chunk_id"]).alias("chunk_id"), "embedding", F.pmod(F.xxhash64("question_id"), F.lit(nq)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("r"))
-    b = rows.select(F.lit(None).cast(kinds["question_id"]).alias("question_id"), "chunk_id", F.col("embedding").cast(kinds["embedding"]).alias("embedding"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), F.pmod(F.xxhash64("chunk_id"), F.lit(nr)).alias("r"))
+
+def _best(asks: np.ndarray, has: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the best rows of `has`, which lie in order of their ids, for each row of asks."""
+    scores = np.round(asks @ has.T, 6)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :depth]
+    return best, np.take_along_axis(scores, best, 1)
+
+
+def _by_scan(rows: DataFrame, asked: list, depth: int, schema: T.StructType) -> DataFrame:
+    """The best rows of each batch for the questions (id, vector), which every task gets."""
+    shared = rows.sparkSession.sparkContext.broadcast(([r[0] for r in asked], np.array([r[1] for r in asked], np.float64)))
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asks = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.sort_by("chunk_id")
+            best, scores = _best(asks, _matrix(batch.column(1)), depth)
+            ids = batch.column(0).take(pa.array(best.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(best.shape[1])], kinds[0]), ids, pa.array(scores.ravel())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_cells(rows: DataFrame, asked: DataFrame, n_asked: int, depth: int, block: int, schema: T.StructType) -> DataFrame:
+    """Blocks of questions meet blocks of rows; each pair of blocks gives out its best."""
+    nq, nr = -(-n_asked // block), max(1, -(-rows.count() // block))
+    kinds = {f.name: f.dataType for f in (*rows.schema, *asked.schema)}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    a = asked.select("question_id", none("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("question_id"), F.lit(nq)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("r"))
+    b = rows.select(none("question_id"), "chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), F.pmod(F.xxhash64("chunk_id"), F.lit(nr)).alias("r"))
 
     def product(part: pd.DataFrame) -> pd.DataFrame:
         asks, has = part[part["chunk_id"].isna()], part[part["chunk_id"].notna()].sort_values("chunk_id")
         if not len(asks) or not len(has):
             return pd.DataFrame({"question_id": [], "chunk_id": [], "vector": []})
-        m = lambda x: np.array(x["embedding"].tolist(), np.float64)
-        scores = np.round(m(asks) @ m(has).T, 6)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :depth]
-        return pd.DataFrame({"question_id": np.repeat(asks["question_id"].to_numpy(), best.shape[1]), "chunk_id": has["chunk_id"].to_numpy()[best.ravel()], "vector": np.take_along_axis(scores, best, 1).ravel()})
+        best, scores = _best(np.array(asks["embedding"].tolist()), np.array(has["embedding"].tolist()), depth)
+        return pd.DataFrame({"question_id": np.repeat(asks["question_id"].to_numpy(), best.shape[1]), "chunk_id": has["chunk_id"].to_numpy()[best.ravel()], "vector": scores.ravel()})
+
+    return a.unionByName(b).groupBy("q", "r").applyInPandas(product, schema)
+
+
+def vector_top(index: DataFrame, questions: DataFrame, depth: int = DEPTH, block: int = BLOCK, id_name: str = "chunk_id") -> DataFrame:
+    """(question_id, chunk_id, vector, vector_rank): the nearest rows of index (chunk_id, embedding) to each question (question_id, embedding).
 
-    found = a.unionByName(b).groupBy("q", "r").applyInPandas(product, f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, vector double")
+    Exact. Up to `block` questions are sent to all tasks and the index is only read; more of them
+    meet it in pairs of blocks. Either way the best of each batch or pair are ranked again. Rows
+    without a vector are absent. Scores are rounded to 6 places; ties by id.
+    """
+    rows = index.dropna(subset=["embedding"]).select(F.col(id_name).alias("chunk_id"), "embedding")
+    asked = questions.dropna(subset=["embedding"]).select("question_id", "embedding")
+    schema = T.StructType([asked.schema["question_id"], rows.schema["chunk_id"]]).add("vector", "double")
+    few = asked.limit(block + 1).collect()
+    if not few:
+        found = rows.sparkSession.createDataFrame([], schema)
+    elif len(few) <= block:
+        found = _by_scan(rows, few, depth, schema)
+    else:
+        found = _by_cells(rows, asked, asked.count(), depth, block, schema)
     return ranked(found, "vector", "vector_rank", depth)
 
 
-def fuse(vectors: DataFrame, lexical: DataFrame, scores: DataFrame | None = None, constant: int = CONSTANT, top: int = TOP) -> DataFrame:
+def fuse(vectors: DataFrame, lexical: DataFrame, scores: DataFrame | None = None, constant: int = CONSTANT, top: int = TOP, index: DataFrame | None = None, questions: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_id, rank, score, vector, bm25): reciprocal rank fusion of two ranked lists.
 
-    Ties go by vector rank, then lexical rank, then id. scores (question_id, chunk_id, bm25), if given,
-    fills in lexical scores of chunks beyond the ranked list. Scores are rounded to 6 places.
+    Ties go by vector rank, then lexical rank, then id. Both scores are those of the chunk even where
+    it is outside a list: scores (question_id, chunk_id, bm25) fills in lexical ones, the vectors of
+    index (chunk_id, embedding) and questions (question_id, embedding) the others; what stays
+    unknown is 0. Scores are rounded to 6 places.
     """
     both = vectors.select("question_id", "chunk_id", "vector", "vector_rank").join(lexical.select("question_id", "chunk_id", "bm25", "bm25_rank"), ["question_id", "chunk_id"], "full")
-    if scores is not None:
-        both = both.join(scores.withColumnRenamed("bm25", "any_bm25"), ["question_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", "any_bm25")).drop("any_bm25")
     part = lambda c: F.coalesce(1 / (constant + F.col(c)), F.lit(0.0))
     rows = both.withColumn("score", F.round(part("vector_rank") + part("bm25_rank"), 9))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("bm25_rank"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("question_id", "chunk_id", "rank", "score", F.coalesce("vector", F.lit(0.0)).alias("vector"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    best = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("question_id", "chunk_id", "rank", "score", "vector", "bm25")
+    if scores is not None or index is not None:
+        best = written(best)  # `top` rows a question
+    if scores is not None:
+        best = best.join(scores.select("question_id", "chunk_id", F.col("bm25").alias("any_bm25")), ["question_id", "chunk_id"], "left").withColumn("bm25", F.coalesce("bm25", "any_bm25")).drop("any_bm25")
+    if index is not None:
+        far = best.filter("vector IS NULL").select("question_id", "chunk_id")
+        pairs = far.join(index.dropna(subset=["embedding"]).select("chunk_id", "embedding"), "chunk_id").join(questions.select("question_id", F.col("embedding").alias("asked")), "question_id")
+        dots = pairs.select("question_id", "chunk_id", F.round(F.aggregate(F.zip_with("embedding", "asked", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6).alias("any_vector"))
+        best = best.join(dots, ["question_id", "chunk_id"], "left").withColumn("vector", F.coalesce("vector", "any_vector")).drop("any_vector")
+    return best.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("vector", "bm25")})
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 
@@ -9,31 +10,70 @@ from corpusweave.streaming import flows
 from pyspark.sql import functions as F
 
 
+def one(text, **options):
+    return chunk.windows([text], **options)[0]
+
+
 def test_windows_break_where_they_may():
-    assert list(chunk.windows("x" * 700)) == [(0, "x" * 700)]
-    assert [s for s, _ in chunk.windows("x" * 701)] == [0, 610]
+    assert one("x" * 700) == [(0, "x" * 700)]
+    assert [s for s, _ in one("x" * 701)] == [0, 610]
     early, late = "x" * 385 + "\n" + "y" * 400, "x" * 386 + "\n" + "y" * 400
-    assert next(chunk.windows(early))[1] == early[:700] and next(chunk.windows(late))[1] == "x" * 386
+    assert one(early)[0][1] == early[:700] and one(late)[0][1] == "x" * 386
     for mark in ("\n##", "\n\n", "。", "；", "\n"):
         text = "x" * 400 + mark + "y" * 500
-        assert [s for s, _ in chunk.windows(text)][1] == 400 + len(mark) - 90
-    assert list(chunk.windows("  ")) == [(0, "")]
-
-
-def test_windows_cover_and_end():
+        assert [s for s, _ in one(text)][1] == 400 + len(mark) - 90
+    assert one("  ") == [(0, "")] and chunk.windows([]) == []
+
+
+def plain_windows(text, size=700, overlap=90):
+    """The rules one window after the other, as a table of all possible ends."""
+    body = re.sub(r"\n{3,}", "\n\n", text).strip()
+    ends = {a: min(len(body), a + size) for a in range(max(1, len(body)))}
+    for a, full in ends.items():
+        if full < len(body):
+            for mark in chunk.BREAKS:
+                fits = [p for p in range(a, full - len(mark) + 1) if body.startswith(mark, p) and p - a >= 0.55 * size]
+                if fits:
+                    ends[a] = fits[-1] + len(mark)
+                    break
+    a, out = 0, []
+    while True:
+        if body[a : ends[a]].strip() or len(body) <= size:
+            out.append((a, body[a : ends[a]].strip()))
+        if ends[a] >= len(body):
+            return out
+        a = max(ends[a] - overlap, a + 1)
+
+
+def test_windows_of_a_batch_match_the_rules():
     rnd = random.Random(5)
-    for _ in range(50):
-        text = "".join(rnd.choice("abc。；\n# ") for _ in range(rnd.randrange(5000)))
-        got = list(chunk.windows(text))
-        body = __import__("re").sub(r"\n{3,}", "\n\n", text).strip()
-        assert all(len(w) <= 700 and body[s:].lstrip().startswith(w[:20]) for s, w in got) and len({s for s, _ in got}) == len(got)
-        assert not body or body.endswith(got[-1][1])
+    texts = ["".join(rnd.choice("abc。；\n# ") for _ in range(rnd.randrange(600))) for _ in range(60)] + ["", "\0\n\n" * 40]
+    for size, overlap in ((60, 9), (50, 60)):
+        assert chunk.windows(texts, size, overlap) == [plain_windows(t, size, overlap) for t in texts]
 
 
-def test_sections():
+def test_sections(spark):
     text = "lead " * 30 + "\n## A  b\nx\n# not\n#### C\ny\n##### no"
-    assert [t for t, _ in chunk.sections(text)] == ["", "A b", "C"]
-    assert [t for t, _ in chunk.sections("short\n## A\nx")] == ["A"]
+    rows = [(1, text), (2, "short\n## A\nx"), (3, "no heading\n##"), (4, None), (5, "## only　title　\n\n\n"), (6, "a\u2028## b c\n### 标题 x\n正文")]
+    got = {r["k"]: [(s["title"], s["text"]) for s in r["s"]] for r in spark.createDataFrame(rows, "k int, t string").select("k", chunk.sections(F.col("t")).alias("s")).collect()}
+    assert [t for t, _ in got[1]] == ["", "A b", "C"] and got[1][2][1] == "#### C\ny\n##### no"
+    assert got[2] == [("A", "## A\nx")] and got[3] == [("", rows[2][1])] and got[4] == [("", "")]
+    assert got[5] == [("only title", "## only　title")]
+    assert got[6] == [("标题 x", "### 标题 x\n正文")]
+
+
+def test_index_is_replaced_and_survives_its_encoder(spark, tmp_path):
+    c = spark.createDataFrame([("c1", "b", "some text"), ("c2", "b", "other")], "chunk_id string, textbook_id string, text string")
+
+    def broken(rows):
+        raise RuntimeError("no model here\nat all")
+
+    path = str(tmp_path / "i")
+    first = chunk.write_index(c, path, lambda rows: encode.encode(rows, "text"), "hashing").first()
+    assert (first["chunks"], first["embedded"], first["width"], first["encoder"], first["error"]) == (2, 2, 512, "hashing", None)
+    second = chunk.write_index(c.limit(1), path, broken, "hashing").first()
+    assert (second["chunks"], second["embedded"], second["status"], second["error"]) == (1, 0, "ready", "no model here")
+    assert spark.read.parquet(path + "/index").count() == 1
 
 
 def test_tokens_agree_with_the_encoder(spark):
@@ -112,3 +152,25 @@ def test_click_stream_drops_repeated_events(spark, tmp_path):
     events = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     flows.clicks(events, str(tmp_path / "out")).awaitTermination()
     assert dict(flows.latest(spark, str(tmp_path / "out")).collect()) == {7: 2, 8: 1}
+
+
+def test_fusion_has_the_scores_of_chunks_outside_a_list(spark):
+    vec = spark.createDataFrame([(1, "a", 0.9, 1)], "question_id int, chunk_id string, vector double, vector_rank int")
+    lex = spark.createDataFrame([(1, "b", 4.0, 1)], "question_id int, chunk_id string, bm25 double, bm25_rank int")
+    scores = spark.createDataFrame([(1, "a", 0.5), (1, "b", 4.0)], "question_id int, chunk_id string, bm25 double")
+    index = spark.createDataFrame([("a", [0.9, 0.1]), ("b", [0.25, 0.5])], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "question_id int, embedding array<double>")
+    got = {r["chunk_id"]: (r["rank"], r["vector"], r["bm25"]) for r in retrieve.fuse(vec, lex, scores, index=index, questions=asked).collect()}
+    assert got == {"a": (1, 0.9, 0.5), "b": (2, 0.25, 4.0)}
+
+
+def test_encoder_by_batches_is_the_plain_one():
+    texts = ["Ab ab 稳态调节 x1", "", "zz", "ab " * 9]
+    got = encode.hashing_encoder(texts)
+    for t, v in zip(texts, got):
+        plain = np.zeros(512)
+        for token in encode.tokens_of(t):
+            at, sign = encode._place(token, 512)
+            plain[at] += sign
+        assert np.allclose(v, plain / (np.linalg.norm(plain) or 1))
+    assert encode.hashing_encoder([]).shape == (0, 512)
