@@ -386,12 +386,19 @@ def stream_feedback(spark, sf_dir):
     return flows.latest(spark, path).select("decision_id", "action", "reason", "confidence")
 
 
-@query(f"WITH RECURSIVE {WINDOWS_SQL} SELECT chunk_id, textbook_id, chapter_id, start, text FROM chunks")
+# Each document is a file; each third comes again, changed, in the same inbox, and each seventh is of an unknown format.
+_FILES_SQL = """files AS (
+  SELECT 'file ' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.exe' ELSE '.md' END AS filename, CASE WHEN doc_id % 3 = 0 THEN 'new ' || text ELSE text END AS content FROM documents
+), books AS (SELECT 'tb_' || substr(md5(filename), 1, 8) AS textbook_id, regexp_replace(filename, '[.][^.]*$', '') AS title, content FROM files WHERE NOT suffix(filename, '.exe') AND trim(content) <> ''
+), chapters AS (SELECT textbook_id, 'ch_001' AS chapter_id, '全文' AS title, content, NULL::INT AS page_start, NULL::INT AS page_end FROM books)"""
+
+
+@query(f"WITH RECURSIVE {WINDOWS_SQL.replace(CHAPTERS + ', ' + BOOKS, _FILES_SQL)} SELECT chunk_id, textbook_id, chapter_id, start, text FROM chunks")
 def stream_ingest(spark, sf_dir):
-    page = (F.col("doc_id") % 50 + 1).cast("int")
-    d = _stream(spark, sf_dir, "documents").select(
-        F.col("source").alias("textbook_id"), F.format_string("ch_%03d", "doc_id").alias("chapter_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), page.alias("page_start"), (page + 2).alias("page_end")
-    )
-    path = _folder(spark)
-    flows.ingest(d, books(spark, sf_dir), path).awaitTermination()
-    return spark.read.parquet(f"{path}/chunks").select("chunk_id", "textbook_id", "chapter_id", "start", "text")
+    d, inbox, path = table(spark, sf_dir, "documents"), _folder(spark), _folder(spark)
+    name = F.concat(F.lit("file "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".exe").otherwise(".md"))
+    first = d.select(name.alias("filename"), F.col("text").alias("content"), F.lit(1).alias("modified"))
+    again = d.filter("doc_id % 3 = 0").select(name.alias("filename"), F.concat(F.lit("new "), "text").alias("content"), F.lit(2).alias("modified"))
+    first.unionByName(again).write.parquet(inbox)
+    flows.ingest(spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox), path).awaitTermination()
+    return flows.ingested(spark, path, "chunks").select("chunk_id", "textbook_id", "chapter_id", "start", "text")

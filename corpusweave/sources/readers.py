@@ -10,10 +10,24 @@ PAGES = "doc_id string, page_no int, text string"
 OUTLINE = "doc_id string, pos int, level int, title string, page int"
 
 
+def titled(files: DataFrame) -> DataFrame:
+    """(doc_id, filename, title, content) of (filename, content): named by the filename, titled by its stem."""
+    return files.select(F.concat(F.lit("tb_"), F.substring(F.md5("filename"), 1, 8)).alias("doc_id"), "filename", F.regexp_replace("filename", r"\.[^.]*\z", "").alias("title"), "content")
+
+
+def _files(rows: DataFrame) -> DataFrame:
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("filename"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, filename, title, content): each file is a document, titled by its stem."""
-    rows = spark.read.text(path, wholetext=True).select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("filename"), F.col("value").alias("content"))
-    return rows.select(F.concat(F.lit("tb_"), F.substring(F.md5("filename"), 1, 8)).alias("doc_id"), "filename", F.regexp_replace("filename", r"\.[^.]*\z", "").alias("title"), "content")
+    return titled(_files(spark.read.text(path, wholetext=True)))
+
+
+def stream_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, content, modified) of files as they arrive in a folder."""
+    return _files(spark.readStream.text(path, wholetext=True))
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:

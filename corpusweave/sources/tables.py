@@ -22,8 +22,8 @@ def replace_slices(base: DataFrame, delta: DataFrame, slice_key: str) -> DataFra
 
 
 def write_slices(delta: DataFrame, path: str, slice_key: str) -> None:
-    """Overwrites only the partitions that delta has rows of."""
-    delta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(slice_key).parquet(path)
+    """Overwrites only the partitions that delta has rows of; a slice has few files, a large one more."""
+    delta.hint("rebalance", slice_key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(slice_key).parquet(path)
 
 
 def cascade_delete(parents: DataFrame, children: list[DataFrame], gone: DataFrame, key: str) -> list[DataFrame]:

@@ -1,8 +1,9 @@
 """The flows that run continuously: ingest, progress, feedback, clicks.
 
 Each takes a streaming DataFrame and keeps a table in a folder that readers can open at any time.
-Batches are numbered, and a table's state is written to a folder of the batch's number, so a batch
-that runs again after a failure writes the same state again.
+Batches are numbered: a table's state is written to a folder of the batch's number, and the number
+to a list of those that are done, so a batch that runs again after a failure writes the same again.
+Ingest replaces slices by textbook instead, which repeats do not change either.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusweave.functions.text import strip
 from corpusweave.operators.chunk import chunk_table
 from corpusweave.operators.converse import apply_feedback
 from corpusweave.operators.extract import candidate_terms
+from corpusweave.operators.segment import format_gate, heading_chapters
+from corpusweave.sources.readers import titled
+from corpusweave.sources.tables import write_slices
 
 
 def _start(rows: DataFrame, path: str, mode: str, each: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
@@ -23,33 +28,53 @@ def _start(rows: DataFrame, path: str, mode: str, each: Callable[[DataFrame, int
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _keep(state: DataFrame, path: str, n: int) -> None:
+    state.write.mode("overwrite").parquet(f"{path}/state/batch={n}")
+    state.sparkSession.createDataFrame([(n,)], "n long").write.mode("overwrite").parquet(f"{path}/done/batch={n}")
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The state after the last batch."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-    done = [n for n in names if n.startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{path}/{max(done, key=lambda n: int(n[6:]))}")
+    """The state after the last batch that is done."""
+    n = spark.read.schema("n long").parquet(f"{path}/done").agg(F.max("n")).first()[0]
+    return spark.read.parquet(f"{path}/state/batch={n}")
+
 
+def ingest(files: DataFrame, path: str, once: bool = True) -> StreamingQuery:
+    """Textbooks, chapters and chunks of arriving files (filename, content, modified), sliced by textbook.
 
-def ingest(files: DataFrame, textbooks: DataFrame, path: str, once: bool = True) -> StreamingQuery:
-    """Chunks of arriving chapters (textbook_id, chapter_id, title, content, page_start, page_end), and
-    one status row per chapter: done, or failed with a reason where there is no text."""
+    A file's textbook is named by its filename. A file that comes again replaces what was made of it
+    before; of several in one batch the last modified counts. Files of an unknown format, and those
+    without text, give a textbook that failed, with the reason, and ingested() hides what an earlier
+    version of it left.
+    """
 
     def each(batch: DataFrame, n: int) -> None:
-        ok = F.length(F.trim(F.coalesce("content", F.lit("")))) > 0
-        chunk_table(batch.filter(ok), textbooks).write.mode("overwrite").parquet(f"{path}/chunks/batch={n}")
-        status = batch.select("textbook_id", "chapter_id", F.when(ok, "done").otherwise("failed").alias("status"), F.when(~ok, "no text").alias("error_message"))
-        status.write.mode("overwrite").parquet(f"{path}/status/batch={n}")
+        last = batch.groupBy("filename").agg(F.max(F.struct("modified", F.coalesce("content", F.lit("")).alias("content"))).alias("f"))
+        books = format_gate(titled(last.select("filename", "f.content"))).withColumnRenamed("doc_id", "textbook_id")
+        blank = F.length(strip(F.col("content"))) == 0
+        status = F.when(F.col("status") == "rejected", "failed").when(blank, "failed").otherwise("done")
+        books = books.select("textbook_id", "title", "filename", F.length("content").alias("total_chars"), status.alias("parse_status"), F.when(F.col("status") == "rejected", F.col("reason")).when(blank, "no text").alias("error_message"), "content").persist()
+        done = books.filter("parse_status = 'done'")
+        chapters = heading_chapters(done.select(F.col("textbook_id").alias("doc_id"), "content")).withColumnRenamed("doc_id", "textbook_id").withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
+        write_slices(chapters, f"{path}/chapters", "textbook_id")
+        write_slices(chunk_table(chapters, done), f"{path}/chunks", "textbook_id")
+        write_slices(books.drop("content"), f"{path}/textbooks", "textbook_id")
+        books.unpersist()
 
     return _start(files, path, "append", each, once)
 
 
+def ingested(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """chapters or chunks of textbooks that are done."""
+    done = spark.read.parquet(f"{path}/textbooks").filter("parse_status = 'done'").select("textbook_id")
+    return spark.read.parquet(f"{path}/{table}").join(done, "textbook_id", "left_semi")
+
+
 def progress(chapters: DataFrame, dictionary: list[str], path: str, most: int = 10, once: bool = True) -> StreamingQuery:
     """Running (textbook_id, done, nodes)."""
     n = F.least(F.size(candidate_terms(F.col("title"), F.col("content"), dictionary)), F.lit(most))
     counts = chapters.select("textbook_id", n.alias("n")).groupBy("textbook_id").agg(F.count("*").alias("done"), F.sum("n").alias("nodes"))
-    return _start(counts, path, "complete", lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}"), once)
+    return _start(counts, path, "complete", lambda b, i: _keep(b, path, i), once)
 
 
 def feedback(messages: DataFrame, decisions: DataFrame, path: str, once: bool = True) -> StreamingQuery:
@@ -57,13 +82,13 @@ def feedback(messages: DataFrame, decisions: DataFrame, path: str, once: bool =
     spark = decisions.sparkSession
 
     def each(batch: DataFrame, n: int) -> None:
-        state = decisions if n == 0 else spark.read.parquet(f"{path}/batch={n - 1}")
-        apply_feedback(state, batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        state = decisions if n == 0 else spark.read.parquet(f"{path}/state/batch={n - 1}")
+        _keep(apply_feedback(state, batch), path, n)
 
     return _start(messages, path, "append", each, once)
 
 
 def clicks(events: DataFrame, path: str, late: str = "1 day", once: bool = True) -> StreamingQuery:
-    """Running (id, clicks) of events (event_id, ts, id); an event seen twice within `late` counts once."""
-    counts = events.withWatermark("ts", late).dropDuplicates(["event_id", "ts"]).groupBy("id").agg(F.count("*").alias("clicks"))
-    return _start(counts, path, "complete", lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}"), once)
+    """Running (id, clicks) of events (event_id, ts, id); an event that comes again within `late` counts once, whatever its time."""
+    counts = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).groupBy("id").agg(F.count("*").alias("clicks"))
+    return _start(counts, path, "complete", lambda b, i: _keep(b, path, i), once)

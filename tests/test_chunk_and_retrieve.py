@@ -147,13 +147,35 @@ def test_readers(spark, tmp_path):
 
 
 def test_click_stream_drops_repeated_events(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 7), (1, "2024-01-01 00:00:00", 7), (2, "2024-01-01 01:00:00", 7), (3, "2024-01-01 02:00:00", 8)], "event_id long, ts string, id long").withColumn("ts", F.to_timestamp("ts"))
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 7), (1, "2024-01-01 00:00:00", 7), (1, "2024-01-01 03:00:00", 7), (2, "2024-01-01 01:00:00", 7), (3, "2024-01-01 02:00:00", 8)], "event_id long, ts string, id long").withColumn("ts", F.to_timestamp("ts"))
     rows.write.parquet(str(tmp_path / "in"))
     events = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     flows.clicks(events, str(tmp_path / "out")).awaitTermination()
     assert dict(flows.latest(spark, str(tmp_path / "out")).collect()) == {7: 2, 8: 1}
 
 
+def test_ingest_replaces_files_that_come_again(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    long = "words of a text that go on " * 9
+    (inbox / "a book.md").write_text(f"# One\n{long}\n# Two\n{long}")
+    (inbox / "b.exe").write_text(long)
+    (inbox / "c.txt").write_text(long)
+    for _ in range(2):  # the second run finds nothing new
+        flows.ingest(readers.stream_corpus(spark, str(inbox)), out).awaitTermination()
+    books = {r["title"]: (r["parse_status"], r["error_message"]) for r in spark.read.parquet(out + "/textbooks").collect()}
+    assert books == {"a book": ("done", None), "b": ("failed", "unsupported format: exe"), "c": ("done", None)}
+    first = {r["chunk_id"] for r in flows.ingested(spark, out, "chunks").collect()}
+    assert len(first) == flows.ingested(spark, out, "chunks").count() == 3
+    # the same names again, one changed and one blank
+    spark.createDataFrame([("a book.md", f"# Three\n{long}\n# Four\n{long} end", 9), ("c.txt", " ", 9), ("a book.md", "older", 8)], "filename string, content string, modified int").write.parquet(str(tmp_path / "more"))
+    more = spark.readStream.schema("filename string, content string, modified int").parquet(str(tmp_path / "more"))
+    (tmp_path / "out/_checkpoint").rename(tmp_path / "old")
+    flows.ingest(more, out).awaitTermination()
+    assert {r["title"] for r in flows.ingested(spark, out, "chapters").collect()} == {"Three", "Four"}
+    assert flows.ingested(spark, out, "chunks").count() == 2
+
+
 def test_fusion_has_the_scores_of_chunks_outside_a_list(spark):
     vec = spark.createDataFrame([(1, "a", 0.9, 1)], "question_id int, chunk_id string, vector double, vector_rank int")
     lex = spark.createDataFrame([(1, "b", 4.0, 1)], "question_id int, chunk_id string, bm25 double, bm25_rank int")
