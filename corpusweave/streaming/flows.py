@@ -3,7 +3,7 @@
 Each takes a streaming DataFrame and keeps a table in a folder that readers can open at any time.
 Batches are numbered: a table's state is written to a folder of the batch's number, and the number
 to a list of those that are done, so a batch that runs again after a failure writes the same again.
-Ingest replaces slices by textbook instead, which repeats do not change either.
+Ingest adds what it makes to logs, sliced by batch, of which readers see each textbook's last version.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from corpusweave.operators.converse import apply_feedback
 from corpusweave.operators.extract import candidate_terms
 from corpusweave.operators.segment import format_gate, heading_chapters
 from corpusweave.sources.readers import titled
-from corpusweave.sources.tables import write_slices
 
 
 def _start(rows: DataFrame, path: str, mode: str, each: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
@@ -40,34 +39,35 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest(files: DataFrame, path: str, once: bool = True) -> StreamingQuery:
-    """Textbooks, chapters and chunks of arriving files (filename, content, modified), sliced by textbook.
+    """Textbooks, chapters and chunks of arriving files (filename, content, modified), for ingested().
 
     A file's textbook is named by its filename. A file that comes again replaces what was made of it
     before; of several in one batch the last modified counts. Files of an unknown format, and those
-    without text, give a textbook that failed, with the reason, and ingested() hides what an earlier
-    version of it left.
+    without text, give a textbook that failed, with the reason, and without chapters.
     """
 
     def each(batch: DataFrame, n: int) -> None:
+        add = lambda rows, name: rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={n}")
         last = batch.groupBy("filename").agg(F.max(F.struct("modified", F.coalesce("content", F.lit("")).alias("content"))).alias("f"))
         books = format_gate(titled(last.select("filename", "f.content"))).withColumnRenamed("doc_id", "textbook_id")
-        blank = F.length(strip(F.col("content"))) == 0
-        status = F.when(F.col("status") == "rejected", "failed").when(blank, "failed").otherwise("done")
-        books = books.select("textbook_id", "title", "filename", F.length("content").alias("total_chars"), status.alias("parse_status"), F.when(F.col("status") == "rejected", F.col("reason")).when(blank, "no text").alias("error_message"), "content").persist()
-        done = books.filter("parse_status = 'done'")
-        chapters = heading_chapters(done.select(F.col("textbook_id").alias("doc_id"), "content")).withColumnRenamed("doc_id", "textbook_id").withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
-        write_slices(chapters, f"{path}/chapters", "textbook_id")
-        write_slices(chunk_table(chapters, done), f"{path}/chunks", "textbook_id")
-        write_slices(books.drop("content"), f"{path}/textbooks", "textbook_id")
-        books.unpersist()
+        rejected, blank = F.col("status") == "rejected", F.length(strip(F.col("content"))) == 0
+        judged = books.select("textbook_id", "title", "filename", F.length("content").alias("total_chars"), F.when(rejected | blank, "failed").otherwise("done").alias("parse_status"), F.when(rejected, F.col("reason")).when(blank, "no text").alias("error_message"), "content")
+        done = judged.filter("parse_status = 'done'")
+        chapters = heading_chapters(done.select(F.col("textbook_id").alias("doc_id"), "content")).withColumnRenamed("doc_id", "textbook_id")
+        add(chapters.withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")}), "chapters")
+        add(judged.drop("content"), "textbooks")
+        read = batch.sparkSession.read
+        add(chunk_table(read.parquet(f"{path}/chapters/batch={n}"), read.parquet(f"{path}/textbooks/batch={n}")), "chunks")
 
     return _start(files, path, "append", each, once)
 
 
 def ingested(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """chapters or chunks of textbooks that are done."""
-    done = spark.read.parquet(f"{path}/textbooks").filter("parse_status = 'done'").select("textbook_id")
-    return spark.read.parquet(f"{path}/{table}").join(done, "textbook_id", "left_semi")
+    """textbooks in their last version, or the chapters or chunks of that version."""
+    books = spark.read.parquet(f"{path}/textbooks")
+    last = books.groupBy("textbook_id").agg(F.max("batch").alias("batch"))
+    rows = books if table == "textbooks" else spark.read.parquet(f"{path}/{table}")
+    return rows.join(last, ["textbook_id", "batch"], "left_semi").drop("batch")
 
 
 def progress(chapters: DataFrame, dictionary: list[str], path: str, most: int = 10, once: bool = True) -> StreamingQuery:

@@ -155,25 +155,36 @@ def test_click_stream_drops_repeated_events(spark, tmp_path):
 
 
 def test_ingest_replaces_files_that_come_again(spark, tmp_path):
-    inbox, out = tmp_path / "in", str(tmp_path / "out")
-    inbox.mkdir()
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
     long = "words of a text that go on " * 9
-    (inbox / "a book.md").write_text(f"# One\n{long}\n# Two\n{long}")
-    (inbox / "b.exe").write_text(long)
-    (inbox / "c.txt").write_text(long)
-    for _ in range(2):  # the second run finds nothing new
-        flows.ingest(readers.stream_corpus(spark, str(inbox)), out).awaitTermination()
-    books = {r["title"]: (r["parse_status"], r["error_message"]) for r in spark.read.parquet(out + "/textbooks").collect()}
-    assert books == {"a book": ("done", None), "b": ("failed", "unsupported format: exe"), "c": ("done", None)}
-    first = {r["chunk_id"] for r in flows.ingested(spark, out, "chunks").collect()}
-    assert len(first) == flows.ingested(spark, out, "chunks").count() == 3
-    # the same names again, one changed and one blank
-    spark.createDataFrame([("a book.md", f"# Three\n{long}\n# Four\n{long} end", 9), ("c.txt", " ", 9), ("a book.md", "older", 8)], "filename string, content string, modified int").write.parquet(str(tmp_path / "more"))
-    more = spark.readStream.schema("filename string, content string, modified int").parquet(str(tmp_path / "more"))
-    (tmp_path / "out/_checkpoint").rename(tmp_path / "old")
-    flows.ingest(more, out).awaitTermination()
+    schema = "filename string, content string, modified int"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        for _ in range(2):  # the second run finds nothing new
+            flows.ingest(spark.readStream.schema(schema).parquet(inbox), out).awaitTermination()
+
+    arrive([("a book.md", f"# One\n{long}\n# Two\n{long}", 1), ("b.exe", long, 1), ("c.txt", long, 1), ("d.txt", None, 1)])
+    books = {r["title"]: (r["parse_status"], r["error_message"]) for r in flows.ingested(spark, out, "textbooks").collect()}
+    assert books == {"a book": ("done", None), "b": ("failed", "unsupported format: exe"), "c": ("done", None), "d": ("failed", "no text")}
+    assert flows.ingested(spark, out, "chunks").select("chunk_id").distinct().count() == flows.ingested(spark, out, "chunks").count() == 3
+    arrive([("a book.md", f"# Three\n{long}\n# Four\n{long} end", 9), ("c.txt", " ", 9), ("a book.md", "older", 8)])
     assert {r["title"] for r in flows.ingested(spark, out, "chapters").collect()} == {"Three", "Four"}
-    assert flows.ingested(spark, out, "chunks").count() == 2
+    assert flows.ingested(spark, out, "chunks").count() == 2 and flows.ingested(spark, out, "textbooks").count() == 4
+
+
+def test_file_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x y.md").write_text("# One\n" + "text " * 60)
+    flows.ingest(readers.stream_corpus(spark, str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
+    assert [r["textbook_title"] for r in flows.ingested(spark, str(tmp_path / "out"), "chunks").collect()] == ["x y"]
+
+
+def test_slices_are_written_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_slices(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string"), path, "k")
+    tables.write_slices(spark.createDataFrame([(2, "d")], "k int, v string"), path, "k")
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "d")]
 
 
 def test_fusion_has_the_scores_of_chunks_outside_a_list(spark):
