@@ -5,10 +5,11 @@ order that holds for all documents. Shingles that are frequent in a sample come
 documents meet in a cell (a shingle among the first of several documents). The order decides what
 is compared, never what is found.
 
-Near copies in large groups are joined first, each with the least of its cell, and only documents
-of a cell that this has not joined are compared with each other. Sizes and counts of shingles by
-their last six bits discard pairs that can't be alike; all others are verified on the whole texts.
-Equal sets are one class from the start.
+Cells of the same documents are one. Near copies in large groups are joined first, in a few rounds,
+each with the strongest document of the cell that it shares most with; only documents of a cell
+that this has not joined are compared with each other. Sizes and counts of shingles by their last
+seven bits discard pairs that can't be alike; all others are verified on the whole texts. Equal sets
+are one class from the start.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from corpusweave.operators.components import connected_components
 SHINGLE = 5
 #: Sampled documents and the most shingles that are told to be frequent; they are in SAMPLE_COUNT of the sample at least.
 SAMPLE_ROWS, FREQUENT, SAMPLE_COUNT = 20_000, 50_000, 3
-BUCKETS = 64
+BUCKETS = 128
+#: How often documents are joined with a strong one of their cell before those of a cell are compared with each other.
+ROUNDS = 2
 #: Texts that aren't needed are left out by so many hashes before the others are shuffled.
 FILTER = 1 << 20
 
@@ -77,7 +80,7 @@ def _sketched(given: DataFrame) -> DataFrame:
         for part in slices(batches):
             sets = [shingles(t) for t in texts_of(part)]
             sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            counts = [np.minimum(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes() for x in sets]
+            counts = [np.minimum(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for x in sets]
             tokens = [first_ones(x, *shared.value).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids), pa.array([len(x) for x in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "digest", "sid", "size", "counts", "tokens"])
 
@@ -86,7 +89,7 @@ def _sketched(given: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int32).reshape(-1, BUCKETS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int32).reshape(-1, BUCKETS)
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,33 +163,63 @@ def _verified(pairs: DataFrame, heads: DataFrame, given: DataFrame) -> DataFrame
     return written(both.select("a", "b", "text", "other").mapInArrow(_alike, "a bigint, b bigint"))
 
 
-def links(rows: DataFrame, heads: DataFrame, given: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): verified links between the sets of heads that join all that are linked."""
+def _cells(rows: DataFrame) -> DataFrame:
+    """(token, sid, weight): shingles among the first of two sets or more; of those of the same sets one, with their number."""
     keyed = rows.select("sid", F.explode("tokens").alias("token"))
     common = written(keyed.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"))
     placed = written(keyed.join(common, "token", "left_semi").distinct())
-    live = placed.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high").select("token", "low")
-    cells = written(placed.join(live, "token"))
-    sketch = heads.select("sid", "size", "counts")
+    members = placed.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("other"), "sid")).alias("y")).filter("n > 1")
+    kept = written(members.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight"))
+    return written(placed.join(kept, "token"))
+
 
-    # each with the least of its cells, the one it meets most often
-    shared = cells.filter("low < sid").groupBy("sid", "low").agg(F.count("*").alias("n"))
-    stars = shared.groupBy("sid").agg(F.max_by("low", F.struct("n", "low")).alias("a")).select("a", F.col("sid").alias("b"))
+def _plausible_pairs(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and counts leave."""
     left = sketch.select(F.col("sid").alias("a"), "size", "counts")
     right = sketch.select(F.col("sid").alias("b"), F.col("size").alias("other_size"), F.col("counts").alias("other_counts"))
-    sized = stars.join(left, "a").join(right, "b").filter("5 * least(size, other_size) >= 4 * greatest(size, other_size)")
-    first = _verified(sized.select("a", "b", "size", "other_size", "counts", "other_counts").mapInArrow(_plausible, "a bigint, b bigint"), heads, given)
+    sized = pairs.join(left, "a").join(right, "b").filter("5 * least(size, other_size) >= 4 * greatest(size, other_size)")
+    return sized.select("a", "b", "size", "other_size", "counts", "other_counts").mapInArrow(_plausible, "a bigint, b bigint")
+
+
+def _marked(sketch: DataFrame, found: DataFrame) -> DataFrame:
+    """sketch with comp, the component by the links found."""
+    joined = connected_components(found).select(F.col("id").alias("sid"), "component")
+    return written(sketch.join(joined, "sid", "left").select("sid", "size", "counts", F.coalesce("component", "sid").alias("comp")))
+
+
+def links(rows: DataFrame, heads: DataFrame, given: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b): verified links between the sets of heads that join all that are linked."""
+    cells = _cells(rows)
+    sketch = heads.select("sid", "size", "counts")
+    strength = written(cells.groupBy("sid").agg(F.sum("weight").alias("strength")))
+    marked = sketch.withColumn("comp", F.col("sid"))
+    placed = written(cells.join(strength, "sid").select("token", "sid", "weight", "strength", F.col("sid").alias("comp")))
+    found = used = None
+    for k in range(rounds + 1):
+        if k:
+            marked = _marked(sketch, found)
+            placed = written(placed.drop("comp").join(marked.select("sid", "comp"), "sid"))
+        mixed = written(placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "n"))
+        if k == rounds or mixed.isEmpty():
+            break
+        # each with the strongest of its cells that has not served, the one that it meets most often
+        free = placed.join(mixed.select("token"), "token", "left_semi")
+        centres = written((free if used is None else free.join(used, "sid", "left_anti")).groupBy("token").agg(F.max(F.struct("strength", "sid", "comp")).alias("c")).select("token", F.col("c.sid").alias("a"), F.col("c.comp").alias("centre_comp")))
+        met = free.join(centres, "token").filter("comp <> centre_comp").groupBy("sid", "a").agg(F.sum("weight").alias("n"))
+        stars = met.groupBy("sid").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("sid").alias("b"))
+        linked = _verified(_plausible_pairs(stars, sketch), heads, given)
+        found = linked if found is None else found.unionByName(linked)
+        own = centres.select(F.col("a").alias("sid")).distinct()
+        used = written(own if used is None else used.unionByName(own).distinct())
 
     # those of a cell that are still apart
-    joined = connected_components(first).select(F.col("id").alias("sid"), "component")
-    marked = written(sketch.join(joined, "sid", "left").select("sid", "size", "counts", F.coalesce("component", "sid").alias("comp")))
-    placed = written(cells.select("token", "sid").join(marked.select("sid", "comp"), "sid"))
-    mixed = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", F.ceil(F.col("n") / block).alias("blocks"))
-    dealt = placed.join(mixed, "token").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks"))
+    sized = mixed.select("token", F.ceil(F.col("n") / block).alias("blocks"))
+    dealt = placed.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks"))
     spread = dealt.select("token", "own", "sid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     together = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid").join(marked, "sid").select("token", "i", "j", "sid", "comp", "size", "counts")
-    met = together.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_meetings, "a bigint, b bigint")
-    return first.unionByName(_verified(met, heads, given))
+    apart = together.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_meetings, "a bigint, b bigint")
+    last = _verified(apart, heads, given)
+    return last if found is None else found.unionByName(last)
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:

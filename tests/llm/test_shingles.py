@@ -23,9 +23,10 @@ def brute(rows):
     return {r: min(i for (i, _), q in zip(rows, root) if q == r) for r in root}.values()
 
 
-@pytest.mark.parametrize("block, frequent", [(3, 50_000), (2048, 0)])
-def test_near_copies_match_brute_force(spark, monkeypatch, block, frequent):
+@pytest.mark.parametrize("block, frequent, rounds", [(3, 50_000, 0), (2048, 0, 3)])
+def test_near_copies_match_brute_force(spark, monkeypatch, block, frequent, rounds):
     monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    monkeypatch.setattr(shingles.links, "__defaults__", (block, rounds))
     rnd = random.Random(11)
     words = [f"w{i}" for i in range(2000)]
     line = [rnd.choice(words) for _ in range(12)]
