@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusweave.functions.shared import written
+from corpusweave.functions.shared import shared_dir, written
 from corpusweave.functions.text import truncate_middle
 from corpusweave.jobs import pipelines
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CHAPTERS, EDGES, NODES, TERMS, books, chapters, edges, nodes, table
 from corpusweave.operators import extract, graph, segment
+from corpusweave.sources import readers
 
-# Pages of one host are a document; its outline has one row per page. Every fifth title says
+# Pages of one host with neighbouring ids are a document; its outline has one row per page. Every fifth title says
 # "Chapter", every seventh is front matter, so that each rule of the outline choice is met.
 PAGES_SQL = """p AS (
-  SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS doc_id, page_id, html, trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS h1 FROM pages
+  SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) || '/' || (page_id // 200) AS doc_id, page_id, html, trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')) AS h1 FROM pages
 ), pages2 AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_id)::INT AS page_no, h1 AS text, page_id FROM p
 ), outline AS (
@@ -29,8 +32,8 @@ def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = table(spark, sf_dir, "pages")
     h1 = F.trim(F.regexp_replace(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1), r"\s+", " "))
-    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    return p.select(host.alias("doc_id"), "page_id", h1.alias("text")).withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id")))
+    doc = F.concat(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.lit("/"), F.floor(F.col("page_id") / 200).cast("string"))
+    return p.select(doc.alias("doc_id"), "page_id", h1.alias("text")).withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_id")))
 
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,19 +87,21 @@ def page_buckets(spark, sf_dir):
     return segment.page_buckets(paged(spark, sf_dir).drop("page_id"), 3)
 
 
-# Markdown: an <h1> per page as a level-1 heading of its host's document.
-MARKDOWN_SQL = f"""{PAGES_SQL}, md AS (SELECT doc_id, string_agg('# ' || text || chr(10) || 'page ' || page_no, chr(10) ORDER BY page_no) AS content, count(*) AS n FROM pages2 GROUP BY doc_id)"""
+# Markdown: an <h1> per page as a heading of its document, of level 2 in documents with names of even length, else 1.
+_MARK_SQL = "CASE WHEN length(doc_id) % 2 = 0 THEN '## ' ELSE '# ' END"
+MARKDOWN_SQL = f"""{PAGES_SQL}, md AS (SELECT doc_id, string_agg({_MARK_SQL} || text || chr(10) || 'page ' || page_no, chr(10) ORDER BY page_no) AS content, count(*) AS n FROM pages2 GROUP BY doc_id)"""
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = paged(spark, sf_dir)
-    line = F.concat(F.lit("# "), "text", F.lit("\npage "), "page_no")
+    mark = F.when(F.length("doc_id") % 2 == 0, "## ").otherwise("# ")
+    line = F.concat(mark, "text", F.lit("\npage "), "page_no")
     return p.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("page_no", line.alias("l"))))["l"], "\n").alias("content"))
 
 
 HEADINGS_SQL = f"""{MARKDOWN_SQL}, heads AS (
-  SELECT doc_id, printf('ch_%03d', page_no) AS chapter_id, substr(text, 1, 100) AS title, '# ' || text || chr(10) || 'page ' || page_no AS content FROM pages2 JOIN md USING (doc_id) WHERE n >= 2
-  UNION ALL SELECT doc_id, 'ch_001', '全文', content FROM md WHERE n < 2
+  SELECT doc_id, printf('ch_%03d', page_no) AS chapter_id, substr(text, 1, 100) AS title, {_MARK_SQL} || text || chr(10) || 'page ' || page_no AS content FROM pages2 JOIN md USING (doc_id) WHERE n >= CASE WHEN length(doc_id) % 2 = 0 THEN 3 ELSE 2 END
+  UNION ALL SELECT doc_id, 'ch_001', '全文', content FROM md WHERE n < CASE WHEN length(doc_id) % 2 = 0 THEN 3 ELSE 2 END
 )"""
 
 
@@ -331,13 +336,77 @@ def click_size(spark, sf_dir):
 
 
 @query(f"""WITH {ALL_SQL}, b AS (SELECT source AS focus, target AS neighbour, relation_type FROM kedges UNION ALL SELECT target, source, relation_type FROM kedges)
-SELECT DISTINCT * FROM b WHERE focus IN (SELECT id FROM kept WHERE name = 'the')""")
+SELECT DISTINCT * FROM b WHERE focus IN (SELECT id FROM kept)""")
 def neighbourhood(spark, sf_dir):
+    """Of every node that is kept."""
     n, e = deduped(spark, sf_dir)
-    return graph.neighbourhood(n.filter("name = 'the'"), e)
+    return graph.neighbourhood(n, e)
 
 
 @query(f"""WITH {NODES}, c AS (SELECT id, n.name, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM nodes n JOIN chapters USING (textbook_id, chapter_id))
 SELECT id, CASE WHEN strpos(t, name) > 0 THEN substr(t, greatest(1, strpos(t, name) - 650), 2200) ELSE substr(t, 1, 1800) END AS snippet FROM c""")
 def source_snippet(spark, sf_dir):
     return graph.source_snippets(nodes(spark, sf_dir), chapters(spark, sf_dir))
+
+
+# ---- reading ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CHAPTERS} SELECT chapter_id, title, char_count FROM chapters WHERE textbook_id = 'src3'")
+def chapter_list(spark, sf_dir):
+    """The chapters of one textbook, which is what is asked for."""
+    return segment.chapters_of(chapters(spark, sf_dir), "src3").select("chapter_id", "title", "char_count")
+
+
+@query(f"WITH {PAGES_SQL} SELECT p.doc_id, page_no, p.text, o.level, o.title FROM pages2 p JOIN outline o ON o.doc_id = p.doc_id AND o.page = p.page_no")
+def paged_input(spark, sf_dir):
+    """Paged text and outlines written as tables and read again, page by page."""
+    at = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    paged(spark, sf_dir).select(F.col("doc_id"), "page_no", "text").write.parquet(f"{at}/pages")
+    outline(spark, sf_dir).write.parquet(f"{at}/outline")
+    pages, rows = readers.read_paged(spark, f"{at}/pages", f"{at}/outline")
+    return pages.join(rows.withColumnRenamed("page", "page_no"), ["doc_id", "page_no"]).select("doc_id", "page_no", "text", "level", "title")
+
+
+# Chapters that reach every rule: a heading of the first long word, Chinese full stops, a definition of the last one.
+RICH = """rich AS (
+  SELECT source AS textbook_id, printf('ch_%03d', doc_id) AS chapter_id, '第3章 ' || coalesce(w[1], 'x') AS title, (doc_id % 50 + 1)::INT AS page_start,
+    '## 2.1、' || coalesce(w[1], 'none') || chr(10) || replace(text, '. ', '。') || chr(10) || coalesce(w[-1], 'none') || '是指' || coalesce(w[2], 'none') || '。' AS content
+  FROM (SELECT *, regexp_extract_all(text, '[A-Za-z]{4,12}') AS w FROM documents)
+)"""
+
+
+def rich_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("w", F.regexp_extract_all("text", F.lit("([A-Za-z]{4,12})"), F.lit(1)))
+    word = lambda i, other: F.coalesce(F.try_element_at("w", F.lit(i)), F.lit(other))
+    content = F.concat(F.lit("## 2.1、"), word(1, "none"), F.lit("\n"), F.replace("text", F.lit(". "), F.lit("。")), F.lit("\n"), word(-1, "none"), F.lit("是指"), word(2, "none"), F.lit("。"))
+    return d.select(F.col("source").alias("textbook_id"), segment.chapter_id(F.col("doc_id")).alias("chapter_id"), F.concat(F.lit("第3章 "), word(1, "x")).alias("title"), (F.col("doc_id") % 50 + 1).cast("int").alias("page_start"), content.alias("content"))
+
+
+_BAD = "'[，。？！；：（）()【】\\[\\]『』]|[的了认作为]$|^(主要|尤其|特别|目前|值得|图|表)'"
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace({}, '^[\\d一二三四五六七八九十百零、.\\s]+', ''), '[：:，,。；;（）()【】\\[\\]《》<>].*$', '', 's'), '\\s+', '', 'g')"
+
+
+@query(f"""WITH {RICH}, terms(ord, term) AS (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS, 1))}), found AS (
+  SELECT textbook_id, chapter_id, 100 AS ord, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS raw FROM (SELECT *, regexp_extract_all(substr(content, 1, 20000), '(?m)^\\s*#{{1,4}}\\s*([一二三四五六七八九十百零\\d、.\\s]*[一-龥A-Za-z]{{2,24}})\\s*$', 1) AS l FROM rich)
+  UNION ALL SELECT textbook_id, chapter_id, 200, unnest(range(1, len(l) + 1)), unnest(l) FROM (SELECT *, regexp_extract_all(substr(content, 1, 25000), '([一-龥A-Za-z0-9]{{2,12}})(?:是指|是|指|为|包括|可分为|称为)', 1) AS l FROM rich)
+), cand AS (
+  SELECT textbook_id, chapter_id, 0 AS ord, 0 AS k, trim(regexp_replace(title, '^第\\s*[一二三四五六七八九十百零\\d]+\\s*章\\s*', '')) AS name FROM rich
+  UNION ALL SELECT textbook_id, chapter_id, ord, k, {_CLEAN.format("raw")} FROM found
+), valid AS (
+  SELECT * FROM cand WHERE length(name) BETWEEN 2 AND 12 AND NOT regexp_matches(name, {_BAD})
+  UNION ALL SELECT textbook_id, chapter_id, ord, 0, term FROM rich, terms WHERE contains(content, term)
+), firsts AS (SELECT *, row_number() OVER (PARTITION BY textbook_id, chapter_id, name ORDER BY ord, k) AS n FROM valid
+), picked AS (
+  SELECT textbook_id, chapter_id, ord, k, name FROM firsts WHERE n = 1
+  UNION ALL SELECT r.textbook_id, r.chapter_id, 0, 0, substr(r.title, 1, 12) FROM rich r ANTI JOIN valid v ON r.textbook_id = v.textbook_id AND r.chapter_id = v.chapter_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY textbook_id, chapter_id ORDER BY ord, k) AS rank FROM picked
+), compact AS (
+  SELECT n.*, regexp_replace(r.content, '\\s+', ' ', 'g') AS t, strpos(regexp_replace(r.content, '\\s+', ' ', 'g'), n.name) AS place FROM ranked n JOIN rich r USING (textbook_id, chapter_id) WHERE rank <= 10
+), cut AS (
+  SELECT *, CASE WHEN contains(substr(t, 1, place - 1), '。') THEN place - strpos(reverse(substr(t, 1, place - 1)), '。') ELSE 0 END AS s, strpos(substr(t, place), '。') AS e FROM compact
+)
+SELECT textbook_id, chapter_id, name, rank::INT AS rank,
+  CASE WHEN place > 0 THEN substr(trim(substr(t, s + 1, CASE WHEN e > 0 THEN place + e - 1 - s ELSE least(length(t), place + 179) + 1 - s END)), 1, 260) ELSE name || ' 是本章教材文本中识别出的核心知识点。' END AS definition FROM cut""")
+def rich_rule_nodes(spark, sf_dir):
+    return extract.rule_nodes(rich_chapters(spark, sf_dir), TERMS).select("textbook_id", "chapter_id", "name", "rank", "definition")

@@ -11,7 +11,7 @@ from corpusweave.functions.shared import shared_dir, written
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CHAPTERS, NODES, QUESTIONS, RUN, TERMS, books, chapters, nodes, questions, table
 from corpusweave.operators import chunk, converse, encode, evaluate, retrieve
-from corpusweave.sources import tables
+from corpusweave.sources import readers, tables
 from corpusweave.streaming import flows
 
 # ---- chunks -----------------------------------------------------------------------------------
@@ -206,7 +206,14 @@ def eval_rollup(spark, sf_dir):
     return evaluate.roll_up(evaluate.eval_cases(cases(spark, sf_dir), hits(spark, sf_dir)))
 
 
-@query()
+def _sweep_sql(size: int, least: int, leg: str) -> str:
+    sql = _EVAL_SQL.replace("700", str(size)).replace("386", str(least))
+    sql = sql if leg == "fused" else sql.replace("WHERE bm25 > 0 QUALIFY", "WHERE bm25 > 0 AND false QUALIFY")
+    return f"SELECT * FROM (WITH RECURSIVE {sql} SELECT 'size={size}, leg={leg}' AS setting, count(*) AS cases, coalesce(round(avg(keyword_hit::INT), 3), 0) AS keyword_hit_at_k, coalesce(round(avg(book_hit::INT), 3), 0) AS book_hit_at_k FROM results)"
+
+
+# 221 and 386: the first whole numbers from 0.55 times the size
+@query(" UNION ALL ".join(_sweep_sql(size, least, leg) for size, least in ((400, 221), (700, 386)) for leg in ("vector", "fused")))
 def setting_sweep(spark, sf_dir):
     """Two window sizes, each with both legs and with the vector leg alone."""
 
@@ -217,6 +224,36 @@ def setting_sweep(spark, sf_dir):
     return evaluate.sweep([{"size": s, "leg": leg} for s in (400, 700) for leg in ("vector", "fused")], run, cases(spark, sf_dir))
 
 
+@query(f"WITH {CASES_SQL} SELECT id::VARCHAR AS id, type, text AS question, keywords AS expected_keywords, [book] AS expected_textbooks FROM cases JOIN benchmark ON item_id = id")
+def eval_set(spark, sf_dir):
+    """Cases written as JSON lines and read again."""
+    path = _folder(spark)
+    c = cases(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question")), "id")
+    c.select(F.col("id").cast("string").alias("id"), "type", "question", "expected_keywords", "expected_textbooks").write.json(path)
+    return readers.read_eval_set(spark, path)
+
+
+# Chapters with Chinese stops and semicolons, cut by headings before each " the ".
+_MARKED_SQL = """marked AS (SELECT source AS textbook_id, printf('ch_%03d', doc_id) AS chapter_id, replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' the ', chr(10) || '## the '), '. ', '。'), ', ', '；') AS content FROM documents
+), parts AS (SELECT textbook_id, chapter_id, contains(content, chr(10) || '## ') AS headed, unnest(string_split(content, chr(10) || '## ')) AS p, unnest(range(1, len(string_split(content, chr(10) || '## ')) + 1)) AS k FROM marked
+), bodies AS (
+  SELECT textbook_id, chapter_id, k, CASE WHEN k = 1 THEN '' ELSE substr(p, 1, 80) END AS section_title, CASE WHEN k = 1 THEN p ELSE '## ' || p END AS body FROM parts WHERE NOT headed OR k > 1 OR length(p) > 100
+)"""
+_SECTIONS_SQL = f"""{_MARKED_SQL}, spans(textbook_id, chapter_id, section_title, body, k, start, stop) AS (
+  SELECT textbook_id, chapter_id, section_title, body, k, 0::BIGINT, ({_STOP})::BIGINT FROM (SELECT *, 0 AS start FROM bodies)
+  UNION ALL SELECT textbook_id, chapter_id, section_title, body, k, start, ({_STOP})::BIGINT FROM (SELECT textbook_id, chapter_id, section_title, body, k, greatest(stop - 90, start + 1) AS start FROM spans WHERE stop < length(body))
+)"""
+
+
+@query(f"WITH RECURSIVE {_SECTIONS_SQL} SELECT textbook_id, chapter_id, section_title, start::INT AS start, trim(substr(body, start + 1, stop - start), ' ' || chr(10)) AS text FROM spans")
+def section_windows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    for a, b in ((" the ", "\n## the "), (". ", "。"), (", ", "；")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return chunk.chunk_windows(d.select(F.col("source").alias("textbook_id"), F.format_string("ch_%03d", "doc_id").alias("chapter_id"), text.alias("content")))
+
+
 # ---- conversations ----------------------------------------------------------------------------------
 
 # Words of the given conversations in place of the Chinese ones.
