@@ -9,7 +9,7 @@ from corpusweave.functions.ranking import numbered
 from corpusweave.functions.shared import written
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CANDIDATE, EDGES, MERGE, NODES, RATIO, RUN, books, chapters, edges, nodes, vectors
-from corpusweave.operators import align, extract, graph, integrate
+from corpusweave.operators import align, encode, extract, graph, integrate
 
 _KEY = "lower(regexp_replace(name, '[\\s\\-_/（）()【】\\[\\]《》,，.。:：;；]', '', 'g'))"
 
@@ -28,6 +28,34 @@ def similarity_pairs(spark, sf_dir):
     return pairs(spark, sf_dir)
 
 
+@query(f"""WITH {PAIRS_SQL}, ends AS (SELECT id_a AS class_id, id_b AS other, sim FROM near UNION ALL SELECT id_b, id_a, sim FROM near)
+SELECT class_id, count(*) AS links, min(other) AS first_link, max(sim) AS best_sim FROM ends GROUP BY 1""")
+def similarity_counts(spark, sf_dir):
+    return align.similarity_counts(vectors(spark, sf_dir), CANDIDATE)
+
+
+# Nodes to likeness: their texts through the encoder, then the join of books. Vectors are equal where their entries are.
+_TEXT_TOK = "list_filter(list_transform(regexp_extract_all(name || '：' || substr(definition, 1, 200), '([A-Za-z0-9]+)', 1), lambda t: lower(t)), lambda t: length(t) > 1)"
+NODE_LIKENESS = 0.97
+
+
+@query(f"""WITH {NODES}, tok AS (SELECT id, textbook_id, unnest({_TEXT_TOK}) AS token FROM nodes
+), h AS (SELECT id, textbook_id, ('0x' || substr(md5(token), 1, 8))::BIGINT AS h FROM tok
+), v AS (SELECT id, textbook_id, (h // 2) % 512 AS d, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY ALL HAVING v <> 0
+), norm AS (SELECT id, textbook_id, sqrt(sum(v * v)) AS n, list((d, v / 1) ORDER BY d) AS entries FROM v GROUP BY 1, 2
+), unit AS (SELECT v.id, v.textbook_id, d, v / n AS v FROM v JOIN norm USING (id)
+), shape AS (SELECT textbook_id, id, list((d, v) ORDER BY d) AS entries FROM unit GROUP BY ALL
+), class AS (SELECT textbook_id, entries, min(id) AS id FROM shape GROUP BY ALL
+), u AS (SELECT unit.* FROM unit JOIN class USING (id)
+), sims AS (SELECT a.id AS id_a, b.id AS id_b, round(sum(a.v * b.v), 6) AS sim FROM u a JOIN u b ON a.d = b.d AND a.id < b.id AND a.textbook_id <> b.textbook_id GROUP BY ALL)
+SELECT * FROM sims WHERE sim >= {NODE_LIKENESS}""")
+def node_pairs(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    encoded = written(encode.encode(n.select("id", F.col("textbook_id").alias("group_id"), align.node_text(F.col("name"), F.col("definition")).alias("t")), "t").select("id", "group_id", "embedding"))
+    # the zero vector of a text without words is like nothing
+    return align.similarity_pairs(encoded, NODE_LIKENESS)
+
+
 @query("SELECT vec_id AS id, label AS group_id, min(vec_id) OVER (PARTITION BY label, embedding) AS class_id FROM embeddings WHERE embedding IS NOT NULL")
 def similarity_classes(spark, sf_dir):
     return align.similarity_classes(vectors(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,9 @@ from corpusweave.operators.extract import recovered_json
 
 CANDIDATE, AUTO_MERGE, CONFIDENCE = 0.82, 0.92, 0.7
 BATCH = 5
-BLOCK = 2048
+BLOCK = 8192
+#: Rows of a block that are multiplied at once.
+PRODUCT = 512
 VERDICTS = ("same", "related", "different")
 
 
@@ -30,43 +34,71 @@ def similarity_classes(vectors: DataFrame) -> DataFrame:
     return v.join(first, ["group_id", "embedding"]).select("id", "group_id", "class_id")
 
 
+def _cells(vectors: DataFrame, block: int) -> DataFrame:
+    """(i, j, own, id, group_id, embedding): the classes' rows in every cell of their block; a row is copied once a block."""
+    v = written(vectors.dropna(subset=["embedding"]).groupBy("group_id", "embedding").agg(F.min("id").alias("id")))
+    blocks = max(1, -(-v.count() // block))
+    own = v.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return pairs.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "group_id", "embedding")
+
+
+def _near(key: tuple, rows: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller ids, larger ids, sims) of a cell's pairs over the threshold, PRODUCT rows of one block at a time."""
+
+    def side(part: pd.DataFrame):
+        m = np.array(part["embedding"].tolist(), np.float64).reshape(len(part), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return part["id"].to_numpy(), part["group_id"].to_numpy(), m / np.where(n > 0, n, np.inf)
+
+    i, j = key
+    ids, groups, m = side(rows[rows["own"] == i])
+    ids2, groups2, m2 = (ids, groups, m) if i == j else side(rows[rows["own"] == j])
+    if not len(ids) or not len(ids2):
+        return
+    for at in range(0, len(ids), PRODUCT):
+        sim = np.round(m[at : at + PRODUCT] @ m2.T, 6)
+        x, y = np.nonzero(sim >= threshold)
+        p, q = ids[at:][x], ids2[y]
+        kept = (groups[at:][x] != groups2[y]) & ((i != j) | (p < q))
+        yield np.minimum(p, q)[kept], np.maximum(p, q)[kept], sim[x, y][kept]
+
+
 def similarity_pairs(vectors: DataFrame, threshold: float = CANDIDATE, block: int = BLOCK) -> DataFrame:
     """(id_a, id_b, sim): pairs of classes of different groups with cosine of threshold or more, exact.
 
     vectors has id, group_id, embedding. Equal vectors of one group are one class, so copies make no
     pairs of their own; similarity_classes has the members. Rows are dealt into blocks; each pair of
-    blocks is one matrix product. Null and zero vectors pair with nothing. sim is rounded to 6 places.
+    blocks is a few matrix products. Null and zero vectors pair with nothing. sim is rounded to 6
+    places. Where a dense set would give more pairs than are wanted, similarity_counts has a row a class.
     """
-    v = written(vectors.dropna(subset=["embedding"]).groupBy("group_id", "embedding").agg(F.min("id").alias("id")))
-    blocks = max(1, -(-v.count() // block))
-    own = v.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = pairs.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "group_id", "embedding")
 
     def product(key, rows: pd.DataFrame) -> pd.DataFrame:
-        def side(part: pd.DataFrame):
-            m = np.array(part["embedding"].tolist(), np.float64).reshape(len(part), -1)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            return part["id"].to_numpy(), part["group_id"].to_numpy(), m / np.where(n > 0, n, np.inf)
-
-        i, j = key
-        a = rows[rows["own"] == i]
-        ids, groups, m = side(a)
-        ids2, groups2, m2 = (ids, groups, m) if i == j else side(rows[rows["own"] == j])
-        if not len(ids) or not len(ids2):
-            return pd.DataFrame({"id_a": [], "id_b": [], "sim": []})
-        sim = np.round(m @ m2.T, 6)
-        x, y = np.nonzero(sim >= threshold)
-        keep = groups[x] != groups2[y]
-        x, y = x[keep], y[keep]
-        p, q = ids[x], ids2[y]
-        if i == j:
-            once = p < q
-            x, y, p, q = x[once], y[once], p[once], q[once]
-        return pd.DataFrame({"id_a": np.where(p < q, p, q), "id_b": np.where(p < q, q, p), "sim": sim[x, y]})
+        found = list(_near(key, rows, threshold))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+        return pd.DataFrame(dict(zip(("id_a", "id_b", "sim"), cols)))
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return _cells(vectors, block).groupBy("i", "j").applyInPandas(product, f"id_a {kind}, id_b {kind}, sim double")
+
+
+def similarity_counts(vectors: DataFrame, threshold: float = CANDIDATE, block: int = BLOCK) -> DataFrame:
+    """(class_id, links, first_link, best_sim): how many classes of other groups each class is like, the smallest of them, and the best similarity.
+
+    The pairs of similarity_pairs, counted where they are found: no more rows leave a task than its blocks have.
+    """
+
+    def counted(key, rows: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for p, q, sim in _near(key, rows, threshold):
+            both = pd.DataFrame({"class_id": np.concatenate((p, q)), "other": np.concatenate((q, p)), "sim": np.concatenate((sim, sim))})
+            part = both.groupby("class_id", as_index=False).agg(links=("other", "size"), first_link=("other", "min"), best_sim=("sim", "max"))
+            out = part if out is None else pd.concat((out, part)).groupby("class_id", as_index=False).agg({"links": "sum", "first_link": "min", "best_sim": "max"})
+        return pd.DataFrame({"class_id": [], "links": [], "first_link": [], "best_sim": []}) if out is None else out
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return cells.groupBy("i", "j").applyInPandas(product, f"id_a {kind}, id_b {kind}, sim double")
+    parts = _cells(vectors, block).groupBy("i", "j").applyInPandas(counted, f"class_id {kind}, links bigint, first_link {kind}, best_sim double")
+    return parts.groupBy("class_id").agg(F.sum("links").alias("links"), F.min("first_link").alias("first_link"), F.max("best_sim").alias("best_sim"))
 
 
 def auto_merged(pairs: DataFrame, threshold: float = AUTO_MERGE) -> DataFrame:

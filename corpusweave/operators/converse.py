@@ -11,6 +11,7 @@ from corpusweave.operators.integrate import DIALOGUE
 HISTORY = 50
 # Words that tell what a message wants, in the order they are tried.
 INTENTS = (("explain_decision", ("为什么", "解释", "原因")), ("keep", ("保留", "不要删除", "不删除")), ("split", ("不要合并", "分开", "拆开", "不是同一个")), ("query_rag", ("什么", "如何", "请问")))
+# What is noted, and how ids of runs and decisions look.
 KEEP_NOTE, SPLIT_NOTE = " 教师反馈：要求保留该知识点，系统已将决策调整为 keep。", " 教师反馈：要求拆分该合并簇，系统已取消 merge 并转为 keep。"
 EXPLICIT = r"(run_[A-Za-z0-9_]+|manual_[A-Za-z0-9_]+|[A-Za-z0-9_]+_(?:merge|keep|remove)_\d{4})"
 
@@ -88,5 +89,6 @@ def apply_feedback(decisions: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def status_reply(stats: DataFrame) -> DataFrame:
+    # Fixed value: the sentence.
     text = F.format_string("当前整合结果：%d 本教材，%d 条 merge、%d 条 keep、%d 条 remove，压缩比 %.1f%%。", "original_textbooks", "decisions_merge", "decisions_keep", "decisions_remove", F.col("compression_ratio") * 100)
     return stats.select(text.alias("reply"))

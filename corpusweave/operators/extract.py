@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.text import NUMERALS, TERM_MARKS, clean_term, is_valid_term, let, node_id, strip, truncate_middle
 
+# The relations, and the categories of nodes.
 RELATIONS = ("prerequisite", "parallel", "contains", "applies_to")
 CORE, BY_RULE = "核心概念", "启发式概念"
 NODES_PER_CHAPTER = 10
@@ -65,6 +66,7 @@ def candidate_terms(title: Column, content: Column, dictionary: Sequence[str], h
     hundred are meant), headings, subjects of definitions; the short title if there are none."""
     bare = strip(F.regexp_replace(title, rf"(?U)^第\s*[{NUMERALS}\d]+\s*章\s*", ""))
     none = F.array().cast("array<string>")
+    # What a heading and a definition look like, and how much of a chapter is searched for them.
     heading = F.lit(rf"(?dmU)^\s*#{{1,4}}\s*([{NUMERALS}\d、.\s]*[一-龥A-Za-z]{{2,24}})\s*$")
     definition = F.lit(r"([一-龥A-Za-z0-9]{2,12})(?:是指|是|指|为|包括|可分为|称为)")
     # most texts have no such mark at all, which is cheaper to see than to search
@@ -92,6 +94,7 @@ def evidence_sentence(text: Column, term: Column) -> Column:
         end = F.when(stop > 0, stop).otherwise(F.least(F.length(text), at - 1 + 180) + 1)
         return F.substring(strip(F.substring(text, start + 1, end - start)), 1, 260)
 
+    # Fixed value: the sentence.
     fixed = F.concat(term, F.lit(" 是本章教材文本中识别出的核心知识点。"))
     return let(F.position(term, text), lambda at: F.coalesce(F.when(at > 0, F.nullif(around(at), F.lit(""))), fixed))
 

@@ -80,6 +80,7 @@ def merge_reasons(nodes: DataFrame, found: DataFrame, textbooks: DataFrame, best
     names = rows.groupBy("cluster_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("[["), "name", F.lit("]]")))).alias("n"))
     top = best.join(nodes.select(F.col("id").alias("canonical_id"), F.col("name").alias("top")), "canonical_id").select("cluster_id", "top")
     titles = F.array_join(F.transform("b.label", lambda x: F.concat(F.lit("《"), x, F.lit("》"))), "、")
+    # Fixed value: the sentence.
     said = F.concat(titles, F.lit(" 中的 "), F.array_join("n", " / "), F.lit(" 被判定为同一或高度等价概念；保留 [["), F.col("top"), F.lit("]] 所在原文，因为其定义更完整、图谱连接度更高。"))
     return books.join(names, "cluster_id").join(top, "cluster_id").select("cluster_id", said.alias("reason"))
 
@@ -205,6 +206,7 @@ def run_summary(listing: DataFrame, stats: DataFrame, textbooks: DataFrame, node
     keeps = name.join(first, "position", "left_semi").agg(F.sort_array(F.collect_list(F.struct("position", F.concat(F.lit("[["), "label", F.lit("]]")).alias("l")))).alias("k"))
     books = textbooks.agg(F.substring(F.md5(F.array_join(F.sort_array(F.collect_list("textbook_id")), "|")), 1, 8).alias("digest"))
     row = stats.crossJoin(merges).crossJoin(keeps).crossJoin(books)  # one row each
+    # The sentences.
     body = F.when(F.size("m") > 0, F.array_join("m.l", "\n")).when((F.col("decisions_merge") == 0) & (F.size("k") > 0), F.concat(F.lit("- 当前样本中重复概念较少，优先保留："), F.array_join("k.l", "、"))).otherwise("")
     head = F.format_string("# 知识点进化总结 %s\n\n本次整合覆盖 %d 本教材、%d 个知识点；\n保留原文摘录 %d 字，压缩比 %.1f%%。\n\n## 双链概览\n", "digest", "original_textbooks", "original_nodes", "merged_chars", F.col("compression_ratio") * 100)
     return row.select(F.concat(head, body).alias("summary_markdown"))
