@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -51,3 +52,12 @@ def test_latest_run_and_flow(spark):
     assert integrate.latest_run(runs).first()["run_id"] == "r1" and integrate.latest_run(runs, "r2").first()["note"] == "y"
     counts = spark.createDataFrame([("r", 0, 2, 0)], "run_id string, n_merge long, n_keep long, n_remove long")
     assert {(r["source"], r["target"]): r["value"] for r in integrate.flow_table(counts).collect()}[("all", "merge")] == 1
+
+
+def test_edition_is_written_in_the_order_of_decisions(spark, tmp_path):
+    rows = [(i, "remove" if i % 5 == 0 else "keep" if i % 2 else "merge", "" if i % 7 == 0 else f"excerpt {i:03d}", f"b:c:p{i}:n") for i in range(100)]
+    listing = spark.createDataFrame(rows, "position int, action string, source_excerpt string, result_ref string").repartition(7)
+    integrate.write_edition(listing, str(tmp_path / "e"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*")))
+    assert [int(n) for n in re.findall(r"excerpt (\d+)", lines)] == [i for i in range(100) if i % 5 and i % 7]
+    assert lines.count("> 来源：b:c:p") == len([i for i in range(100) if i % 5 and i % 7])
