@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents, whatever
+further columns these have. A stage works on all that it is given: null and empty texts are texts
+without letters, which the first stage drops; a null doc_id is an id like others, the last in its
+order where one row of a group stays; rows that repeat id and text are one after exact_dedup; an
+empty table gives an empty one, and an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
@@ -17,27 +21,27 @@ LEAST_LIKENESS = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts unlike every language profile."""
+    """Drops texts without letters and texts unlike every language profile; with no language to learn, only those without letters."""
     return languages.keep_known(docs, LEAST_LIKENESS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of equal texts."""
+    """Keeps the row with the largest doc_id of texts that are equal after lower-casing A-Z; of rows that repeat it, one."""
     return naming.keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of texts with five-word Jaccard similarity 0.8 or more."""
+    """Keeps the smallest doc_id of each component of texts with five-word Jaccard similarity 0.8 or more; texts without words are one."""
     return shingles.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
+    """Drops documents that hold a benchmark passage; null passages and those without words are held by none."""
     return leaks.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    """doc_id, n_tokens and digests of the ids and of the decoded text: one row per row."""
     return pieces.digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decode=True))
 
 

@@ -150,3 +150,69 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     text = dict((r[0], r[1]) for r in rows)
     assert all(r["n_tokens"] == len(sp.encode(text[i])) + 1 and r["decoded_sha256"] == hashlib.sha256(text[i].encode()).hexdigest() for i, r in got.items())
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "not there at all")], "item_id long, text string")
+    for name, docs, items in (("odd", odd, bench), ("none", none, bench), ("alone", odd, bench.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        items.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        given = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        kept = given
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.written(stage(spark, kept, str(tmp_path / name)))
+            assert kept.columns == given.columns
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        texts = [r["text"].encode().lower() for r in kept.collect()]  # bytes: A-Z only
+        assert len(texts) == len(set(texts)) == len(got) and (bool(got) == (name != "none"))
+        assert all(any(c.isalpha() for c in t.decode()) for t in texts)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    """Exact and near copies, leaks and rows without letters: what the stages keep, by plain Python."""
+    import corpus_pipeline
+
+    rnd = random.Random(31)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    passages = [[rnd.choice(words) for _ in range(25)] for _ in range(3)]
+    rows = [(i, [rnd.choice(words) for _ in range(rnd.randrange(20, 120))]) for i in range(60)]
+    for i in range(60, 120):
+        w = list(rows[rnd.randrange(60)][1])
+        kind = i % 4
+        if kind == 1:
+            w[rnd.randrange(len(w))] = "changed"
+        elif kind == 2:
+            w[5:5] = rnd.choice(passages)
+        elif kind == 3:
+            w = [x.title() for x in w]
+        rows.append((i, w))
+    rows.append((200, ["1", "2"]))
+    texts = {i: " ".join(w) for i, w in rows}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+    first = corpus_pipeline.written(stage["language_id"](spark, docs, str(tmp_path)))
+    assert ids(first) == set(texts) - {200}
+    second = corpus_pipeline.written(stage["exact_dedup"](spark, first, str(tmp_path)))
+    best = {}
+    for i in sorted(ids(first)):
+        best[texts[i].lower()] = i
+    assert ids(second) == set(best.values())
+    third = corpus_pipeline.written(stage["near_dedup"](spark, second, str(tmp_path)))
+    left = sorted(best.values())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i in left for w in [texts[i].lower().split()]}
+    root = {i: i for i in left}
+    for i in left:
+        for j in left:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert ids(third) == {r for r in root.values()}
+    fourth = stage["decontaminate"](spark, third, str(tmp_path))
+    held = {i for i in ids(third) if any(" ".join(p) in texts[i].lower() for p in passages)}
+    assert held and ids(fourth) == ids(third) - held
