@@ -5,11 +5,13 @@ order that holds for all documents. Shingles that are frequent in a sample come
 documents meet in a cell (a shingle among the first of several documents). The order decides what
 is compared, never what is found.
 
-Cells of the same documents are one. Near copies in large groups are joined first, in a few rounds,
-each with the strongest document of the cell that it shares most with; only documents of a cell
-that this has not joined are compared with each other. Sizes and counts of shingles by their last
-seven bits discard pairs that can't be alike; all others are verified on the whole texts. Equal sets
-are one class from the start.
+SimHash comes first: fingerprints of the shingles within three bits, found through the pivot distance
+tables, are candidates, and what they join needs no more search. Similarity 0.8 leaves some ten bits
+apart, more than pivots can tell, so the cells find the rest. Cells of the same documents are one. Near
+copies in large groups are joined in a few rounds, each with the strongest document of the cell that
+it shares most with; only documents of a cell that this has not joined are compared with each other.
+Sizes and counts of shingles by their last seven bits discard pairs that can't be alike; all others
+are verified on the whole texts. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm import simhash
 from corpusweave.llm.common import slices, texts_of, written
 from corpusweave.llm.passages import run_hashes, word_hashes
-from corpusweave.llm.simhash import BLOCK, SEED
+from corpusweave.llm.simhash import BLOCK, SEED, majority
 from corpusweave.operators.components import connected_components
 
 SHINGLE = 5
@@ -32,7 +35,7 @@ SHINGLE = 5
 SAMPLE_ROWS, FREQUENT, SAMPLE_COUNT = 20_000, 50_000, 3
 BUCKETS = 128
 #: How often documents are joined with a strong one of their cell before those of a cell are compared with each other.
-ROUNDS = 2
+ROUNDS = 1
 #: Texts that aren't needed are left out by so many hashes before the others are shuffled.
 FILTER = 1 << 20
 
@@ -73,19 +76,20 @@ def _frequent(given: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketched(given: DataFrame) -> DataFrame:
-    """(doc_id, digest, sid, size, counts, tokens): sid names the set of shingles."""
+    """(doc_id, digest, sid, fp, size, counts, tokens): sid names the set of shingles, fp is its fingerprint."""
     shared = given.sparkSession.sparkContext.broadcast(_frequent(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(t) for t in texts_of(part)]
             sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            fps = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
             counts = [np.minimum(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for x in sets]
             tokens = [first_ones(x, *shared.value).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids), pa.array([len(x) for x in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "digest", "sid", "size", "counts", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "digest", "sid", "fp", "size", "counts", "tokens"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInArrow(run, f"doc_id {kind}, digest string, sid bigint, size bigint, counts binary, tokens array<bigint>")
+    return given.mapInArrow(run, f"doc_id {kind}, digest string, sid bigint, fp bigint, size bigint, counts binary, tokens array<bigint>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -187,18 +191,26 @@ def _marked(sketch: DataFrame, found: DataFrame) -> DataFrame:
     return written(sketch.join(joined, "sid", "left").select("sid", "size", "counts", F.coalesce("component", "sid").alias("comp")))
 
 
+def _by_fingerprint(heads: DataFrame) -> DataFrame:
+    """(a, b): candidates that the pivot tables give, a set of each fingerprint standing for the others."""
+    own = heads.select("sid", "fp")
+    first = written(own.groupBy("fp").agg(F.min("sid").alias("a")))
+    same = own.join(first, "fp").filter("sid <> a").select("a", F.col("sid").alias("b"))
+    left, right = first.select(F.col("fp").alias("p"), F.col("a").alias("x")), first.select(F.col("fp").alias("q"), F.col("a").alias("y"))
+    near = simhash.links(first.select("fp")).toDF("p", "q").join(left, "p").join(right, "q")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def links(rows: DataFrame, heads: DataFrame, given: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): verified links between the sets of heads that join all that are linked."""
     cells = _cells(rows)
     sketch = heads.select("sid", "size", "counts")
     strength = written(cells.groupBy("sid").agg(F.sum("weight").alias("strength")))
-    marked = sketch.withColumn("comp", F.col("sid"))
-    placed = written(cells.join(strength, "sid").select("token", "sid", "weight", "strength", F.col("sid").alias("comp")))
-    found = used = None
+    found, used = _verified(_plausible_pairs(_by_fingerprint(heads), sketch), heads, given), None
+    placed = written(cells.join(strength, "sid").select("token", "sid", "weight", "strength"))
     for k in range(rounds + 1):
-        if k:
-            marked = _marked(sketch, found)
-            placed = written(placed.drop("comp").join(marked.select("sid", "comp"), "sid"))
+        marked = _marked(sketch, found)
+        placed = written(placed.select("token", "sid", "weight", "strength").join(marked.select("sid", "comp"), "sid"))
         mixed = written(placed.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "n"))
         if k == rounds or mixed.isEmpty():
             break
@@ -208,7 +220,7 @@ def links(rows: DataFrame, heads: DataFrame, given: DataFrame, block: int = BLOC
         met = free.join(centres, "token").filter("comp <> centre_comp").groupBy("sid", "a").agg(F.sum("weight").alias("n"))
         stars = met.groupBy("sid").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("sid").alias("b"))
         linked = _verified(_plausible_pairs(stars, sketch), heads, given)
-        found = linked if found is None else found.unionByName(linked)
+        found = found.unionByName(linked)
         own = centres.select(F.col("a").alias("sid")).distinct()
         used = written(own if used is None else used.unionByName(own).distinct())
 
@@ -219,7 +231,7 @@ def links(rows: DataFrame, heads: DataFrame, given: DataFrame, block: int = BLOC
     together = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid").join(marked, "sid").select("token", "i", "j", "sid", "comp", "size", "counts")
     apart = together.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_meetings, "a bigint, b bigint")
     last = _verified(apart, heads, given)
-    return last if found is None else found.unionByName(last)
+    return found.unionByName(last)
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -234,7 +246,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block:
     given = docs.select(F.col(key).alias("doc_id"), F.md5(body).alias("digest"), body.alias("text"))
     rows = written(_sketched(given))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    heads = written(rows.groupBy("sid").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("counts").alias("counts")))
+    heads = written(rows.groupBy("sid").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("counts").alias("counts")))
     found = connected_components(links(rows, heads, given, block)).select(F.col("id").alias("sid"), "component")
     named = heads.join(found, "sid", "left").select("first", F.coalesce("component", "sid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("first"))

@@ -40,16 +40,21 @@ PAIRS = 1 << 18
 PIVOTS = np.array([0, *(xxhash.xxh64_intdigest(bytes([i]), SEED) for i in range(1, 16))], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
+    set_bits = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        set_bits += np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     words = text.encode().lower().split()  # bytes: lower() knows A-Z only, split() the six ASCII blanks
     if not words:
         return 0
     runs = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
     h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), SEED) for r in runs), np.uint64)
-    set_bits = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        set_bits += np.unpackbits(h[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
