@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.text import CHAPTER_TITLE  # noqa: F401
 from corpusweave.operators import extract, segment
+from corpusweave.sources.readers import read_table
 
 # The terms of the queries' dictionary, in order.
 TERMS = ("the", "and", "with", "nicht", "und", "keit", "para", "como", "que", "avec", "dans", "pour")
@@ -20,7 +21,7 @@ CANDIDATE, MERGE = 0.40, 0.45
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,22 @@ PAGES = "doc_id string, page_no int, text string"
 OUTLINE = "doc_id string, pos int, level int, title string, page int"
 
 
+#: Bytes of files up to which a table's rows are dealt out anew.
+SMALL = 64 << 20
+
+
+@lru_cache(maxsize=256)
+def _file_bytes(spark: SparkSession, path: str) -> int:
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One of few bytes may be a single row group, which is a single task however
+    much is to be done with its rows, so these are dealt out over all cores."""
+    rows = spark.read.parquet(path)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if _file_bytes(spark, path) <= SMALL else rows
+
+
 def titled(files: DataFrame) -> DataFrame:
     """(doc_id, filename, title, content) of (filename, content): named by the filename, titled by its stem."""
     return files.select(F.concat(F.lit("tb_"), F.substring(F.md5("filename"), 1, 8)).alias("doc_id"), "filename", F.regexp_replace("filename", r"\.[^.]*\z", "").alias("title"), "content")
