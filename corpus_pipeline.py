@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusweave.llm import languages, leaks, naming, pieces, shingles
 from corpusweave.llm.common import written
+from corpusweave.sources.readers import read_table
 
 #: Shares of the largest out-of-place distance below which a text is like no language learned.
 LEAST_LIKENESS = 0.25
@@ -52,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,11 +38,11 @@ def pairs_of(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
 
-@pytest.mark.parametrize("block", [3, 64, 1024])
-def test_exact_groups_on_odd_rows(spark, odd, block):
-    got = naming.exact_groups(odd, block_bytes=block) if block > 3 else naming.exact_groups(odd.filter(F.length("text") < 500), block_bytes=block)
-    rows = pairs_of(odd if block > 3 else odd.filter(F.length("text") < 500))
-    assert order(tuple(r)[:5] for r in got.collect()) == order(exact(rows))
+@pytest.mark.parametrize("block, longest", [(3, 40), (4096, 1_000_000)])
+def test_exact_groups_on_odd_rows(spark, odd, block, longest):
+    docs = odd.filter(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    got = naming.exact_groups(docs, block_bytes=block)
+    assert order(tuple(r)[:5] for r in got.collect()) == order(exact(pairs_of(docs)))
 
 
 def test_exact_groups_when_digests_collide(spark):

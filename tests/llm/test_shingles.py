@@ -36,21 +36,14 @@ def test_near_copies_match_brute_force(spark, monkeypatch, block, frequent, roun
         for _ in range(rnd.randrange(1 + len(w) // 25)):
             w[rnd.randrange(len(w))] = rnd.choice(words)
         texts.append(w[rnd.randrange(3) :])
+    far = [f"v{i}" for i in range(200)]
+    texts += [far, far[:180] + ["x"] * 12]  # alike, but no three bits tell
     rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, " \n"), (902, "one two"), (903, "One  two")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = [r["doc_id"] for r in shingles.keep_one(docs, block=block).collect()]
     assert sorted(kept) == sorted(brute(rows))
 
 
-def test_pipeline_stage_drops_a_copy_that_no_three_bits_tell(spark):
-    import corpus_pipeline
-
-    rnd = random.Random(3)
-    w = [f"w{rnd.randrange(500)}" for _ in range(200)]
-    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:180] + ["x"] * 12))], "doc_id long, text string")
-    assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
-
-
 def test_odd_rows(odd, none):
     assert shingles.keep_one(none).count() == 0
     kept = shingles.keep_one(odd)
