@@ -152,3 +152,11 @@ def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm import leaks
 
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import whiten
+
+    rows, fitted = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return whiten.by_component(rows, fitted)
