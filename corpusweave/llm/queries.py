@@ -183,3 +183,10 @@ WITH d AS (
 ), k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r)::INT AS rank FROM c WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
 """
+
+
+@query
+def op11_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusweave.llm import suffixes
+
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
