@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusweave.functions.shared import written
+from corpusweave.operators.words import PAIRS, Tokenizer
 
 DEPTH, CONSTANT, TOP = 30, 60, 5
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -22,16 +23,9 @@ REFUSAL = "当前知识库中未找到相关信息。"
 BLOCK = 4096
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased letter and digit runs and CJK pairs, of more than one character. Accented letters part words."""
-    runs = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+|[一-龥]+)"), F.lit(1))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
-    return F.filter(F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.array(F.lower(r))).otherwise(pairs(r)))), lambda t: F.length(t) > 1)
-
-
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, tokens) of title, chapter, section and text."""
-    return chunks.select("chunk_id", tokens(F.concat_ws(" ", "textbook_title", "chapter_title", "section_title", "text")).alias("tokens"))
+def chunk_words(chunks: DataFrame, tokenizer: Tokenizer = PAIRS, *more: str) -> DataFrame:
+    """(chunk_id, tokens) of title, chapter, section and text; more names columns of chunks to keep."""
+    return chunks.select("chunk_id", *more, tokenizer.column(F.concat_ws(" ", "textbook_title", "chapter_title", "section_title", "text")).alias("tokens"))
 
 
 def corpus_size(words: DataFrame) -> DataFrame:
@@ -47,13 +41,13 @@ def bm25_statistics(words: DataFrame) -> DataFrame:
     return raw.crossJoin(mean).select("token", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
-def bm25_scores(words: DataFrame, questions: DataFrame) -> DataFrame:
+def bm25_scores(words: DataFrame, questions: DataFrame, tokenizer: Tokenizer = PAIRS) -> DataFrame:
     """(question_id, chunk_id, bm25) of chunks that share a token with the question, rounded to 6 places; zero scores are left out.
 
     Only tokens that are asked for get postings; document frequencies of all tokens come from one
     pass of their own.
     """
-    asked = written(questions.select("question_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("times")))
+    asked = written(questions.select("question_id", F.explode(tokenizer.column(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("times")))
     some = asked.select("token").distinct()
     each = words.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(some, "token", "left_semi")
     found = each.groupBy("token", "chunk_id", "dl").agg(F.count("*").alias("tf"))
@@ -70,8 +64,8 @@ def ranked(scores: DataFrame, score: str, rank: str, depth: int = DEPTH) -> Data
     return scores.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= depth)
 
 
-def bm25_top(words: DataFrame, questions: DataFrame, depth: int = DEPTH) -> DataFrame:
-    return ranked(bm25_scores(words, questions).filter("bm25 > 0"), "bm25", "bm25_rank", depth)
+def bm25_top(words: DataFrame, questions: DataFrame, depth: int = DEPTH, tokenizer: Tokenizer = PAIRS) -> DataFrame:
+    return ranked(bm25_scores(words, questions, tokenizer).filter("bm25 > 0"), "bm25", "bm25_rank", depth)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from corpusweave.operators import chunk, converse, encode, evaluate, retrieve
+from corpusweave.operators import chunk, converse, encode, evaluate, retrieve, words
 from corpusweave.sources import readers, tables
 from corpusweave.streaming import flows
 from pyspark.sql import functions as F
@@ -78,19 +78,19 @@ def test_index_is_replaced_and_survives_its_encoder(spark, tmp_path):
 
 def test_tokens_agree_with_the_encoder(spark):
     for text, want in (("Ab c 稳态调节 x1 été", ["ab", "稳态", "态调", "调节", "x1"]), ("一", []), ("", [])):
-        assert spark.createDataFrame([(text,)], "t string").select(retrieve.tokens(F.col("t")).alias("y")).first()["y"] == want == encode.tokens_of(text)
+        assert spark.createDataFrame([(text,)], "t string").select(words.pair_tokens(F.col("t")).alias("y")).first()["y"] == want == words.pair_words([text])[0]
 
 
 def test_bm25_against_plain_formula(spark):
     docs = {"c1": ["aa", "bb", "aa"], "c2": ["aa", "cc"], "c3": ["aa"], "c4": ["dd", "dd", "ee"]}
-    words = spark.createDataFrame(list(docs.items()), "chunk_id string, tokens array<string>")
+    tokens = spark.createDataFrame(list(docs.items()), "chunk_id string, tokens array<string>")
     q = spark.createDataFrame([(1, "aa bb bb"), (2, "zz"), (3, "a")], "question_id int, question string")
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
     df = {t: sum(t in d for d in docs.values()) for d in docs.values() for t in d}
     raw = {t: math.log(n - k + 0.5) - math.log(k + 0.5) for t, k in df.items()}
     idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
     score = lambda d: sum(idf[t] * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in ("aa", "bb", "bb"))
-    got = {(r["question_id"], r["chunk_id"]): r["bm25"] for r in retrieve.bm25_scores(words, q).collect()}
+    got = {(r["question_id"], r["chunk_id"]): r["bm25"] for r in retrieve.bm25_scores(tokens, q).collect()}
     assert got == {(1, c): round(score(d), 6) for c, d in docs.items() if round(score(d), 6)}
 
 
@@ -202,7 +202,7 @@ def test_encoder_by_batches_is_the_plain_one():
     got = encode.hashing_encoder(texts)
     for t, v in zip(texts, got):
         plain = np.zeros(512)
-        for token in encode.tokens_of(t):
+        for token in words.pair_words([t])[0]:
             at, sign = encode._place(token, 512)
             plain[at] += sign
         assert np.allclose(v, plain / (np.linalg.norm(plain) or 1))
