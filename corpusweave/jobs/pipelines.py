@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.functions.shared import written
 from corpusweave.operators import align, chunk, encode, extract, graph, integrate, retrieve
+from corpusweave.operators.words import PAIRS, Tokenizer
 
 NODE = ["id", "textbook_id", "chapter_id", "chapter_title", "name", "definition", "category", "page"]
 
@@ -44,13 +45,13 @@ def integrate_books(run_id: str, textbooks: DataFrame, chapters: DataFrame, node
     return decisions, integrate.run_stats(decisions, n, books)
 
 
-def answer_questions(textbooks: DataFrame, chapters: DataFrame, questions: DataFrame, encoder=encode.hashing_encoder) -> tuple[DataFrame, DataFrame]:
+def answer_questions(textbooks: DataFrame, chapters: DataFrame, questions: DataFrame, encoder: encode.Encoder | None = None, tokenizer: Tokenizer = PAIRS) -> tuple[DataFrame, DataFrame]:
     """(answers, hits) for a batch of questions (question_id, question): both legs fused, five hits each."""
     c = written(chunk.chunk_table(chapters, textbooks))
-    index = written(encode.encode(c.select("chunk_id", "text"), "text", encoder).select("chunk_id", "embedding"))
-    asked = written(encode.encode(questions, "question", encoder).select("question_id", "embedding"))
+    index = written(encode.encode(c.select("chunk_id", "text"), "text", encoder, tokenizer=tokenizer).select("chunk_id", "embedding"))
+    asked = written(encode.encode(questions, "question", encoder, tokenizer=tokenizer).select("question_id", "embedding"))
     vectors = retrieve.vector_top(index, asked)
-    scores = written(retrieve.bm25_scores(written(retrieve.chunk_words(c)), questions))
+    scores = written(retrieve.bm25_scores(written(retrieve.chunk_words(c, tokenizer)), questions, tokenizer))
     lexical = retrieve.ranked(scores.filter(F.col("bm25") > 0), "bm25", "bm25_rank")
     hits = written(retrieve.with_chunks(retrieve.fuse(vectors, lexical, scores, index=index, questions=asked), c))
     return retrieve.answers(questions, hits), hits

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions.shared import shared_dir, written
+from corpusweave.jobs import stored
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CHAPTERS, NODES, QUESTIONS, RUN, TERMS, books, chapters, nodes, questions, table
-from corpusweave.operators import chunk, converse, encode, evaluate, retrieve
+from corpusweave.operators import chunk, converse, encode, evaluate, postings, retrieve, words
 from corpusweave.sources import readers, tables
 from corpusweave.streaming import flows
 
@@ -86,6 +87,50 @@ def tokens(spark, sf_dir):
     return chunk_tokens(spark, sf_dir)
 
 
+# Characters that stand for a to z. Small letters become characters and blanks go, so
+# sentences are runs without word borders, with capitals and digits between them.
+STAND_INS = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+#: Of 26 characters, parts meet by chance far more often than of thousands.
+COHESION = 3
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+CHINESE_SQL = f"chinese AS (SELECT doc_id, replace(translate(coalesce(text, ''), '{_LETTERS}', '{STAND_INS}'), ' ', '') AS text FROM documents)"
+
+
+def chinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.translate(F.coalesce("text", F.lit("")), _LETTERS, STAND_INS), F.lit(" "), F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"""WITH {CHINESE_SQL}, r AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[一-龥]+') AS runs FROM chinese)
+SELECT doc_id, list_filter(flatten(list_transform(runs, lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z0-9]') THEN [lower(r)] ELSE list_transform(range(1, greatest(len(r) - 1, 1) + 1), lambda i: substr(r, i, 2)) END)), lambda t: length(t) > 1) AS tokens FROM r""")
+def chinese_tokens(spark, sf_dir):
+    """The default rule on text without blanks: pairs of characters."""
+    return chinese(spark, sf_dir).select("doc_id", words.PAIRS.column(F.col("text")).alias("tokens"))
+
+
+@query(f"""WITH {CHINESE_SQL}, runs AS (SELECT unnest(regexp_extract_all(text, '[一-龥]+')) AS run FROM chinese
+), tails AS (SELECT tail, count(*) AS n FROM (SELECT substr(run, unnest(range(1, len(run) + 1)), 5) AS tail FROM runs) GROUP BY 1
+), grams AS (SELECT gram, sum(n)::BIGINT AS n FROM (SELECT substr(tail, 1, unnest(range(1, len(tail) + 1))) AS gram, n FROM tails) GROUP BY 1
+), total AS (SELECT sum(n) AS total FROM grams WHERE len(gram) = 1
+), after AS (SELECT left(gram, len(gram) - 1) AS gram, count(*) AS after FROM grams WHERE len(gram) > 2 GROUP BY 1
+), ahead AS (SELECT right(gram, len(gram) - 1) AS gram, count(*) AS ahead FROM grams WHERE len(gram) > 2 GROUP BY 1
+), free AS (SELECT gram, n FROM grams JOIN after USING (gram) JOIN ahead USING (gram) WHERE len(gram) BETWEEN 2 AND 4 AND n >= 5 AND after >= 5 AND ahead >= 5
+), cuts AS (SELECT gram, n, left(gram, k) AS a, right(gram, len(gram) - k) AS b FROM (SELECT gram, n, unnest(range(1, len(gram))) AS k FROM free)
+), firm AS (SELECT c.gram, any_value(c.n) AS n FROM cuts c JOIN grams x ON x.gram = a JOIN grams y ON y.gram = b, total GROUP BY 1 HAVING bool_and(c.n::HUGEINT * total >= {COHESION} * x.n::HUGEINT * y.n)
+) SELECT gram AS word, n FROM firm UNION ALL SELECT gram, n FROM grams WHERE len(gram) = 1""")
+def learnt_words(spark, sf_dir):
+    """The dictionary that text without blanks teaches."""
+    return words.learn_words(chinese(spark, sf_dir), cohesion=COHESION)
+
+
+@query()
+def segmented_words(spark, sf_dir):
+    """Text without blanks, cut along the most probable paths of the learnt dictionary."""
+    texts = written(chinese(spark, sf_dir))
+    tokenizer = words.segmenting(written(words.learn_words(texts, cohesion=COHESION)))
+    return texts.select("doc_id", tokenizer.column(F.col("text")).alias("tokens"))
+
+
 @query(f"WITH RECURSIVE {WORDS_SQL} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark, sf_dir):
     return retrieve.bm25_statistics(written(chunk_tokens(spark, sf_dir))).withColumn("idf", F.round("idf", 6))
@@ -93,7 +138,8 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {WORDS_SQL} SELECT * FROM lex")
 def bm25_top(spark, sf_dir):
-    return retrieve.bm25_top(written(chunk_tokens(spark, sf_dir)), questions(spark, sf_dir))
+    """By the stored index, of which only blocks are read that can hold one of the 30."""
+    return postings.postings_top(stored.index(spark, sf_dir), questions(spark, sf_dir))
 
 
 @query("""WITH q AS (SELECT vec_id AS question_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (
@@ -123,25 +169,26 @@ FUSED_SQL = f"""{WORDS_SQL}, ctok AS (SELECT chunk_id, unnest({_TOK.format('text
 ), hits AS (SELECT f.*, textbook_title, chapter_title, page_start, text FROM fused f JOIN chunks USING (chunk_id))"""
 
 
-def search(c: DataFrame, asked: DataFrame, leg: str = "fused") -> DataFrame:
-    """Five best chunks of c, a written table, for each question: both legs fused, or the vector leg alone."""
-    index = written(encode.encode(c.select("chunk_id", "text"), "text").select("chunk_id", "embedding"))
+def search(spark: SparkSession, sf_dir: str, leg: str = "fused", size: int = chunk.SIZE) -> DataFrame:
+    """Five best chunks for each question from the stored index: both legs fused, or the vector leg alone."""
+    asked, rows = questions(spark, sf_dir), stored.vectors(spark, sf_dir, size)
     q = written(encode.encode(asked, "question").select("question_id", "embedding"))
-    vectors = retrieve.vector_top(index, q)
+    vectors = written(retrieve.vector_top(rows, q))
     if leg == "vector":
         return retrieve.fuse(vectors, vectors.select("question_id", "chunk_id", F.lit(0.0).alias("bm25"), F.lit(None).cast("int").alias("bm25_rank")).limit(0))
-    scores = written(retrieve.bm25_scores(written(retrieve.chunk_words(c)), asked))
-    return retrieve.fuse(vectors, retrieve.ranked(scores.filter("bm25 > 0"), "bm25", "bm25_rank"), scores, index=index, questions=q)
+    index = stored.index(spark, sf_dir, size)
+    tokens = postings.asked_tokens(index, asked)
+    lexical = written(retrieve.ranked(postings.read_blocks(index, tokens)[0].filter("bm25 > 0"), "bm25", "bm25_rank"))
+    return retrieve.fuse(vectors, lexical, postings.scores_of(index, tokens, vectors), index=rows, questions=q)
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = written(chunks(spark, sf_dir))
-    return written(retrieve.with_chunks(search(c, questions(spark, sf_dir)), c))
+def hits(spark: SparkSession, sf_dir: str, leg: str = "fused", size: int = chunk.SIZE) -> DataFrame:
+    return written(retrieve.with_chunks(search(spark, sf_dir, leg, size), stored.chunks(spark, sf_dir, size)))
 
 
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT * FROM fused")
 def rrf_top(spark, sf_dir):
-    return search(written(chunks(spark, sf_dir)), questions(spark, sf_dir))
+    return search(spark, sf_dir)
 
 
 _CONTEXT = "'[' || rank || '] 来源：' || textbook_title || '，' || chapter_title || '，第' || page_start || '页' || chr(10) || substr(text, 1, 1100)"
@@ -215,13 +262,8 @@ def _sweep_sql(size: int, least: int, leg: str) -> str:
 # 221 and 386: the first whole numbers from 0.55 times the size
 @query(" UNION ALL ".join(_sweep_sql(size, least, leg) for size, least in ((400, 221), (700, 386)) for leg in ("vector", "fused")))
 def setting_sweep(spark, sf_dir):
-    """Two window sizes, each with both legs and with the vector leg alone."""
-
-    def run(size: int, leg: str) -> DataFrame:
-        c = written(chunk.chunk_table(chapters(spark, sf_dir), books(spark, sf_dir), size=size))
-        return written(retrieve.with_chunks(search(c, questions(spark, sf_dir), leg), c))
-
-    return evaluate.sweep([{"size": s, "leg": leg} for s in (400, 700) for leg in ("vector", "fused")], run, cases(spark, sf_dir))
+    """Two window sizes, each with both legs and with the vector leg alone; chunks, vectors and postings of a size are built once."""
+    return evaluate.sweep([{"size": s, "leg": leg} for s in (400, 700) for leg in ("vector", "fused")], lambda size, leg: hits(spark, sf_dir, leg, size), cases(spark, sf_dir))
 
 
 @query(f"WITH {CASES_SQL} SELECT id::VARCHAR AS id, type, text AS question, keywords AS expected_keywords, [book] AS expected_textbooks FROM cases JOIN benchmark ON item_id = id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +14,19 @@ OUTLINE = "doc_id string, pos int, level int, title string, page int"
 SMALL = 64 << 20
 
 
-@lru_cache(maxsize=256)
-def _file_bytes(spark: SparkSession, path: str) -> int:
-    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(bytes, files, time of the last change) of what lies at path now."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = files.getContentSummary(where)
+    return size.getLength(), size.getFileCount(), files.getFileStatus(where).getModificationTime()
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table. One of few bytes may be a single row group, which is a single task however
     much is to be done with its rows, so these are dealt out over all cores."""
     rows = spark.read.parquet(path)
-    return rows.repartition(spark.sparkContext.defaultParallelism) if _file_bytes(spark, path) <= SMALL else rows
+    return rows.repartition(spark.sparkContext.defaultParallelism) if table_state(spark, path)[0] <= SMALL else rows
 
 
 def titled(files: DataFrame) -> DataFrame:
