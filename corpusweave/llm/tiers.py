@@ -8,8 +8,8 @@ it has in lower tiers.
 
 A search reads tier 0 of the items' terms alone. What an item's terms may still add in lower tiers
 bounds the score of all documents that were not met and of what met ones lack. Where the last score
-that counts lies above the bound of what was not met, only documents whose own bound reaches it can
-count, and these few are completed from the lower tiers: the item is proved exact. All other items
+that counts lies well above the bound of what was not met, only documents whose own bound reaches it
+can count, and these few are completed from the lower tiers: the item is proved exact. All other items
 fall through to the next tier; at the last one nothing is left to bound.
 
 Scores are whole numbers throughout. Neither the postings nor the items pass through the driver.
@@ -38,6 +38,9 @@ SEGMENT, SEGMENT_BYTES = 4096, 16 << 20
 GROUP = 256
 #: Tiers are cut between impacts that differ in the bits above these.
 LEVEL_BITS = 14
+#: An item is proved by completing documents only where its bound is so small a share of the last score
+#: that counts; else too many documents could still come in, and reading the next tier costs less.
+SHARE = 0.5
 #: Rows of term tables that may be sent to all tasks; larger ones are joined by a shuffle.
 SENT = 1 << 17
 
@@ -320,8 +323,8 @@ def search(index: Index, items: DataFrame, *, key: str = "item_id", text: str =
             met = _met(index, tier, now.withColumn("need", F.lit(0).cast("long")), n_asked, groups)
             best = written(_ranked(met.mapInArrow(_best_of(most), "q bigint, score bigint, doc_id bigint"), most))
             last = best.filter(F.col("rank") == most).select("q", F.col("score").alias("last"))
-            # nothing was left out, or nothing that was not met can come in
-            proof = written(bounds.join(last, "q", "left").filter((F.col("bound") == 0) | (F.col("last") > F.col("bound"))))
+            # nothing was left out, or nothing that was not met can come in, by far
+            proof = written(bounds.join(last, "q", "left").filter((F.col("bound") == 0) | (F.col("last") * SHARE > F.col("bound"))))
             whole = best.join(proof.filter("bound = 0"), "q", "left_semi").select("q", "rank", "doc_id", "score")
             open_ended = proof.filter("bound > 0")
             if not open_ended.isEmpty():
