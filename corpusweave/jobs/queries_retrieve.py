@@ -11,7 +11,7 @@ from corpusweave.functions.shared import shared_dir, written
 from corpusweave.jobs import stored
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CHAPTERS, NODES, QUESTIONS, RUN, TERMS, books, chapters, nodes, questions, table
-from corpusweave.operators import chunk, converse, encode, evaluate, postings, retrieve, words
+from corpusweave.operators import cells, chunk, converse, encode, evaluate, postings, retrieve, words
 from corpusweave.sources import readers, tables
 from corpusweave.streaming import flows
 
@@ -146,9 +146,9 @@ def bm25_top(spark, sf_dir):
   SELECT question_id, vec_id AS chunk_id, round(list_inner_product(e::DOUBLE[], embedding::DOUBLE[]), 6) AS vector FROM q, embeddings
 ) SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY vector DESC, chunk_id) AS vector_rank FROM s QUALIFY vector_rank <= 30""")
 def vector_top(spark, sf_dir):
-    """Every vector whose id is divisible by 20 asks, all answer."""
-    e = table(spark, sf_dir, "embeddings")
-    return retrieve.vector_top(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), id_name="vec_id")
+    """Every vector whose id is divisible by 20 asks, all answer, from stored cells."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return cells.cells_top(stored.embedding_cells(spark, sf_dir), asked)
 
 
 _PLACE = "(('0x' || substr(md5(token), 1, 8))::BIGINT // 2) % 512"
@@ -173,7 +173,7 @@ def search(spark: SparkSession, sf_dir: str, leg: str = "fused", size: int = chu
     """Five best chunks for each question from the stored index: both legs fused, or the vector leg alone."""
     asked, rows = questions(spark, sf_dir), stored.vectors(spark, sf_dir, size)
     q = written(encode.encode(asked, "question").select("question_id", "embedding"))
-    vectors = written(retrieve.vector_top(rows, q))
+    vectors = written(cells.cells_top(stored.vector_cells(spark, sf_dir, size), q))
     if leg == "vector":
         return retrieve.fuse(vectors, vectors.select("question_id", "chunk_id", F.lit(0.0).alias("bm25"), F.lit(None).cast("int").alias("bm25_rank")).limit(0))
     index = stored.index(spark, sf_dir, size)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions.shared import shared_dir
-from corpusweave.jobs.standins import books, chapters
-from corpusweave.operators import chunk, encode, postings, retrieve
+from corpusweave.jobs.standins import books, chapters, table
+from corpusweave.operators import cells, chunk, encode, postings, retrieve
 from corpusweave.sources.readers import table_state
 
 #: (session, name, state of the given tables) -> folder
@@ -47,3 +47,13 @@ def index(spark: SparkSession, sf_dir: str, size: int = chunk.SIZE) -> postings.
         postings.write_postings(retrieve.chunk_words(c, retrieve.PAIRS, "place"), path, place="place")
 
     return postings.read_postings(spark, stored(spark, sf_dir, f"postings {size}", ("documents",), made))
+
+
+def vector_cells(spark: SparkSession, sf_dir: str, size: int = chunk.SIZE) -> cells.Cells:
+    """The vectors of all chunks, in cells."""
+    return cells.read_cells(spark, stored(spark, sf_dir, f"cells {size}", ("documents",), lambda path: cells.write_cells(vectors(spark, sf_dir, size), path)))
+
+
+def embedding_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
+    """The given vectors, in cells."""
+    return cells.read_cells(spark, stored(spark, sf_dir, "embeddings", ("embeddings",), lambda path: cells.write_cells(table(spark, sf_dir, "embeddings"), path, "vec_id")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions.ranking import numbered
 from corpusweave.functions.shared import written
 from corpusweave.functions.text import mark_free_key
+from corpusweave.operators.cells import block_pairs
 from corpusweave.operators.components import connected_components
 from corpusweave.operators.extract import recovered_json
 
@@ -34,13 +35,10 @@ def similarity_classes(vectors: DataFrame) -> DataFrame:
     return v.join(first, ["group_id", "embedding"]).select("id", "group_id", "class_id")
 
 
-def _cells(vectors: DataFrame, block: int) -> DataFrame:
-    """(i, j, own, id, group_id, embedding): the classes' rows in every cell of their block; a row is copied once a block."""
+def _cells(vectors: DataFrame, block: int, threshold: float) -> DataFrame:
+    """(i, j, own, id, group_id, embedding): the classes' rows in every pair of blocks where they may find one that is alike."""
     v = written(vectors.dropna(subset=["embedding"]).groupBy("group_id", "embedding").agg(F.min("id").alias("id")))
-    blocks = max(1, -(-v.count() // block))
-    own = v.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return pairs.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "group_id", "embedding")
+    return block_pairs(v.select("id", "group_id", "embedding"), "id", "embedding", threshold, block)
 
 
 def _near(key: tuple, rows: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,10 +50,10 @@ def _near(key: tuple, rows: pd.DataFrame, threshold: float) -> Iterator[tuple[np
         return part["id"].to_numpy(), part["group_id"].to_numpy(), m / np.where(n > 0, n, np.inf)
 
     i, j = key
+    if not (rows["own"] == i).any() or not (rows["own"] == j).any():
+        return
     ids, groups, m = side(rows[rows["own"] == i])
     ids2, groups2, m2 = (ids, groups, m) if i == j else side(rows[rows["own"] == j])
-    if not len(ids) or not len(ids2):
-        return
     for at in range(0, len(ids), PRODUCT):
         sim = np.round(m[at : at + PRODUCT] @ m2.T, 6)
         x, y = np.nonzero(sim >= threshold)
@@ -68,8 +66,8 @@ def similarity_pairs(vectors: DataFrame, threshold: float = CANDIDATE, block: in
     """(id_a, id_b, sim): pairs of classes of different groups with cosine of threshold or more, exact.
 
     vectors has id, group_id, embedding. Equal vectors of one group are one class, so copies make no
-    pairs of their own; similarity_classes has the members. Rows are dealt into blocks; each pair of
-    blocks is a few matrix products. Null and zero vectors pair with nothing. sim is rounded to 6
+    pairs of their own; similarity_classes has the members. Rows are dealt into cells around centres;
+    rows of two cells meet only where their angles allow it, in a few matrix products. Null and zero vectors pair with nothing. sim is rounded to 6
     places. Where a dense set would give more pairs than are wanted, similarity_counts has a row a class.
     """
 
@@ -79,7 +77,7 @@ def similarity_pairs(vectors: DataFrame, threshold: float = CANDIDATE, block: in
         return pd.DataFrame(dict(zip(("id_a", "id_b", "sim"), cols)))
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return _cells(vectors, block).groupBy("i", "j").applyInPandas(product, f"id_a {kind}, id_b {kind}, sim double")
+    return _cells(vectors, block, threshold).groupBy("i", "j").applyInPandas(product, f"id_a {kind}, id_b {kind}, sim double")
 
 
 def similarity_counts(vectors: DataFrame, threshold: float = CANDIDATE, block: int = BLOCK) -> DataFrame:
@@ -97,7 +95,7 @@ def similarity_counts(vectors: DataFrame, threshold: float = CANDIDATE, block: i
         return pd.DataFrame({"class_id": [], "links": [], "first_link": [], "best_sim": []}) if out is None else out
 
     kind = vectors.schema["id"].dataType.simpleString()
-    parts = _cells(vectors, block).groupBy("i", "j").applyInPandas(counted, f"class_id {kind}, links bigint, first_link {kind}, best_sim double")
+    parts = _cells(vectors, block, threshold).groupBy("i", "j").applyInPandas(counted, f"class_id {kind}, links bigint, first_link {kind}, best_sim double")
     return parts.groupBy("class_id").agg(F.sum("links").alias("links"), F.min("first_link").alias("first_link"), F.max("best_sim").alias("best_sim"))
 
 
