@@ -324,6 +324,24 @@ def node_search(spark, sf_dir):
     return graph.search_nodes(nodes(spark, sf_dir), books(spark, sf_dir), " TION").select("id", "name", "textbook_id")
 
 
+@query(f"WITH {NODES}, {BOOKS}, queries AS (SELECT item_id AS query_id, trim(lower(substr(text, 1, 5))) AS term FROM benchmark) SELECT query_id, id FROM nodes n JOIN books b USING (textbook_id) JOIN queries q ON term <> '' AND contains(lower(concat_ws(' ', name, definition, chapter_title, title)), term)")
+def node_searches(spark, sf_dir):
+    """All queries at once: the first letters of each benchmark item."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 5).alias("query"))
+    return graph.search_nodes_for(nodes(spark, sf_dir), books(spark, sf_dir), queries)
+
+
+@query(f"""WITH {CHAPTERS}, dictionary AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part UNION SELECT substr(text, 1, 8) FROM benchmark)
+SELECT textbook_id, chapter_id, list_sort(list(term)) AS terms FROM chapters JOIN dictionary ON term <> '' AND contains(content, term) GROUP BY 1, 2""")
+def dictionary_terms(spark, sf_dir):
+    """A dictionary table, of the parts' names and words and the benchmark's beginnings, in all chapters."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    rows = names.select(F.col("p_name").alias("term")).union(names.select(F.explode(F.split("p_name", " ")))).union(table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 8)))
+    found = extract.known_terms(chapters(spark, sf_dir).select("textbook_id", "chapter_id", "content"), rows.withColumn("ord", F.lit(0)), "terms")
+    return found.filter(F.size("terms") > 0).select("textbook_id", "chapter_id", F.sort_array("terms").alias("terms"))
+
+
+
 # Clicks: each user clicks the node of the rank of their id.
 @query(f"""WITH {ALL_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n, greatest(degree + 1, frequency * 3) AS weight FROM weighted), c AS (SELECT user_id, count(*) AS clicks FROM events GROUP BY 1)
 SELECT id, coalesce(clicks, 0) AS clicks, least(72, 15 + 3 * weight + 2 * coalesce(clicks, 0)) AS size FROM r LEFT JOIN c ON user_id = n""")

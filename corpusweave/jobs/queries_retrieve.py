@@ -11,7 +11,7 @@ from corpusweave.functions.shared import shared_dir, written
 from corpusweave.jobs import stored
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CHAPTERS, NODES, QUESTIONS, RUN, TERMS, books, chapters, nodes, questions, table
-from corpusweave.operators import cells, chunk, converse, encode, evaluate, postings, retrieve, words
+from corpusweave.operators import cells, chunk, converse, encode, evaluate, integrate, postings, retrieve, words
 from corpusweave.sources import readers, tables
 from corpusweave.streaming import flows
 
@@ -373,6 +373,53 @@ def feedback(spark, sf_dir):
     return converse.apply_feedback(d, said(spark, sf_dir, d)).select("decision_id", "action", "reason", "confidence")
 
 
+# Messages that ask for, keep and split decisions, by id, by link and by their words, and questions.
+_TALK_SQL = f"""{NODES}, decisions AS (
+  SELECT printf('{RUN}_%s_%04d', action, p) AS decision_id, action, name AS reason, CASE action WHEN 'merge' THEN 0.86 ELSE 0.82 END::DOUBLE AS confidence FROM (SELECT name, row_number() OVER (ORDER BY name) AS p, CASE WHEN p % 3 = 0 THEN 'merge' ELSE 'keep' END AS action FROM (SELECT DISTINCT name FROM nodes))
+), listing AS (SELECT *, row_number() OVER (ORDER BY CASE action WHEN 'merge' THEN 0 ELSE 1 END, confidence DESC, decision_id) - 1 AS position FROM decisions
+), messages AS (SELECT conv_id AS session_id, turn AS id, CASE (conv_id + turn) % 8 WHEN 0 THEN '为什么 [[' || substr(text, 1, 5) || ']]' WHEN 1 THEN '保留 ' || text WHEN 2 THEN '请分开 ' || text WHEN 3 THEN '不要合并 {RUN}_merge_0003 ' || text WHEN 4 THEN text || '？' WHEN 5 THEN '解释 {RUN}_keep_0002' ELSE text END AS content FROM conversations
+), meant AS (
+  SELECT session_id, id, content, CASE WHEN regexp_matches(content, '为什么|解释|原因') THEN 'explain_decision' WHEN regexp_matches(content, '保留|不要删除|不删除') THEN 'keep' WHEN regexp_matches(content, '不要合并|分开|拆开|不是同一个') THEN 'split'
+    WHEN suffix(trim(content), '?') OR regexp_matches(content, '？|什么|如何|请问') THEN 'query_rag' ELSE 'summarize_integration' END AS intent FROM messages
+), need AS (SELECT *, regexp_extract(content, '(run_[A-Za-z0-9_]+|manual_[A-Za-z0-9_]+|[A-Za-z0-9_]+_(?:merge|keep|remove)_\\d{{4}})', 1) AS needle, regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1) AS linked, intent = 'split' AS merges FROM meant WHERE intent IN ('explain_decision', 'keep', 'split')
+), tl AS (SELECT session_id, id, merges, CASE WHEN len(linked) > 0 THEN linked ELSE regexp_extract_all(content, '([一-龥A-Za-z]{{2,12}})', 1) END AS l FROM need
+), tt AS (SELECT session_id, id, merges, unnest(l) AS term, unnest(range(1, len(l) + 1)) AS k FROM tl
+), dt AS (SELECT term, merges, first(decision_id ORDER BY position) AS decision_id FROM (SELECT DISTINCT term, merges FROM tt) JOIN listing ON contains(reason, term) AND (NOT merges OR action = 'merge') GROUP BY 1, 2
+), byterm AS (SELECT session_id, id, first(decision_id ORDER BY k) AS by_term FROM tt JOIN dt USING (term, merges) GROUP BY 1, 2
+), byid AS (SELECT needle, merges, first(decision_id ORDER BY position) AS by_id FROM (SELECT DISTINCT needle, merges FROM need WHERE needle <> '') JOIN listing ON contains(decision_id, needle) AND (NOT merges OR action = 'merge') GROUP BY 1, 2
+), lookup AS (
+  SELECT session_id, id, coalesce(by_id, by_term, (SELECT first(decision_id ORDER BY position) FROM listing WHERE NOT merges OR action = 'merge')) AS decision_id FROM need LEFT JOIN byid USING (needle, merges) LEFT JOIN byterm USING (session_id, id)
+)"""
+
+
+def talk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, decisions): some decisions are merges, messages name decisions by id, link and word."""
+    from corpusweave.functions.ranking import numbered
+
+    d = numbered(nodes(spark, sf_dir).select("name").distinct(), "p", F.col("name"))
+    action = F.when((F.col("p") + 1) % 3 == 0, "merge").otherwise("keep")
+    decisions = written(d.select(F.format_string(f"{RUN}_%s_%04d", action, F.col("p") + 1).alias("decision_id"), action.alias("action"), F.col("name").alias("reason"), F.when(action == "merge", 0.86).otherwise(0.82).alias("confidence")))
+    kind, text = (F.col("conv_id") + F.col("turn")) % 8, F.col("text")
+    content = (
+        F.when(kind == 0, F.concat(F.lit("为什么 [["), F.substring(text, 1, 5), F.lit("]]"))).when(kind == 1, F.concat(F.lit("保留 "), text)).when(kind == 2, F.concat(F.lit("请分开 "), text))
+        .when(kind == 3, F.concat(F.lit(f"不要合并 {RUN}_merge_0003 "), text)).when(kind == 4, F.concat(text, F.lit("？"))).when(kind == 5, F.lit(f"解释 {RUN}_keep_0002")).otherwise(text)
+    )
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), content.alias("content")), decisions
+
+
+def _listing(decisions: DataFrame) -> DataFrame:
+    return written(integrate.decision_listing(decisions).withColumn("haystack", F.col("reason")))
+
+
+@query(f"""WITH {_TALK_SQL} SELECT session_id, id, intent, decision_id, CASE WHEN intent IN ('keep', 'split') THEN 'modify_decision' ELSE intent END AS tool, CASE intent WHEN 'explain_decision' THEN '这条决策的理由是：' || reason WHEN 'keep' THEN '已更新：' || decision_id || ' 调整为 keep。' WHEN 'split' THEN '已更新：' || decision_id || ' 已由 merge 调整为 keep。'
+  WHEN 'query_rag' THEN 'answer to ' || content ELSE '当前还没有整合结果。请先运行 Phase 3 跨教材整合。' END AS reply FROM meant LEFT JOIN lookup USING (session_id, id) LEFT JOIN listing USING (decision_id)""")
+def message_turns(spark, sf_dir):
+    """Whole turns of conversations; the answers to questions stand in for those of retrieval."""
+    m, d = talk(spark, sf_dir)
+    answers = m.select("session_id", "id", F.concat(F.lit("answer to "), "content").alias("answer"))
+    return converse.message_turns(m, _listing(d), spark.createDataFrame([], "reply string"), answers)
+
+
 @query("""SELECT '当前整合结果：' || count(DISTINCT source) || ' 本教材，' || count(*) || ' 条 merge、' || count(DISTINCT text) || ' 条 keep、' || count(DISTINCT lang) || ' 条 remove，压缩比 ' || printf('%.1f', count(DISTINCT text) / count(*) * 100) || '%。' AS reply FROM documents""")
 def status_reply(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -441,10 +488,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(f"WITH {NODES}, n AS (SELECT textbook_id, count(*) AS nodes FROM nodes GROUP BY 1) SELECT c.textbook_id, count(*) AS done, any_value(nodes) AS nodes FROM chapters c JOIN n USING (textbook_id) GROUP BY 1")
 def stream_progress(spark, sf_dir):
-    d = _stream(spark, sf_dir, "documents").select(F.col("source").alias("textbook_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
+    d = _stream(spark, sf_dir, "documents").select(F.col("source").alias("textbook_id"), F.col("doc_id").cast("string").alias("chapter_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
     path = _folder(spark)
     flows.progress(d, TERMS, path).awaitTermination()
-    return flows.latest(spark, path)
+    return flows.progressed(spark, path)
 
 
 @query("SELECT user_id AS id, count(*) AS clicks FROM events GROUP BY 1")
@@ -459,10 +506,23 @@ def stream_clicks(spark, sf_dir):
 def stream_feedback(spark, sf_dir):
     d = some_decisions(spark, sf_dir)
     path, inbox = _folder(spark), _folder(spark)
-    said(spark, sf_dir, d).write.parquet(inbox)
+    said(spark, sf_dir, d).select("decision_id", "id.session_id", "id.id", "intent").write.parquet(inbox)
     arriving = spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox)
     flows.feedback(arriving, d, path).awaitTermination()
-    return flows.latest(spark, path).select("decision_id", "action", "reason", "confidence")
+    return flows.decided(spark, path).select("decision_id", "action", "reason", "confidence")
+
+
+@query(f"""WITH {_TALK_SQL}, said AS (
+  SELECT decision_id, string_agg(CASE WHEN intent = 'split' THEN ' 教师反馈：要求拆分该合并簇，系统已取消 merge 并转为 keep。' ELSE ' 教师反馈：要求保留该知识点，系统已将决策调整为 keep。' END, '' ORDER BY session_id, id) AS notes
+  FROM lookup JOIN meant USING (session_id, id) WHERE intent IN ('keep', 'split') GROUP BY 1
+) SELECT decision_id, CASE WHEN notes IS NULL THEN action ELSE 'keep' END AS action, reason || coalesce(notes, '') AS reason, CASE WHEN notes IS NULL THEN confidence ELSE 0.96::DOUBLE END AS confidence FROM decisions LEFT JOIN said USING (decision_id)""")
+def stream_turns(spark, sf_dir):
+    """Raw messages as a stream, to decisions."""
+    m, d = talk(spark, sf_dir)
+    path, inbox = _folder(spark), _folder(spark)
+    m.write.parquet(inbox)
+    flows.turns(spark.readStream.schema(m.schema).parquet(inbox), d, path).awaitTermination()
+    return flows.decided(spark, path)
 
 
 # Each document is a file; each third comes again, changed, in the same inbox, and each seventh is of an unknown format.

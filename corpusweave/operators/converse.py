@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.functions.shared import written
 from corpusweave.functions.text import strip
 from corpusweave.operators.integrate import DIALOGUE
+from corpusweave.operators.terms import first_with
 
 HISTORY = 50
 # Words that tell what a message wants, in the order they are tried.
@@ -44,38 +46,57 @@ def decision_lookup(messages: DataFrame, listing: DataFrame, prefer: str | None
 
     listing has decision_id, action, position and haystack (reason and references). An explicit id
     that stands in a decision's id comes first; then the first term, in order, that stands in a
-    haystack, with the first such decision; else the first decision. Terms meet haystacks by an
-    equi-join on the haystacks' own runs, so no message is compared to every decision.
+    haystack, with the first such decision; else the first decision. All different terms are looked
+    for in one pass over the haystacks, so no message is compared to every decision.
     """
     ds = listing.filter(F.col("action") == prefer) if prefer else listing
     need = messages.select("session_id", "id", "content", F.regexp_extract("content", EXPLICIT, 1).alias("needle"))
     needles = need.filter("needle <> ''").select(F.col("needle").alias("term")).distinct()
-    named = _first_with(needles, ds.select("decision_id", "position", F.col("decision_id").alias("haystack"))).select(F.col("term").alias("needle"), F.col("decision_id").alias("by_id"))
+    named = first_with(needles, ds.select("decision_id", "position", F.col("decision_id").alias("text")), "decision_id", "position").select(F.col("term").alias("needle"), F.col("decision_id").alias("by_id"))
     terms = message_terms(messages)
-    spots = ds.select("decision_id", "position", "haystack")
-    meant = _first_with(terms.select("term").distinct(), spots)
+    meant = first_with(terms, ds.select("decision_id", "position", F.col("haystack").alias("text")), "decision_id", "position")
     best = terms.join(meant, "term").groupBy("session_id", "id").agg(F.min_by("decision_id", "at").alias("by_term"))
     first = ds.agg(F.min_by("decision_id", "position").alias("first"))
     rows = need.join(named, "needle", "left").join(best, ["session_id", "id"], "left").crossJoin(first)  # one row
     return rows.select("session_id", "id", F.coalesce("by_id", "by_term", "first").alias("decision_id"))
 
 
-def _first_with(terms: DataFrame, spots: DataFrame) -> DataFrame:
-    """(term, decision_id): the first decision whose haystack contains the term.
+def message_turns(messages: DataFrame, listing: DataFrame, status: DataFrame, answers: DataFrame | None = None, words=INTENTS) -> DataFrame:
+    """(session_id, id, intent, decision_id, tool, reply) of each message (session_id, id, content): what it wants, what it means, what is said.
 
-    Haystacks are cut into their distinct runs of each length that some term has.
+    Explaining, keeping and splitting need a decision to speak of, splitting one that merges, which it
+    then looks for among merges alone; without one a message is a question or asks for the state.
+    listing has decision_id, action, position, reason and haystack; status has the reply for a run, no
+    row without one; answers (session_id, id, answer) are those to questions, empty where there is none.
+    Messages of one table are judged by the decisions as they stand; apply_feedback changes these.
     """
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]  # word lengths, a few dozen at most
-    if not lengths:
-        return terms.select("term", F.lit(None).cast("string").alias("decision_id"))
-    h = F.col("haystack")
-
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(h) - n + 1, F.lit(1)))
-        return F.when(F.length(h) >= n, F.transform(starts, lambda i: F.substring(h, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    runs = F.array_distinct(F.flatten(F.array(*map(of_length, lengths))))
-    return spots.select("decision_id", "position", F.explode(runs).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.min_by("decision_id", "position").alias("decision_id"))
+    there = listing.agg((F.count("*") > 0).alias("any"), (F.count_if(F.col("action") == "merge") > 0).alias("merges"))
+    rows = messages.select("session_id", "id", "content").crossJoin(there)  # one row
+    split = words[2][0]
+    meant = intents(rows.withColumn("has_decision", F.col("any")), words)
+    # splitting falls through where nothing is merged
+    again = intents(rows.withColumn("has_decision", F.lit(False)), words).select("session_id", "id", F.col("intent").alias("otherwise"))
+    meant = meant.join(again, ["session_id", "id"]).withColumn("intent", F.when((F.col("intent") == split) & ~F.col("merges"), F.col("otherwise")).otherwise(F.col("intent"))).drop("otherwise")
+    meant = written(meant.select("session_id", "id", "content", "intent"))
+    of = lambda *names: meant.filter(F.col("intent").isin(*names))
+    found = decision_lookup(of(words[0][0], words[1][0]), listing).unionByName(decision_lookup(of(split), listing, "merge"))
+    told = found.join(listing.select("decision_id", "reason"), "decision_id", "left")
+    rows = meant.join(told, ["session_id", "id"], "left")
+    if answers is not None:
+        rows = rows.join(answers.select("session_id", "id", "answer"), ["session_id", "id"], "left")
+    answer = F.col("answer") if answers is not None else F.lit(None).cast("string")
+    state = status.agg(F.first("reply").alias("state"))
+    is_ = lambda k: F.col("intent") == words[k][0]
+    # The sentences.
+    reply = (
+        F.when(is_(0), F.concat(F.lit("这条决策的理由是："), F.col("reason")))
+        .when(is_(1), F.concat(F.lit("已更新："), F.col("decision_id"), F.lit(" 调整为 keep。")))
+        .when(is_(2), F.concat(F.lit("已更新："), F.col("decision_id"), F.lit(" 已由 merge 调整为 keep。")))
+        .when(is_(3), F.coalesce(answer, F.lit("")))
+        .otherwise(F.coalesce("state", F.lit("当前还没有整合结果。请先运行 Phase 3 跨教材整合。")))
+    )
+    tool = F.when(is_(1) | is_(2), "modify_decision").otherwise(F.col("intent"))
+    return rows.crossJoin(state).select("session_id", "id", "intent", "decision_id", tool.alias("tool"), reply.alias("reply"))  # one row
 
 
 def apply_feedback(decisions: DataFrame, feedback: DataFrame) -> DataFrame:

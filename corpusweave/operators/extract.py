@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.functions.text import NUMERALS, TERM_MARKS, clean_term, is_valid_term, let, node_id, strip, truncate_middle
+from corpusweave.operators.terms import with_hits
 
 # The relations, and the categories of nodes.
 RELATIONS = ("prerequisite", "parallel", "contains", "applies_to")
@@ -61,9 +62,10 @@ def model_edges(chapters: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def candidate_terms(title: Column, content: Column, dictionary: Sequence[str], heading_scan: int = 20_000, definition_scan: int = 25_000) -> Column:
-    """Ordered distinct terms of a chapter: its title, dictionary terms it contains (at most a few
-    hundred are meant), headings, subjects of definitions; the short title if there are none."""
+def candidate_terms(title: Column, content: Column, dictionary: Sequence[str] | Column, heading_scan: int = 20_000, definition_scan: int = 25_000) -> Column:
+    """Ordered distinct terms of a chapter: its title, dictionary terms it contains, headings, subjects of
+    definitions; the short title if there are none. The dictionary is a short list of terms, or a column
+    with the array of those that the chapter contains (known_terms)."""
     bare = strip(F.regexp_replace(title, rf"(?U)^第\s*[{NUMERALS}\d]+\s*章\s*", ""))
     none = F.array().cast("array<string>")
     # What a heading and a definition look like, and how much of a chapter is searched for them.
@@ -73,7 +75,10 @@ def candidate_terms(title: Column, content: Column, dictionary: Sequence[str], h
     heads = F.when(content.contains("#"), F.regexp_extract_all(F.substring(content, 1, heading_scan), heading, F.lit(1))).otherwise(none)
     subjects = F.when(content.rlike("[是指为]|包括"), F.regexp_extract_all(F.substring(content, 1, definition_scan), definition, F.lit(1))).otherwise(none)
     found = F.transform(F.concat(heads, subjects), clean_term)
-    known = F.filter(F.array(*map(F.lit, dictionary)), lambda t: F.contains(content, t)) if dictionary else F.array().cast("array<string>")
+    if isinstance(dictionary, Column):
+        known = dictionary
+    else:
+        known = F.filter(F.array(*map(F.lit, dictionary)), lambda t: F.contains(content, t)) if dictionary else none
     terms = F.concat(F.filter(F.array(bare), is_valid_term), known, F.filter(found, is_valid_term))
     keyed = F.transform(terms, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, r"(?U)\s+", "").alias("k")))
     # array_position gives the first place of a key
@@ -104,9 +109,18 @@ def squish_inner(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", " ")
 
 
-def rule_nodes(chapters: DataFrame, dictionary: Sequence[str], most: int = NODES_PER_CHAPTER) -> DataFrame:
-    """The first candidate terms of each chapter as nodes, with their rank and evidence."""
-    rows = chapters.filter(F.length(strip(F.col("content"))) > 0).withColumn("terms", candidate_terms(F.col("title"), F.col("content"), dictionary))
+def known_terms(chapters: DataFrame, dictionary: DataFrame, name: str = "known") -> DataFrame:
+    """chapters with the array of the terms of a dictionary table (ord, term) that their content contains, in order of ord."""
+    return with_hits(chapters, dictionary, text="content", name=name).withColumn(name, F.col(f"{name}.term"))
+
+
+def rule_nodes(chapters: DataFrame, dictionary: Sequence[str] | DataFrame, most: int = NODES_PER_CHAPTER) -> DataFrame:
+    """The first candidate terms of each chapter as nodes, with their rank and evidence; the dictionary is a short list or a table (ord, term) of any length."""
+    rows = chapters.filter(F.length(strip(F.col("content"))) > 0)
+    if isinstance(dictionary, DataFrame):
+        rows = known_terms(rows, dictionary, "__known")
+        dictionary = F.col("__known")
+    rows = rows.withColumn("terms", candidate_terms(F.col("title"), F.col("content"), dictionary)).drop("__known")
     # evidence is found before the rows multiply, so that contents don't
     told = let(squish_inner(F.col("content")), lambda text: F.transform(F.slice("terms", 1, most), lambda t: F.struct(t.alias("name"), evidence_sentence(text, t).alias("definition"))))
     each = rows.select(*CHAPTER, "title", "page_start", F.posexplode(told).alias("at", "n"))

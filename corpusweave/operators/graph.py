@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.text import snippet, space_free_key
+from corpusweave.operators.terms import with_hits
 
 
 def dedupe_nodes(nodes: DataFrame, by_book: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -55,6 +56,15 @@ def search_nodes(nodes: DataFrame, titles: DataFrame, query: str) -> DataFrame:
     return rows.filter(F.lower(F.concat_ws(" ", "name", "definition", "chapter_title", "textbook_title")).contains(query.strip().lower()))
 
 
+def search_nodes_for(nodes: DataFrame, titles: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): for each query (query_id, query) the nodes that search_nodes finds, all queries in one pass over the nodes; blank queries are left out."""
+    asked = queries.select("query_id", F.lower(F.trim("query")).alias("term"))
+    rows = nodes.join(titles.select("textbook_id", F.col("title").alias("textbook_title")), "textbook_id", "left")
+    texts = rows.select("id", F.lower(F.concat_ws(" ", "name", "definition", "chapter_title", "textbook_title")).alias("text"))
+    found = with_hits(texts, asked.select("term", F.lit(0).alias("ord"))).select("id", F.explode("hits.term").alias("term"))
+    return found.join(asked, "term").select("query_id", "id")
+
+
 def click_size(weight: Column, clicks: Column) -> Column:
     return F.least(F.lit(72), 15 + 3 * weight + 2 * clicks)
 
