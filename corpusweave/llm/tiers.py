@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.functions.text import let
 from corpusweave.llm.common import UPPER, ascii_lower, scratch, written
 
 TOP = 50
@@ -55,6 +56,12 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), _BREAK), lambda t: t != "")
 
 
+def _count(text: Column) -> Column:
+    """How many terms a text has, without making them: pieces between breaks, less empty ones at the ends."""
+    empty = lambda ts, at: F.when(F.element_at(ts, at) == "", 1).otherwise(0)
+    return let(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda ts: F.size(ts) - empty(ts, 1) - F.when(F.size(ts) > 1, empty(ts, -1)).otherwise(0))
+
+
 def length_parts(n: list[int], documents: int, terms: int) -> np.ndarray:
     """m of documents of n terms, where `documents` hold `terms` in all."""
     return np.array([50 + 50 * x * documents // terms if terms else 50 for x in n], np.int64)
@@ -136,7 +143,7 @@ def build(docs: DataFrame, *, key: str = "doc_id", text: str = "text", first: in
     other columns are ignored; an empty table gives an empty index.
     """
     given = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sizes = given.select(F.size(terms_of(F.col("text"))).alias("n"))
+    sizes = given.select(_count(F.col("text")).alias("n"))
     documents, terms = sizes.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     kinds = "segment bigint, term string, docs array<int>, impacts array<int>, ids array<bigint>"
     with scratch(docs.sparkSession):
@@ -163,10 +170,13 @@ def build(docs: DataFrame, *, key: str = "doc_id", text: str = "text", first: in
         weights = written(counts.join(residuals, "term", "left").select("term", "df", _weight(F.col("df"), documents).alias("w"), "residuals"), keep=True)
         split = entries.join(_checked(cuts, n_often), "term", "left")
         whole = F.array(F.struct(F.lit(0).alias("tier"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), F.lit(None).cast("int").alias("top")))
-        each = split.select("segment", "term", F.explode(F.coalesce("cuts", whole)).alias("c"), F.arrays_zip("docs", "impacts").alias("p"))
-        some = F.filter("p", lambda p: F.shiftright(p["impacts"], LEVEL_BITS).between(F.col("c.low"), F.col("c.high")))
-        fits = each.withColumn("p", F.when(F.col("c.low").isNull(), F.col("p")).otherwise(some)).filter(F.size("p") > 0)
-        postings = written(fits.select("segment", "term", F.col("p.docs").alias("docs"), F.col("p.impacts").alias("impacts"), F.col("c.tier").alias("tier")), keep=True, by=("tier",))
+        each = split.select("segment", "term", "docs", "impacts", F.explode(F.coalesce("cuts", whole)).alias("c"))
+        inside = lambda v: F.shiftright(v, LEVEL_BITS).between(F.col("c.low"), F.col("c.high"))
+        # most terms are rare and have one tier; their entries stay as they are
+        all_of = F.col("c.low").isNull()
+        some_docs = F.when(all_of, F.col("docs")).otherwise(F.filter("docs", lambda d, i: inside(F.get("impacts", i))))
+        some_impacts = F.when(all_of, F.col("impacts")).otherwise(F.filter("impacts", inside))
+        postings = written(each.select("segment", "term", some_docs.alias("docs"), some_impacts.alias("impacts"), F.col("c.tier").alias("tier")).filter(F.size("impacts") > 0), keep=True, by=("tier",))
     return Index(documents, terms, len(limits), places, weights, postings)
 
 
