@@ -62,9 +62,8 @@ def backwards(item: dict[bytes, int], size: int) -> dict[bytes, int]:
 def closest(item: dict[bytes, int], size: int, words: list[bytes], least: float = 0) -> tuple[int, int, int]:
     """(length, first, last) of the longest common subsequence within a stretch of twice the passage's size.
 
-    The whole of words comes first. Only where what it finds spreads wider, stretches that begin
-    every eighth of the passage are looked at one by one; of equals the first counts. Lengths
-    under `least` are none.
+    The whole of words comes first. Only where what it finds spreads wider, the stretches from every
+    place on are looked at one by one; of equals the first counts. Lengths under `least` are none.
     """
     turned: dict[bytes, int] = {}
 
@@ -80,7 +79,7 @@ def closest(item: dict[bytes, int], size: int, words: list[bytes], least: float
     best = within(0, len(words))
     if best[2] - best[1] < 2 * size:
         return best
-    stretches = (within(low, low + 2 * size) for low in range(0, len(words), max(1, size // 8)))
+    stretches = (within(low, low + 2 * size) for low in range(max(1, len(words) - 2 * size + 1)))
     return max(stretches, key=lambda s: (s[0], -s[1]))
 
 
@@ -112,7 +111,8 @@ class Items:
             self.places.append(masks)
         self.terms = [np.array([self.vocab[w] for w in masks], np.int64) for masks in self.places]
         self.longs = np.array([len(ws) for ws in self.words], np.int64)
-        self.sizes = np.array([max(8, 1 << (len(ws) - 1).bit_length()) for ws in self.words], np.int64)
+        #: windows are as long as the passage, so that little else is in the one that lies on a copy
+        self.sizes = self.longs
         # postings: for each word the passages that have it, and how often
         rows = sorted((self.vocab[w], i, m.bit_count()) for i, masks in enumerate(self.places) for w, m in masks.items())
         terms, self.having, self.times = np.array(rows, np.int64).reshape(-1, 3).T
