@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm import simhash
-from corpusweave.llm.common import slices, texts_of, written
+from corpusweave.llm.common import scratch, slices, texts_of, written
 from corpusweave.llm.passages import run_hashes, word_hashes
 from corpusweave.llm.simhash import BLOCK, SEED, majority
 from corpusweave.operators.components import connected_components
@@ -154,17 +154,18 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, heads: DataFrame, given: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets with Jaccard similarity 0.8 or more, on the whole texts."""
-    pairs = written(pairs.distinct())
-    needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = written(heads.join(needed, "sid").select("sid", F.col("first.doc_id").alias("id"), F.col("first.digest").alias("own")).withColumn("bucket", F.pmod(F.xxhash64("id", "own"), F.lit(FILTER))))
-    some = F.broadcast(wanted.select("bucket").distinct())  # FILTER rows at most
-    texts = given.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(FILTER))).join(some, "bucket", "left_semi")
-    texts = wanted.join(texts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))).select("sid", "text")
-    # rows that repeat id and text give a set more than one text, all alike
-    texts = written(texts.dropDuplicates(["sid"]))
-    both = pairs.join(texts.withColumnRenamed("sid", "a"), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
-    return written(both.select("a", "b", "text", "other").mapInArrow(_alike, "a bigint, b bigint"))
+    """The pairs (a, b) of sets with Jaccard similarity 0.8 or more, on the whole texts; the texts go when that is known."""
+    with scratch(given.sparkSession):
+        pairs = written(pairs.distinct())
+        needed = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        wanted = written(heads.join(needed, "sid").select("sid", F.col("first.doc_id").alias("id"), F.col("first.digest").alias("own")).withColumn("bucket", F.pmod(F.xxhash64("id", "own"), F.lit(FILTER))))
+        some = F.broadcast(wanted.select("bucket").distinct())  # FILTER rows at most
+        texts = given.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(FILTER))).join(some, "bucket", "left_semi")
+        texts = wanted.join(texts, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("digest"))).select("sid", "text")
+        # rows that repeat id and text give a set more than one text, all alike
+        texts = written(texts.dropDuplicates(["sid"]))
+        both = pairs.join(texts.withColumnRenamed("sid", "a"), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("other")), "b")
+        return written(both.select("a", "b", "text", "other").mapInArrow(_alike, "a bigint, b bigint"), keep=True)
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -244,14 +245,15 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", block:
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     given = docs.select(F.col(key).alias("doc_id"), F.md5(body).alias("digest"), body.alias("text"))
-    rows = written(_sketched(given))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    heads = written(rows.groupBy("sid").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("counts").alias("counts")))
-    found = connected_components(links(rows, heads, given, block)).select(F.col("id").alias("sid"), "component")
-    named = heads.join(found, "sid", "left").select("first", F.coalesce("component", "sid").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("first"))
-    kept = written(smallest.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__kept")))
+    with scratch(docs.sparkSession):
+        rows = written(_sketched(given))
+        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+        heads = written(rows.groupBy("sid").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("counts").alias("counts")))
+        found = connected_components(links(rows, heads, given, block)).select(F.col("id").alias("sid"), "component")
+        named = heads.join(found, "sid", "left").select("first", F.coalesce("component", "sid").alias("component"))
+        smallest = named.groupBy("component").agg(F.min("first").alias("first"))
+        kept = written(smallest.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__kept")), keep=True)
+        repeats = not rows.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty()
     tagged = docs.withColumn("__digest", F.md5(body))
     stays = tagged.join(kept, (F.col("__digest") == F.col("__kept")) & F.col(key).eqNullSafe(F.col("__id")), "left_semi")
-    repeated = rows.groupBy("doc_id", "digest").count().filter("count > 1")
-    return (stays if repeated.isEmpty() else stays.dropDuplicates([key, "__digest"])).select(docs.columns)
+    return (stays.dropDuplicates([key, "__digest"]) if repeats else stays).select(docs.columns)
