@@ -12,7 +12,7 @@ from corpusweave.jobs import stored
 from corpusweave.jobs.registry import query
 from corpusweave.jobs.standins import BOOKS, CHAPTERS, NODES, QUESTIONS, RUN, TERMS, books, chapters, nodes, questions, table
 from corpusweave.operators import cells, chunk, converse, encode, evaluate, integrate, postings, retrieve, words
-from corpusweave.sources import readers, tables
+from corpusweave.sources import keyed, readers, tables
 from corpusweave.streaming import flows
 
 # ---- chunks -----------------------------------------------------------------------------------
@@ -438,6 +438,17 @@ def keyed_upsert(spark, sf_dir):
     return tables.upsert(base, delta, ["id"], "version")
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'Z' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS version FROM orders
+UNION ALL SELECT -1 - o_orderkey, o_orderstatus, 3 FROM orders WHERE o_orderkey % 7 = 0""")
+def keyed_table(spark, sf_dir):
+    """A stored table of all orders that two merges change, the second with new keys."""
+    path = _folder(spark)
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(1).alias("version"))
+    keyed.create_table(base, path, ["id"])
+    keyed.merge_into(path, base.filter("id % 5 = 0").select("id", F.lit("Z").alias("status"), F.lit(2).alias("version")), "version")
+    return keyed.merge_into(path, base.filter("id % 7 = 0").select((-1 - F.col("id")).alias("id"), "status", F.lit(3).alias("version")), "version")
+
+
 @query("""SELECT c_nationkey, c_custkey, c_name AS name FROM customer WHERE c_nationkey % 4 <> 0 UNION ALL SELECT c_nationkey, c_custkey, 'new ' || c_name FROM customer WHERE c_nationkey % 4 = 0 AND c_custkey % 2 = 0
 UNION ALL SELECT c_nationkey, c_custkey, c_name FROM customer WHERE c_nationkey % 4 = 0 AND c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 4 = 0 AND c_custkey % 2 = 0)""")
 def slice_replace(spark, sf_dir):
