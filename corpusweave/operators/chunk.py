@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.functions.shared import written
 from corpusweave.functions.text import short_id, strip
 
 SIZE, OVERLAP, LEAST = 700, 90, 80
@@ -24,6 +26,8 @@ BREAK_SHARE = 0.55
 BREAKS = ("\n##", "\n\n", "。", "；", "\n")
 HEADING = r"(?mdU)^#{2,4}\s+."
 HEADING_TITLE = r"(?mdU)\A#{2,4}\s+(.+?)\s*$"
+#: Characters from which a text is windowed in pieces, and those of a piece.
+PIECE = 1 << 20
 #: Parts two texts of a batch; no break holds it.
 BETWEEN = "\0"
 
@@ -44,30 +48,33 @@ def _break_places(joined: str) -> list[np.ndarray]:
     return [np.array([m.start() for m in re.finditer(f"(?={re.escape(mark)})", joined)], np.int64) for mark in BREAKS]
 
 
+def _stops(at: np.ndarray, length: np.ndarray, base: np.ndarray, places: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end of the window from each place, whether text may follow); base tells where the texts begin in what places counts from."""
+    end = np.minimum(length, at + size)
+    open_ended = end < length
+    chosen, stop, early = ~open_ended, end.copy(), size * BREAK_SHARE
+    for mark, found in zip(BREAKS, places):
+        if not len(found) or chosen.all():
+            continue
+        # the last break of this kind that lies in the window as a whole
+        last = np.searchsorted(found, base + end - len(mark), side="right") - 1
+        place = found[np.maximum(last, 0)] - base
+        fits = ~chosen & (last >= 0) & (place - at >= early)
+        stop = np.where(fits, place + len(mark), stop)
+        chosen |= fits
+    return stop, open_ended | (stop < length)
+
+
 def window_spans(bodies: list[str], size: int = SIZE, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of every window of each body, in order; a window ends after the best break in its last part."""
     lengths = np.array([len(b) for b in bodies], np.int64)
     offsets = np.cumsum(lengths + len(BETWEEN)) - lengths - len(BETWEEN)
     places = _break_places(BETWEEN.join(bodies))
-    early = size * BREAK_SHARE
     live, at, out = np.arange(len(bodies)), np.zeros(len(bodies), np.int64), []
     while len(live):
-        end = np.minimum(lengths[live], at + size)
-        open_ended = end < lengths[live]
-        chosen = ~open_ended
-        stop = end.copy()
-        for mark, found in zip(BREAKS, places):
-            if not len(found) or chosen.all():
-                continue
-            # the last break of this kind that lies in the window as a whole
-            last = np.searchsorted(found, offsets[live] + end - len(mark), side="right") - 1
-            place = found[np.maximum(last, 0)] - offsets[live]
-            fits = ~chosen & (last >= 0) & (place - at >= early)
-            stop = np.where(fits, place + len(mark), stop)
-            chosen |= fits
+        stop, more = _stops(at, lengths[live], offsets[live], places, size)
         out.append((live, at, stop))
-        at = np.maximum(stop - overlap, at + 1)[open_ended | (stop < lengths[live])]
-        live = live[open_ended | (stop < lengths[live])]
+        at, live = np.maximum(stop - overlap, at + 1)[more], live[more]
     if not out:
         return (np.empty(0, np.int64),) * 3
     text, start, stop = (np.concatenate(c) for c in zip(*out))
@@ -75,9 +82,13 @@ def window_spans(bodies: list[str], size: int = SIZE, overlap: int = OVERLAP) ->
     return text[order], start[order], stop[order]
 
 
+def _body(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
 def windows(texts: list[str], size: int = SIZE, overlap: int = OVERLAP) -> list[list[tuple[int, str]]]:
     """[(start, text)] of each text's windows; blank ones are left out, unless they are all of a text."""
-    bodies = [re.sub(r"\n{3,}", "\n\n", t).strip() for t in texts]
+    bodies = [_body(t) for t in texts]
     out: list[list[tuple[int, str]]] = [[] for _ in bodies]
     for k, a, b in zip(*(c.tolist() for c in window_spans(bodies, size, overlap))):
         if (piece := bodies[k][a:b].strip()) or len(bodies[k]) <= size:
@@ -97,11 +108,106 @@ def window_udf(size: int = SIZE, overlap: int = OVERLAP):
     return cut
 
 
-def chunk_windows(chapters: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """chapters with section_title, start and text in place of content."""
+def _following(text: str, first: int, own: int, length: int, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end of the window, start of the next one) for each of the first `own` places of a piece; the next start is -1 after the last window.
+
+    The piece begins at `first` of a body of `length` and goes on for a window beyond its own places.
+    """
+    at = np.arange(first, first + own)
+    stop, more = _stops(at, np.full(own, length), np.full(own, -first), _break_places(text), size)
+    return stop, np.where(more, np.maximum(stop - overlap, at + 1), -1)
+
+
+def _ways_out(following: np.ndarray, first: int, size: int) -> np.ndarray:
+    """For each place where the windows may come into a piece (its first `size` ones): where they leave it, -1 for never.
+
+    Pointers to the next start are doubled until all lead out.
+    """
+    own = len(following)
+    # places behind the piece, and the end of all windows, lead to themselves
+    jump = np.concatenate((np.where(following < 0, own + size, following - first), np.arange(own, own + size + 1)))
+    while (jump[: min(own, size)] < own).any():
+        jump = jump[jump]
+    out = jump[: min(own, size)]
+    return np.where(out == own + size, -1, out + first)
+
+
+def _long_windows(each: DataFrame, text: str, size: int, overlap: int, piece: int) -> DataFrame:
+    """each with start and text of the windows in place of its long texts, found in pieces that tasks work on side by side.
+
+    Where the next window begins hangs on the text near it alone, so every piece tells for each place
+    where the windows may enter it where they leave it; the ways through the pieces of a text are then
+    put together, and each piece cuts its windows from where they enter.
+    """
+    # windows end within `size`, and a break may reach a little beyond
+    reach = size + max(map(len, BREAKS))
+    rest = [c for c in each.columns if c != text]
+    named = written(each.withColumn("__row", F.monotonically_increasing_id()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, t in zip(batch.column(0), batch.column(1)):
+                body = _body(t.as_py() or "")
+                for k, first in enumerate(range(0, max(1, len(body)), piece)):
+                    yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([k], pa.int32()), pa.array([len(body)], pa.int64()), pa.array([body[first : first + piece + reach]])], ["row", "k", "length", "text"])
+
+    def way(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, k, length, t in zip(*(c.to_pylist() for c in batch.columns)):
+                _, following = _following(t, k * piece, min(piece, length - k * piece), length, size, overlap)
+                ways = _ways_out(following, k * piece, size) if length else np.array([-1])
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([ways], pa.list_(pa.int64()))], ["row", "k", "ways"])
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, ways in zip(*(c.to_pylist() for c in batch.columns)):
+                at, found = 0, []
+                for w in ways:
+                    # a short last piece may be stepped over
+                    if at < 0:
+                        break
+                    if at // piece == w["k"]:
+                        found.append((w["k"], at))
+                        at = w["ways"][at - w["k"] * piece]
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.int32()), pa.array([a for _, a in found], pa.int64())], ["row", "k", "enter"])
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, k, length, t, at in zip(*(c.to_pylist() for c in batch.columns)):
+                first, own = k * piece, min(piece, length - k * piece)
+                stop, following = _following(t, first, own, length, size, overlap)
+                starts, found = ([], []) if length else ([0], [""])
+                while 0 <= at < first + own:
+                    if (w := t[at - first : stop[at - first] - first].strip()) or length <= size:
+                        starts.append(at)
+                        found.append(w)
+                    at = int(following[at - first])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(starts, pa.int32()), pa.array(found, pa.string())], ["row", "start", "text"])
+
+    pieces = written(named.select("__row", text).mapInArrow(cut, "row bigint, k int, length bigint, text string").repartition(F.col("row"), F.col("k")))
+    ways = pieces.mapInArrow(way, "row bigint, k int, ways array<bigint>")
+    # `size` numbers a piece
+    lists = ways.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ways"))).alias("ways"))
+    enters = lists.mapInArrow(entered, "row bigint, k int, enter bigint")
+    found = pieces.join(enters, ["row", "k"]).select("row", "k", "length", "text", "enter").mapInArrow(windows_of, "row bigint, start int, text string")
+    return found.join(named.select(*rest, F.col("__row").alias("row")), "row").select(*rest, "start", "text")
+
+
+def chunk_windows(chapters: DataFrame, size: int = SIZE, overlap: int = OVERLAP, piece: int = PIECE) -> DataFrame:
+    """chapters with section_title, start and text in place of content; chapters over `piece` characters are windowed in pieces of so many."""
+    if not 0 <= overlap or piece <= size:
+        raise ValueError("a piece must be longer than a window")
     rest = [c for c in chapters.columns if c != "content"]
-    each = chapters.select(*rest, F.explode(sections(F.col("content"))).alias("s")).select(*rest, F.col("s.title").alias("section_title"), window_udf(size, overlap)("s.text").alias("w"))
-    return each.select(*rest, "section_title", F.explode("w").alias("w")).select(*rest, "section_title", "w.*")
+    huge = F.coalesce(F.length("content") > piece, F.lit(False))
+    cut = lambda rows: rows.select(*rest, F.explode(sections(F.col("content"))).alias("s")).select(*rest, F.col("s.title").alias("section_title"), F.col("s.text").alias("body"))
+    each = cut(chapters.filter(~huge)).select(*rest, "section_title", window_udf(size, overlap)("body").alias("w"))
+    short = each.select(*rest, "section_title", F.explode("w").alias("w")).select(*rest, "section_title", "w.*")
+    long = chapters.filter(huge)
+    if long.isEmpty():
+        return short
+    parts = written(cut(long))
+    of_long = parts.filter(F.length("body") <= piece).select(*rest, "section_title", F.explode(window_udf(size, overlap)("body")).alias("w")).select(*rest, "section_title", "w.*")
+    return short.unionByName(of_long).unionByName(_long_windows(parts.filter(F.length("body") > piece), "body", size, overlap, piece))
 
 
 def chunk_table(chapters: DataFrame, textbooks: DataFrame, wanted: list[str] | None = None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
