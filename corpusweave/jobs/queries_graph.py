@@ -140,6 +140,35 @@ def chapter_cascade(spark, sf_dir):
     return segment.paged_chapters(paged(spark, sf_dir).drop("page_id"), outline(spark, sf_dir))
 
 
+# Each line of a document is a page. A fourth of the documents have an outline, a fourth a heading on each page, a fourth a chapter line on each, a fourth neither.
+STRATEGIES_SQL = """p AS (
+  SELECT doc_id, doc_id % 4 AS kind, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1))::INT AS k FROM documents WHERE text IS NOT NULL
+), pg AS (
+  SELECT 'd' || doc_id AS doc_id, kind, k, count(*) OVER (PARTITION BY doc_id)::INT AS n, CASE kind WHEN 1 THEN '# T' || k || chr(10) || line WHEN 2 THEN '第' || k || '章 part' || chr(10) || line ELSE line END AS text FROM p
+), own AS (SELECT *, trim(text, ' ' || chr(10)) AS content FROM pg
+), d AS (
+  SELECT doc_id, any_value(kind) AS kind, any_value(n) AS n, max(length(content)) AS most, sum(length(content)) AS total FROM own GROUP BY doc_id
+), way AS (
+  SELECT doc_id, CASE WHEN kind = 0 AND n >= 2 AND most > 0 THEN 'outline' WHEN kind = 1 AND n >= 2 AND NOT (total > 0 AND most / total > 0.85) THEN 'headings' WHEN kind = 2 AND n >= 2 THEN 'lines' ELSE 'page_buckets' END AS strategy FROM d
+), cut AS (
+  SELECT doc_id, printf('ch_%03d', k) AS chapter_id, CASE strategy WHEN 'outline' THEN 'Chapter ' || k WHEN 'headings' THEN 'T' || k ELSE '第' || k || '章 part' END AS title, CASE WHEN strategy = 'outline' THEN k END AS page_start, CASE WHEN strategy = 'outline' THEN k END AS page_end, content, strategy FROM own JOIN way USING (doc_id) WHERE strategy <> 'page_buckets'
+), bucketed AS (
+  SELECT doc_id, ((k - 1) // 30)::INT AS b, any_value(n) AS n, trim(string_agg(text, chr(10) || chr(10) ORDER BY k), ' ' || chr(10)) AS content FROM pg JOIN way USING (doc_id) WHERE strategy = 'page_buckets' GROUP BY doc_id, b
+)"""
+
+
+@query(f"""WITH {STRATEGIES_SQL} SELECT *, length(content)::INT AS char_count FROM cut
+UNION ALL BY NAME SELECT doc_id, printf('ch_%03d', b + 1) AS chapter_id, printf('第 %d-%d 页', b * 30 + 1, least((b + 1) * 30, n)) AS title, b * 30 + 1 AS page_start, least((b + 1) * 30, n)::INT AS page_end, content, 'page_buckets' AS strategy, length(content)::INT AS char_count FROM bucketed WHERE length(content) > 0""")
+def cascade_strategies(spark, sf_dir):
+    """Documents for each of the four strategies."""
+    kind, k = F.col("doc_id") % 4, F.col("at") + 1
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    text = F.when(kind == 1, F.concat(F.lit("# T"), k, F.lit("\n"), "line")).when(kind == 2, F.concat(F.lit("第"), k, F.lit("章 part\n"), "line")).otherwise(F.col("line"))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id")
+    outlined = lines.filter(kind == 0).select(name, F.col("at").alias("pos"), F.lit(1).alias("level"), F.concat(F.lit("Chapter "), k).alias("title"), k.alias("page"))
+    return segment.paged_chapters(lines.select(name, k.alias("page_no"), text.alias("text")), outlined)
+
+
 @query(f"WITH {BOOKS}, {CHAPTERS} SELECT b.*, coalesce(n, 0) AS chapter_count FROM books b LEFT JOIN (SELECT textbook_id, count(*) AS n FROM chapters GROUP BY 1) USING (textbook_id)")
 def catalog_summary(spark, sf_dir):
     return segment.catalogue(books(spark, sf_dir), chapters(spark, sf_dir))
