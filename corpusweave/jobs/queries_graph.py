@@ -160,13 +160,13 @@ STRATEGIES_SQL = """p AS (
 @query(f"""WITH {STRATEGIES_SQL} SELECT *, length(content)::INT AS char_count FROM cut
 UNION ALL BY NAME SELECT doc_id, printf('ch_%03d', b + 1) AS chapter_id, printf('第 %d-%d 页', b * 30 + 1, least((b + 1) * 30, n)) AS title, b * 30 + 1 AS page_start, least((b + 1) * 30, n)::INT AS page_end, content, 'page_buckets' AS strategy, length(content)::INT AS char_count FROM bucketed WHERE length(content) > 0""")
 def cascade_strategies(spark, sf_dir):
-    """Documents for each of the four strategies."""
+    """Documents for each of the four strategies, all searched for headings line by line, as the longest are."""
     kind, k = F.col("doc_id") % 4, F.col("at") + 1
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     text = F.when(kind == 1, F.concat(F.lit("# T"), k, F.lit("\n"), "line")).when(kind == 2, F.concat(F.lit("第"), k, F.lit("章 part\n"), "line")).otherwise(F.col("line"))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id")
     outlined = lines.filter(kind == 0).select(name, F.col("at").alias("pos"), F.lit(1).alias("level"), F.concat(F.lit("Chapter "), k).alias("title"), k.alias("page"))
-    return segment.paged_chapters(lines.select(name, k.alias("page_no"), text.alias("text")), outlined)
+    return segment.paged_chapters(lines.select(name, k.alias("page_no"), text.alias("text")), outlined, whole=0)
 
 
 @query(f"WITH {BOOKS}, {CHAPTERS} SELECT b.*, coalesce(n, 0) AS chapter_count FROM books b LEFT JOIN (SELECT textbook_id, count(*) AS n FROM chapters GROUP BY 1) USING (textbook_id)")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusweave.functions.ranking import numbered, running_total
+from corpusweave.functions.shared import written
 from corpusweave.functions.text import NUMERALS, is_chapter_title, is_front_matter, normal_title, strip
 
 TITLE_LENGTH = 100
 WHOLE = "全文"
 GIANT = 0.85
 PAGES_PER_BUCKET = 30
+#: Characters of a paged document up to which it is searched for headings as one text.
+WHOLE_CHARS = 1 << 24
 ACCEPTED = ("pdf", "md", "markdown", "txt", "docx")
 LINE_CHAPTER = rf"(?dmU)^[\s#*]{{0,8}}(第\s*[{NUMERALS}\d]+\s*章[^\n（）()]{{0,60}})$"
 
@@ -129,26 +133,106 @@ def giant_test(chapters: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", (F.col("total").isNull() | ((F.col("total") > 0) & (F.col("most") / F.col("total") > GIANT))).alias("giant"))
 
 
-def paged_chapters(pages: DataFrame, outline: DataFrame) -> DataFrame:
+def _page_lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, at, line) of pages joined by blank lines, as a table; at orders the lines of all documents, documents one after the other."""
+    lines = pages.filter(F.col("text").isNotNull()).select("doc_id", "page_no", F.posexplode(F.split(F.concat("text", F.lit("\n")), "\n")).alias("pos", "line"))
+    return numbered(lines, "at", F.col("doc_id").asc(), F.col("page_no").asc(), F.col("pos").asc()).select("doc_id", "at", "line")
+
+
+def _starts(lines: DataFrame, k: int) -> DataFrame:
+    """(doc_id, at, counts) of the lines where the text is cut: headings of level k, or chapter lines for k = 0.
+
+    A line of marks alone cuts the text where anything follows, and counts when the next line that isn't
+    empty is part of its piece, as then that is its title.
+    """
+    line = F.col("line")
+    if not k:
+        return lines.filter(line.rlike(LINE_CHAPTER.replace("(?dmU)^", r"(?dU)\A").replace("$", r"\z"))).select("doc_id", "at", F.lit(True).alias("counts"))
+    sure = lines.filter(line.rlike(rf"(?dU)\A#{{{k}}}\s+.")).select("doc_id", "at", F.lit(True).alias("counts"))
+    bare = lines.filter(line.rlike(rf"(?U)\A#{{{k}}}\s?\z")).select("doc_id", "at")
+    if bare.isEmpty():
+        return sure
+    filled = numbered(lines.filter(line != "").select("doc_id", "at"), "o", F.col("at").asc())
+    last = filled.groupBy("doc_id").agg(F.max("at").alias("last"))
+    cuts = bare.join(last, "doc_id").filter("at < last").select("doc_id", "at", F.lit(False).alias("counts"))
+    own = written(filled.join(sure.unionByName(cuts), ["doc_id", "at"], "left"))
+    after = own.select("doc_id", (F.col("o") - 1).alias("o"), F.col("counts").isNull().alias("plain"))
+    found = own.filter("counts = false").join(after, ["doc_id", "o"], "left")
+    return sure.unionByName(found.select("doc_id", "at", F.coalesce("plain", F.lit(False)).alias("counts")))
+
+
+def _gathered(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """(doc_id, at, piece): the lines from each start to the next one, joined, where the start counts; at counts from 0 within a document.
+
+    The number of starts up to a line is a running total over ranges of lines, so no task has a document as a whole.
+    """
+    flagged = lines.join(starts.withColumn("start", F.lit(1)), ["doc_id", "at"], "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    counted = running_total(flagged.select("doc_id", "at", "line", "start"), "piece_no", "start", F.col("at").asc())
+    # what stands before a document's first start goes with the one before it, whose document is another, or with none
+    pieces = counted.groupBy("doc_id", "piece_no").agg(F.max("start").alias("started"), F.min("at").alias("first"), F.array_join(F.sort_array(F.collect_list(F.struct("at", "line")))["line"], "\n").alias("piece"))
+    named = numbered(starts.filter("counts").select("doc_id", F.col("at").alias("first")), "o", F.col("first").asc())
+    begin = named.groupBy("doc_id").agg(F.min("o").alias("begin"))
+    return pieces.filter("started = 1").join(named, ["doc_id", "first"]).join(begin, "doc_id").select("doc_id", (F.col("o") - F.col("begin")).cast("int").alias("at"), "piece")
+
+
+def _ways_by_lines(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pieces by headings, pieces by chapter lines, doc_id of the others) of documents that are read line by line."""
+    lines = _page_lines(pages)
+    levels = [written(_starts(lines, k)) for k in (0, 1, 2)]
+    count = lambda k: levels[k].groupBy("doc_id").agg(F.count_if("counts").alias(f"n{k}"))
+    n = lines.select("doc_id").distinct().join(count(0), "doc_id", "left").join(count(1), "doc_id", "left").join(count(2), "doc_id", "left").na.fill(0)
+    n = written(n.withColumn("level", F.when(F.col("n1") >= 3, 1).when(F.col("n2") >= 3, 2).when(F.col("n1") >= 2, 1)))
+    of = lambda rows, found: rows.join(found.select("doc_id"), "doc_id", "left_semi")
+    heads = None
+    for k in (1, 2):
+        docs = n.filter(F.col("level") == k)
+        part = _gathered(of(lines, docs), of(levels[k], docs))
+        heads = part if heads is None else heads.unionByName(part)
+    heads = written(heads)
+    sizes = heads.groupBy("doc_id").agg(F.max(F.length(strip(F.col("piece")))).alias("most"), F.sum(F.length(strip(F.col("piece")))).alias("total"))
+    good = written(sizes.filter(~((F.col("total") > 0) & (F.col("most") / F.col("total") > GIANT))).select("doc_id"))
+    rest = n.join(good, "doc_id", "left_anti")
+    lined = rest.filter("n0 >= 2")
+    return of(heads, good), _gathered(of(lines, lined), of(levels[0], lined)), pages.select("doc_id").distinct().join(good, "doc_id", "left_anti").join(lined, "doc_id", "left_anti")
+
+
+def _titled(pieces: DataFrame, title: Column) -> DataFrame:
+    body = strip(F.col("piece"))
+    return pieces.select("doc_id", chapter_id(F.col("at") + 1).alias("chapter_id"), F.substring(title, 1, TITLE_LENGTH).alias("title"), body.alias("content"), F.length(body).alias("char_count"))
+
+
+def paged_chapters(pages: DataFrame, outline: DataFrame, whole: int = WHOLE_CHARS) -> DataFrame:
     """Chapters of paged documents by the first strategy that works, with the strategy's name:
-    outline (two chapters chosen), headings (two, none giant), chapter lines (two), page buckets."""
+    outline (two chapters chosen), headings (two, none giant), chapter lines (two), page buckets.
+
+    Documents of up to `whole` characters are searched for headings as one text. Longer ones are
+    searched line by line, wherever their pages lie; there a chapter line is one line, while in a text
+    blanks within it may be line breaks.
+    """
     chosen = outline_chapters(outline)
     by_outline = page_range_chapters(chosen, pages)
     enough = chosen.groupBy("doc_id").count().filter("count >= 2").join(by_outline.filter("char_count > 0").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
-    whole = pages.join(enough, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("page_no", "text")))["text"], "\n\n").alias("content"))
-    cut = whole.select("doc_id", heading_pieces(F.col("content")).alias("heads"), line_pieces(F.col("content")).alias("lines"))
+    rest = pages.join(enough, "doc_id", "left_anti")
+    long = written(pages.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).filter(F.col("n") > whole).select("doc_id"))
+    whole_texts = rest.join(long, "doc_id", "left_anti").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("page_no", "text")))["text"], "\n\n").alias("content"))
+    cut = whole_texts.select("doc_id", heading_pieces(F.col("content")).alias("heads"), line_pieces(F.col("content")).alias("lines"))
     sizes = lambda c: F.transform(F.col(c), lambda x: F.length(strip(x)))
     total = F.aggregate(sizes("heads"), F.lit(0), lambda a, x: a + x)
     giant = (F.size("heads") < 2) | ((total > 0) & (F.array_max(sizes("heads")) / total > GIANT))
     ways = cut.withColumn("strategy", F.when(~giant, "headings").when(F.size("lines") >= 2, "lines").otherwise("page_buckets"))
     none = {"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")}
     cols = ["doc_id", "chapter_id", "title", "page_start", "page_end", "content", "char_count", "strategy"]
+    plain = ways.filter("strategy = 'page_buckets'").select("doc_id")
     parts = [
         by_outline.join(enough, "doc_id", "left_semi").withColumn("strategy", F.lit("outline")),
         _sections(ways.filter("strategy = 'headings'"), "heads", _heading_title()).withColumns(none | {"strategy": F.lit("headings")}),
         _sections(ways.filter("strategy = 'lines'"), "lines", _line_title()).withColumns(none | {"strategy": F.lit("lines")}),
-        page_buckets(pages.join(ways.filter("strategy = 'page_buckets'").select("doc_id"), "doc_id", "left_semi")).withColumn("strategy", F.lit("page_buckets")),
     ]
+    if not long.isEmpty():
+        by_heads, by_lines, others = _ways_by_lines(written(rest.join(long, "doc_id", "left_semi")))
+        parts += [_titled(by_heads, _heading_title()).withColumns(none | {"strategy": F.lit("headings")}), _titled(by_lines, _line_title()).withColumns(none | {"strategy": F.lit("lines")})]
+        plain = plain.unionByName(others)
+    parts.append(page_buckets(pages.join(plain, "doc_id", "left_semi")).withColumn("strategy", F.lit("page_buckets")))
     out = parts[0].select(cols)
     for p in parts[1:]:
         out = out.unionByName(p.select(cols))
