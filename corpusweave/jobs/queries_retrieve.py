@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,7 +264,10 @@ def _sweep_sql(size: int, least: int, leg: str) -> str:
 @query(" UNION ALL ".join(_sweep_sql(size, least, leg) for size, least in ((400, 221), (700, 386)) for leg in ("vector", "fused")))
 def setting_sweep(spark, sf_dir):
     """Two window sizes, each with both legs and with the vector leg alone; chunks, vectors and postings of a size are built once."""
-    return evaluate.sweep([{"size": s, "leg": leg} for s in (400, 700) for leg in ("vector", "fused")], lambda size, leg: hits(spark, sf_dir, leg, size), cases(spark, sf_dir))
+    settings = [(size, leg) for size in (400, 700) for leg in ("vector", "fused")]
+    name = lambda size, leg: f"size={size}, leg={leg}"
+    found = [hits(spark, sf_dir, leg, size).withColumn("setting", F.lit(name(size, leg))) for size, leg in settings]
+    return evaluate.sweep([name(*s) for s in settings], reduce(DataFrame.unionByName, found), cases(spark, sf_dir))
 
 
 @query(f"WITH {CASES_SQL} SELECT id::VARCHAR AS id, type, text AS question, keywords AS expected_keywords, [book] AS expected_textbooks FROM cases JOIN benchmark ON item_id = id")

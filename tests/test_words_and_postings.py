@@ -184,3 +184,12 @@ def test_an_encoder_is_loaded_once_a_worker(spark, tmp_path):
     encode.encode(rows, "t", encoder).write.format("noop").mode("overwrite").save()
     loads = [len(open(os.path.join(tmp_path, f)).read()) for f in os.listdir(tmp_path)]
     assert loads and set(loads) == {1} and len(loads) <= 8
+
+
+def test_settings_are_judged_in_one_plan(spark):
+    from corpusweave.operators import evaluate
+
+    cases = spark.createDataFrame([(1, "fact", ["alpha"], ["B"]), (2, "fact", ["beta"], ["C"])], "id int, type string, expected_keywords array<string>, expected_textbooks array<string>")
+    hits = [("a", 1, 1, "an alpha", "Book B", "c"), ("a", 2, 1, "x", "Book C", "c"), ("b", 1, 2, "alpha", "A", "c"), ("b", 1, 1, "none", "A", "d"), ("other", 1, 1, "alpha", "B", "c")]
+    got = evaluate.sweep(["a", "b", "empty"], spark.createDataFrame(hits, "setting string, question_id int, rank int, text string, textbook_title string, chapter_title string"), cases).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, 0.5, 1.0), ("b", 2, 0.5, 0.0), ("empty", 2, 0.0, 0.0)]
