@@ -190,3 +190,25 @@ def op11_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusweave.llm import suffixes
 
     return suffixes.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# bytes as hexadecimal digits, in pieces of 1000 bytes with a window less one in common
+ORACLES["op11_suffix_groups"] = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT r, p, substr(h, p * 2000 + 1, 2398) AS x FROM d, unnest(range(0, len(h) // 2000 + 1)) t(p)
+), windows AS (
+  SELECT r, p * 1000 + i AS b, md5(substr(x, 2 * i + 1, 400)) AS w FROM pieces, unnest(range(0, greatest(0, least(1000, len(x) // 2 - 199)))) t(i)
+), repeated AS (SELECT r, b FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+), marked AS (SELECT r, b, CASE WHEN b > lag(b) OVER (PARTITION BY r ORDER BY b) + 200 OR lag(b) OVER (PARTITION BY r ORDER BY b) IS NULL THEN 1 ELSE 0 END AS new FROM repeated
+), numbered AS (SELECT r, b, sum(new) OVER (PARTITION BY r ORDER BY b) AS k FROM marked
+), runs AS (SELECT r, k, min(b) AS low, max(b) + 200 AS high FROM numbered GROUP BY r, k
+), gaps AS (
+  SELECT r, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS a, low AS z FROM runs
+  UNION ALL SELECT r, max(high), NULL FROM runs GROUP BY r
+), kept AS (
+  SELECT r, string_agg(CASE WHEN z IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (z - a)) END, '' ORDER BY a) AS x FROM gaps JOIN d USING (r) GROUP BY r
+), sums AS (SELECT r, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
