@@ -10,8 +10,9 @@ tables, are candidates, and what they join needs no more search. Similarity 0.8
 apart, more than pivots can tell, so the cells find the rest. Cells of the same documents are one. Near
 copies in large groups are joined in a few rounds, each with the strongest document of the cell that
 it shares most with; only documents of a cell that this has not joined are compared with each other.
-Sizes and counts of shingles by their last seven bits discard pairs that can't be alike; all others
-are verified on the whole texts. Equal sets are one class from the start.
+Sizes and counts of shingles by their last bits, the more bits the larger the set, discard pairs that
+can't be alike; a pair that is left is given out in the first cell that both are in, not in each, and
+verified on the whole texts. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ from corpusweave.operators.components import connected_components
 SHINGLE = 5
 #: Sampled documents and the most shingles that are told to be frequent; they are in SAMPLE_COUNT of the sample at least.
 SAMPLE_ROWS, FREQUENT, SAMPLE_COUNT = 20_000, 50_000, 3
-BUCKETS = 128
+#: Counters of shingles by their last bits: so many for sets of up to 8 times as many shingles, then doubled to the most.
+BUCKETS, MOST_BUCKETS = 128, 1024
+#: Cells, the least first, by which a document tells that it has met another in one of them before.
+EARLIER = 16
 #: How often documents are joined with a strong one of their cell before those of a cell are compared with each other.
 ROUNDS = 1
 #: Texts that aren't needed are left out by so many hashes before the others are shuffled.
@@ -58,6 +62,14 @@ def first_ones(x: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.nda
     return x[np.argsort(heat, kind="stable")[: len(x) - -(-4 * len(x) // 5) + 1]]
 
 
+def counters(x: np.ndarray) -> bytes:
+    """Numbers of shingles by their last bits, a byte each and 255 at most."""
+    n = BUCKETS
+    while n < MOST_BUCKETS and 8 * n < len(x):
+        n *= 2
+    return np.minimum(np.bincount((x & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
 def _frequent(given: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(frequent shingles of a sample, ascending, their ranks: the most frequent last)."""
     share = max(1, given.count() // SAMPLE_ROWS)
@@ -84,7 +96,7 @@ def _sketched(given: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in texts_of(part)]
             sids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             fps = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
-            counts = [np.minimum(np.bincount((x & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for x in sets]
+            counts = [counters(x) for x in sets]
             tokens = [first_ones(x, *shared.value).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids), pa.array(fps), pa.array([len(x) for x in sets], pa.int64()), pa.array(counts, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "digest", "sid", "fp", "size", "counts", "tokens"])
 
@@ -92,46 +104,68 @@ def _sketched(given: DataFrame) -> DataFrame:
     return given.mapInArrow(run, f"doc_id {kind}, digest string, sid bigint, fp bigint, size bigint, counts binary, tokens array<bigint>")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int32).reshape(-1, BUCKETS)
+def _folded(counts: bytes, n: int) -> np.ndarray:
+    """Counters by fewer bits, n of them."""
+    return np.frombuffer(counts, np.uint8).reshape(-1, n).sum(0, dtype=np.int32)
+
+
+def _matrix(counts: list[bytes]) -> np.ndarray:
+    return np.array([_folded(c, BUCKETS) for c in counts], np.int32).reshape(-1, BUCKETS)
+
+
+def _near(counts: bytes, other: bytes, sizes: int) -> bool:
+    """Whether sets of so many shingles together may be alike: no more than a ninth of these may stand in one of them only."""
+    n = min(len(counts), len(other))
+    return 9 * int(np.abs(_folded(counts, n) - _folded(other, n)).sum()) <= sizes
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of (a, b, size, other_size, counts, other_counts) whose sets may be alike."""
     for b in batches:
         for part in slices([b], 4096):
-            most = (part.column(2).to_numpy() + part.column(3).to_numpy()) / 9
-            near = np.abs(_matrix(part.column(4)) - _matrix(part.column(5))).sum(1) <= most
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(near)), part.column(1).filter(pa.array(near))], ["a", "b"])
+            sizes = (part.column(2).to_numpy() + part.column(3).to_numpy()).tolist()
+            near = pa.array([_near(*v) for v in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), sizes)], pa.bool_())
+            yield part.select(["a", "b"]).filter(near)
 
 
-def _met(cells: np.ndarray, sids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Pairs of one cell, not joined before, whose sets may be alike."""
+def _met(cells: np.ndarray, sids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, owns: np.ndarray, earlier: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Pairs of one cell, not joined and not met before, whose sets may be alike."""
     starts = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(1)))) if len(cells) else np.empty(0, int)
     a, b = [], []
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)]):
+        token, one_block = cells[s, 0], cells[s, 1] == cells[s, 2]
         order = s + np.argsort(sizes[s:e], kind="stable")
         own = sizes[order]
+        coarse = _matrix(counts[order].tolist())
         for k in range(len(order) - 1):
             i = order[k]
-            rest = order[k + 1 : np.searchsorted(own, own[k] * 5 // 4, side="right")]
-            rest = rest[comps[rest] != comps[i]]
+            rest = np.arange(k + 1, np.searchsorted(own, own[k] * 5 // 4, side="right"))
+            other = order[rest]
+            rest = rest[(comps[other] != comps[i]) & (one_block | (owns[other] != owns[i]))]
+            if len(rest):
+                rest = rest[9 * np.abs(coarse[rest] - coarse[k]).sum(1) <= own[rest] + own[k]]
             if len(rest):
-                rest = rest[9 * np.abs(counts[rest] - counts[i]).sum(1) <= sizes[rest] + sizes[i]]
-                a.append(np.full(len(rest), sids[i]))
-                b.append(sids[rest])
-    x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+                # one that both are in and that comes before has given the pair out
+                rest = rest[~np.isin(earlier[order[rest]], earlier[i][earlier[i] < token]).any(1)]
+            for j in order[rest].tolist():
+                if _near(counts[i], counts[j], int(sizes[i] + sizes[j])):
+                    a.append(sids[i])
+                    b.append(sids[j])
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_met of each run of rows (token, i, j, sid, comp, size, counts) of the same cell; a run may go on in the next batch."""
+    """_met of each run of rows (token, i, j, sid, comp, size, own, earlier, counts) of the same cell; a run may go on in the next batch."""
     kept = None
     for batch in batches:
         if not batch.num_rows:
             continue
         cells = np.stack([batch.column(i).to_numpy() for i in range(3)], 1).astype(np.int64)
-        new = [cells, *(batch.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5)), _matrix(batch.column(6))]
+        lists = batch.column(7).to_pylist()
+        # short lists repeat their last cell
+        earlier = np.array([[*x, *[x[-1]] * (EARLIER - len(x))] for x in lists], np.int64)
+        new = [cells, *(batch.column(i).to_numpy().astype(np.int64) for i in (3, 4, 5, 6)), earlier, np.array([*batch.column(8).to_pylist(), None], object)[:-1]]
         kept = new if kept is None else [np.concatenate(v) for v in zip(kept, new)]
         other = np.flatnonzero((kept[0] != kept[0][-1]).any(1))
         if len(other):
@@ -227,9 +261,11 @@ def links(rows: DataFrame, heads: DataFrame, given: DataFrame, block: int = BLOC
 
     # those of a cell that are still apart
     sized = mixed.select("token", F.ceil(F.col("n") / block).alias("blocks"))
-    dealt = placed.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks"))
+    dealt = written(placed.join(sized, "token").select("token", "sid", "blocks", F.pmod(F.xxhash64("sid"), "blocks").alias("own")))
+    lists = dealt.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("token")), 1, EARLIER).alias("earlier"))
+    told = written(marked.join(lists, "sid"))
     spread = dealt.select("token", "own", "sid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    together = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid").join(marked, "sid").select("token", "i", "j", "sid", "comp", "size", "counts")
+    together = spread.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid").join(told, "sid").select("token", "i", "j", "sid", "comp", "size", "own", "earlier", "counts")
     apart = together.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_meetings, "a bigint, b bigint")
     last = _verified(apart, heads, given)
     return found.unionByName(last)

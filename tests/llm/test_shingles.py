@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from corpusweave.llm import shingles
@@ -48,3 +49,36 @@ def test_odd_rows(odd, none):
     assert shingles.keep_one(none).count() == 0
     kept = shingles.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len({five(r["text"]) for r in odd.collect()})
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_a_pair_is_given_out_in_one_of_its_cells(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "FREQUENT", 0)
+    seen, verified = [], shingles._verified
+
+    def watched(pairs, *rest):
+        seen.append([tuple(r) for r in pairs.collect()])
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "_verified", watched)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(20):  # alike, and each cell has some of them
+        w = list(base)
+        for k in range(2):
+            w[10 + 100 * k + rnd.randrange(80)] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(shingles.links, "__defaults__", (block, 0))
+    kept = [r["doc_id"] for r in shingles.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()]
+    assert sorted(kept) == sorted(brute(rows))
+    assert len(seen[-1]) > 20 and len(seen[-1]) == len(set(seen[-1]))
+
+
+def test_large_sets_are_told_apart_by_their_counts():
+    sets = [shingles.shingles(" ".join(f"{p}{i}" for i in range(6000))) for p in "ab"]
+    near = list(shingles._plausible([pa.record_batch([pa.array([1]), pa.array([2]), *(pa.array([len(x)]) for x in sets), *(pa.array([shingles.counters(x)]) for x in sets)], names=["a", "b", "size", "other_size", "counts", "other_counts"])]))
+    assert sum(b.num_rows for b in near) == 0
+    for n, m in ((10, 11), (1100, 980), (9000, 8100), (300_000, 270_000)):  # never apart when alike, whatever the counters
+        x, y = (shingles.shingles(" ".join(f"c{i}" for i in range(k))) for k in (n, m))
+        assert shingles._near(shingles.counters(x), shingles.counters(y), len(x) + len(y))
