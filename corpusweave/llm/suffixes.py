@@ -36,6 +36,8 @@ WINDOW, GRAM, BLOCK = 200, 16, 16
 SHARD_SEGMENTS = 4096
 #: Bytes of text that are hashed at once, and bits of a place in them beside those of a hash.
 PIECE, PLACE_BITS = 1 << 20, 24
+#: Segments of a text that are cut into their windows at once.
+SOME = 1024
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -244,10 +246,11 @@ def _windows_of(rows: DataFrame, window: int, gram: int, block: int) -> DataFram
         for part in slices(batches, 16):
             for row, t, places in zip(*(c.to_pylist() for c in part.columns)):
                 raw = t.encode()
-                for p in places:
-                    start, windows = p >> 24, p >> 8 & 0xFFFF
-                    found = segments([raw[start : start + windows + window - 1]], window, gram, block, whole=True)
-                    found[1] += start
+                for at in range(0, len(places), SOME):
+                    starts = np.array([p >> 24 for p in places[at : at + SOME]], np.int64)
+                    ends = [(p >> 24) + (p >> 8 & 0xFFFF) + window - 1 for p in places[at : at + SOME]]
+                    found = segments([raw[s:e] for s, e in zip(starts.tolist(), ends)], window, gram, block, whole=True)
+                    found[1] += starts[found[0]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(found.shape[1], row)), pa.array(found[4]), pa.array(found[5]), pa.array(_packed(found))], ["row", "key", "segment", "place"])
 
     return rows.mapInArrow(run, "row bigint, key bigint, segment bigint, place bigint")
@@ -336,7 +339,9 @@ def dedup_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", win
         if not crowded.isEmpty():
             hot = live.join(crowded, "key", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
             texts = _with_texts(given, written(hot.join(outline.select("row", "doc_id", "digest"), "row")), "row", "text", "places").dropDuplicates(["row"])
-            each = _shared(_windows_of(texts, window, gram, block))
+            # a few rows of many windows: dealt out evenly, and cut once
+            dealt = texts.repartition(given.sparkSession.sparkContext.defaultParallelism, "row")
+            each = _shared(written(_windows_of(dealt, window, gram, block)))
             live = written(live.join(crowded, "key", "left_anti").unionByName(each))
         found = _found(live, outline, given, window, block, shard_segments)
         # every place of a segment has the segment's repeated windows

@@ -1,7 +1,9 @@
 """Byte-wise substring dedup against looking at every window, and its suffix sorting against plain sorting."""
 
 import hashlib
+import os
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -97,3 +99,25 @@ def test_odd_rows(spark, odd, none):
     got = suffixes.dedup_bytes(odd, window=50, gram=8).collect()
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == sorted((str(r["doc_id"]), *p) for r, p in zip(rows, plain([r["text"] for r in rows], 50)))
     assert suffixes.dedup_bytes(none).collect() == []
+
+
+def test_windows_of_crowded_keys_are_cut_once_and_on_all_cores(spark, monkeypatch, tmp_path):
+    texts, window = texts_with_repeats(5), 24
+    folder, parts, whole = str(tmp_path), [], suffixes._windows_of
+
+    def counted(rows, *rest):
+        def run(batches):
+            for b in batches:
+                for r in b.column(0).to_pylist():
+                    open(os.path.join(folder, f"{r}-{uuid.uuid4()}"), "w").close()
+                yield b
+
+        parts.append(rows.rdd.getNumPartitions())
+        return whole(rows.mapInArrow(run, rows.schema), *rest)
+
+    monkeypatch.setattr(suffixes, "_windows_of", counted)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    got = suffixes.dedup_bytes(docs, window=window, gram=6, block=4, shard_segments=2).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == dict(enumerate(plain(texts, window)))
+    cut = Counter(name.split("-")[0] for name in os.listdir(folder))
+    assert cut and set(cut.values()) == {1} and parts == [spark.sparkContext.defaultParallelism]
