@@ -139,7 +139,7 @@ def bm25_stats(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {WORDS_SQL} SELECT * FROM lex")
 def bm25_top(spark, sf_dir):
-    """By the stored index, of which only blocks are read that can hold one of the 30."""
+    """By the stored index; no more than the best 30 of a segment leave a task."""
     return postings.postings_top(stored.index(spark, sf_dir), questions(spark, sf_dir))
 
 
@@ -174,17 +174,18 @@ def search(spark: SparkSession, sf_dir: str, leg: str = "fused", size: int = chu
     """Five best chunks for each question from the stored index: both legs fused, or the vector leg alone."""
     asked, rows = questions(spark, sf_dir), stored.vectors(spark, sf_dir, size)
     q = written(encode.encode(asked, "question").select("question_id", "embedding"))
-    vectors = written(cells.cells_top(stored.vector_cells(spark, sf_dir, size), q))
+    vectors = written(retrieve.vector_top(rows, q))
     if leg == "vector":
         return retrieve.fuse(vectors, vectors.select("question_id", "chunk_id", F.lit(0.0).alias("bm25"), F.lit(None).cast("int").alias("bm25_rank")).limit(0))
     index = stored.index(spark, sf_dir, size)
     tokens = postings.asked_tokens(index, asked)
-    lexical = written(retrieve.ranked(postings.read_blocks(index, tokens)[0].filter("bm25 > 0"), "bm25", "bm25_rank"))
+    lexical = written(retrieve.ranked(postings.best_scores(index, tokens).filter("bm25 > 0"), "bm25", "bm25_rank"))
     return retrieve.fuse(vectors, lexical, postings.scores_of(index, tokens, vectors), index=rows, questions=q)
 
 
 def hits(spark: SparkSession, sf_dir: str, leg: str = "fused", size: int = chunk.SIZE) -> DataFrame:
-    return written(retrieve.with_chunks(search(spark, sf_dir, leg, size), stored.chunks(spark, sf_dir, size)))
+    # hits are few, and as a table they are known to be
+    return written(retrieve.with_chunks(written(search(spark, sf_dir, leg, size)), stored.chunks(spark, sf_dir, size)))
 
 
 @query(f"WITH RECURSIVE {FUSED_SQL} SELECT * FROM fused")

@@ -29,13 +29,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str, given: tuple[str, ...],
 
 def chunks(spark: SparkSession, sf_dir: str, size: int = chunk.SIZE) -> DataFrame:
     """The chunk table of all chapters."""
-    made = lambda path: chunk.chunk_table(chapters(spark, sf_dir), books(spark, sf_dir), size=size).write.parquet(path)
+    made = lambda path: chunk.chunk_table(chapters(spark, sf_dir), books(spark, sf_dir), size=size).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(stored(spark, sf_dir, f"chunks {size}", ("documents",), made))
 
 
 def vectors(spark: SparkSession, sf_dir: str, size: int = chunk.SIZE) -> DataFrame:
     """(chunk_id, embedding) of all chunks."""
-    made = lambda path: encode.encode(chunks(spark, sf_dir, size).select("chunk_id", "text"), "text").select("chunk_id", "embedding").write.parquet(path)
+    made = lambda path: encode.encode(chunks(spark, sf_dir, size).select("chunk_id", "text"), "text").select("chunk_id", "embedding").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(stored(spark, sf_dir, f"vectors {size}", ("documents",), made))
 
 
@@ -49,11 +49,6 @@ def index(spark: SparkSession, sf_dir: str, size: int = chunk.SIZE) -> postings.
     return postings.read_postings(spark, stored(spark, sf_dir, f"postings {size}", ("documents",), made))
 
 
-def vector_cells(spark: SparkSession, sf_dir: str, size: int = chunk.SIZE) -> cells.Cells:
-    """The vectors of all chunks, in cells."""
-    return cells.read_cells(spark, stored(spark, sf_dir, f"cells {size}", ("documents",), lambda path: cells.write_cells(vectors(spark, sf_dir, size), path)))
-
-
 def embedding_cells(spark: SparkSession, sf_dir: str) -> cells.Cells:
     """The given vectors, in cells."""
     return cells.read_cells(spark, stored(spark, sf_dir, "embeddings", ("embeddings",), lambda path: cells.write_cells(table(spark, sf_dir, "embeddings"), path, "vec_id")))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ CONTEXT_CHARS, SNIPPET_CHARS, SNIPPETS = 1100, 180, 3
 # Fixed value: what is said where nothing was found.
 REFUSAL = "当前知识库中未找到相关信息。"
 BLOCK = 4096
+#: Vectors of a batch that are multiplied at once.
+SLICE = 1024
 
 
 def chunk_words(chunks: DataFrame, tokenizer: Tokenizer = PAIRS, *more: str) -> DataFrame:
@@ -74,7 +77,11 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 def _best(asks: np.ndarray, has: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, scores) of the best rows of `has`, which lie in order of their ids, for each row of asks."""
-    scores = np.round(asks @ has.T, 6)
+    return _first(asks @ has.T, depth)
+
+
+def _first(products: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    scores = np.round(products, 6)
     best = np.argsort(-scores, axis=1, kind="stable")[:, :depth]
     return best, np.take_along_axis(scores, best, 1)
 
@@ -89,9 +96,11 @@ def _by_scan(rows: DataFrame, asked: list, depth: int, schema: T.StructType) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            batch = batch.sort_by("chunk_id")
-            best, scores = _best(asks, _matrix(batch.column(1)), depth)
-            ids = batch.column(0).take(pa.array(best.ravel()))
+            # a few vectors at a time become a matrix; in order of their ids only the scores are put
+            order = pc.sort_indices(batch.column(0)).to_numpy()
+            every = np.concatenate([asks @ _matrix(batch.column(1).slice(at, SLICE)).T for at in range(0, batch.num_rows, SLICE)], 1)
+            best, scores = _first(every[:, order], depth)
+            ids = batch.column(0).take(pa.array(order[best.ravel()]))
             yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(best.shape[1])], kinds[0]), ids, pa.array(scores.ravel())], schema.names)
 
     return rows.mapInArrow(run, schema)

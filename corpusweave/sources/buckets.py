@@ -15,10 +15,10 @@ def table_name(path: str) -> str:
     return f"bucketed_{hashlib.md5(path.encode()).hexdigest()}"
 
 
-def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS, compression: str = "snappy") -> DataFrame:
     """Replaces the table at path by df, in buckets of keys and sorted by them, one file a bucket, and gives it back."""
     rows = df.repartition(buckets, *keys)
-    rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").option("path", path).saveAsTable(table_name(path))
+    rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").option("path", path).option("compression", compression).saveAsTable(table_name(path))
     return df.sparkSession.table(table_name(path))
 
 

@@ -193,3 +193,17 @@ def test_settings_are_judged_in_one_plan(spark):
     hits = [("a", 1, 1, "an alpha", "Book B", "c"), ("a", 2, 1, "x", "Book C", "c"), ("b", 1, 2, "alpha", "A", "c"), ("b", 1, 1, "none", "A", "d"), ("other", 1, 1, "alpha", "B", "c")]
     got = evaluate.sweep(["a", "b", "empty"], spark.createDataFrame(hits, "setting string, question_id int, rank int, text string, textbook_title string, chapter_title string"), cases).collect()
     assert sorted(map(tuple, got)) == [("a", 2, 0.5, 1.0), ("b", 2, 0.5, 0.0), ("empty", 2, 0.0, 0.0)]
+
+
+def test_an_index_is_no_larger_than_its_words(spark, tmp_path):
+    rng = random.Random(5)
+    docs = [(f"chunk_{i:012}", rng.choices([f"word{k}" for k in range(3000)], [1 / (k + 1) for k in range(3000)], k=100)) for i in range(4000)]
+    tokens = spark.createDataFrame(docs, "chunk_id string, tokens array<string>")
+    index = postings.write_postings(tokens, str(tmp_path / "i"), buckets=2)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "i") for f in names if f.endswith(".parquet"))
+    assert size < sum(len(" ".join(t)) for _, t in docs)
+    ask = spark.createDataFrame([(1, "word0 word1 word2"), (2, "word2999")], "question_id int, question string")
+    # what leaves the tasks are the best of each segment, not a row a chunk
+    found = postings.best_scores(index, postings.asked_tokens(index, ask), 5)
+    assert found.filter("question_id = 1").count() <= 5 * index.chunks.select("segment").distinct().count()
+    assert rows_of(postings.postings_top(index, ask, 5)) == rows_of(retrieve.bm25_top(tokens, ask, 5))
