@@ -29,3 +29,10 @@ def test_vectors_without_groups_are_copied_once_a_block(spark):
     want = {(i, j) for i, j in np.argwhere(sims >= 0.5).tolist() if i < j and i % 3 != j % 3}
     got = align.similarity_pairs(rows, 0.5, 100).select("id_a", "id_b").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_routes_of_null_and_repeated_chapters(spark, tmp_path):
+    rows = [(20, None, "src1", 0), (21, "some words", "src1", 10), (23, "two words", "src1", 9), (23, "two words", "src1", 9), (30, "more", "src2", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["chapter_id"], r["route"]) for r in queries_graph.extraction_routes(spark, str(tmp_path)).collect())
+    assert got == [("ch_020", "rules"), ("ch_021", "model"), ("ch_023", "model"), ("ch_023", "model"), ("ch_030", "rules")]
